@@ -13,6 +13,7 @@ from caseloom.llm.common import table
 from caseloom.llm.exact_dedup import exact_duplicates
 from caseloom.llm.near_dedup import near_duplicates
 from caseloom.llm.toxicity import score_toxicity, train
+from caseloom.llm.warc import round_trip
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +29,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_exact_dedup, op6_toxicity, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_exact_dedup, op6_toxicity, op8_warc, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""
@@ -44,4 +49,17 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
     """,
+    "op8_warc": """
+        WITH p AS (
+          SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages
+        ), g AS (
+          SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha, max(page_id) OVER (PARTITION BY payload) AS latest FROM p
+        )
+        SELECT page_id, payload_bytes,
+          translate(array_to_string([to_base(('0x' || substr(sha, 10 * k + 1, 10))::BIGINT, 32, 8) FOR k IN [0, 1, 2, 3]], ''),
+            '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+          CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id <> latest THEN latest END AS refers_to
+        FROM g
+    """,
 }
