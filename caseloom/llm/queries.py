@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from caseloom.llm.bpe import encode_documents
 from caseloom.llm.common import table
 from caseloom.llm.exact_dedup import exact_duplicates
+from caseloom.llm.html_extract import extract_main_text
 from caseloom.llm.near_dedup import near_duplicates
 from caseloom.llm.toxicity import score_toxicity, train
 from caseloom.llm.warc import round_trip
@@ -29,6 +30,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -38,7 +43,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_exact_dedup, op6_toxicity, op8_warc, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_exact_dedup, op6_toxicity, op7_html_extraction, op8_warc, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""
