@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm.bpe import encode_documents
-from caseloom.llm.common import table
+from caseloom.llm.common import materialize, table
 from caseloom.llm.exact_dedup import exact_duplicates
 from caseloom.llm.html_extract import extract_main_text
+from caseloom.llm.mixing import mix_sizes, with_sizes
 from caseloom.llm.near_dedup import near_duplicates
+from caseloom.llm.quality import quality
+from caseloom.llm.sharding import shard_documents
 from caseloom.llm.toxicity import score_toxicity, train
 from caseloom.llm.warc import round_trip
 
@@ -21,10 +24,24 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality(table(spark, sf_dir, "documents"), trusted)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sizes(materialize(with_sizes(table(spark, sf_dir, "documents")), "mix-sizes"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents"))
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
@@ -43,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_exact_dedup, op6_toxicity, op7_html_extraction, op8_warc, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_exact_dedup, op4_mixing, op5_sharding, op6_toxicity, op7_html_extraction, op8_warc, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""
@@ -54,6 +71,27 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
     """,
+    "op4_mixing": r"""
+        WITH d AS (
+          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+        ), s AS (
+          SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+        ), w AS (
+          SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * source_size AS cap FROM s
+        ), l AS (
+          SELECT *, (sum(source_size) OVER ())::HUGEINT - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+            sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM w
+        ), f AS (
+          SELECT rest AS rest0, share AS share0 FROM l WHERE cap * share > rest * w ORDER BY share DESC LIMIT 1
+        ), t AS (
+          SELECT source, source_size, CASE WHEN share <= share0 THEN w * rest0::DOUBLE / share0 ELSE cap::DOUBLE END AS target FROM l LEFT JOIN f ON true
+        ), r AS (
+          SELECT d.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+            ('0x' || substr(md5('0:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+    """,
     "op8_warc": """
         WITH p AS (
           SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages
