@@ -12,6 +12,7 @@ from caseloom.llm.bpe import encode_documents
 from caseloom.llm.common import materialize, table
 from caseloom.llm.exact_dedup import exact_duplicates
 from caseloom.llm.html_extract import extract_main_text
+from caseloom.llm.line_dedup import deduplicate_lines
 from caseloom.llm.mixing import mix_sizes, with_sizes
 from caseloom.llm.near_dedup import near_duplicates
 from caseloom.llm.quality import quality
@@ -55,12 +56,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = deduplicate_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_exact_dedup, op4_mixing, op5_sharding, op6_toxicity, op7_html_extraction, op8_warc, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_exact_dedup, op4_mixing, op5_sharding, op6_toxicity, op7_html_extraction, op8_warc, op9_line_dedup, op10_bpe)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""
@@ -105,4 +111,26 @@ ORACLES: dict[str, str] = {
           CASE WHEN page_id <> latest THEN latest END AS refers_to
         FROM g
     """,
+    "op9_line_dedup": r"""
+        WITH l AS (
+          SELECT doc_id, i - 1 AS ln, x[i] AS line, len(regexp_extract_all(x[i], '[^\x20\x09-\x0D]+')) AS n
+          FROM (SELECT doc_id, string_split(text, chr(10)) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+        ), s AS (
+          SELECT doc_id, ln, line, n, row_number() OVER w AS q, sum(n) OVER w AS upto FROM l WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY ln)
+        ), seq AS (
+          SELECT doc_id, list(line ORDER BY q) AS lines FROM s GROUP BY doc_id
+        ), runs AS (
+          SELECT a.doc_id, a.q, b.q - a.q + 1 AS len, md5(array_to_string(seq.lines[a.q : b.q], chr(10))) AS name
+          FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.q BETWEEN a.q AND a.q + 49 JOIN seq ON seq.doc_id = a.doc_id
+          WHERE b.upto - a.upto + a.n >= 50 AND (b.upto - a.upto < 50 OR b.upto - b.n - a.upto + a.n < 50)
+        ), f AS (
+          SELECT *, first_value(doc_id) OVER w AS d0, first_value(q) OVER w AS q0 FROM runs WINDOW w AS (PARTITION BY name, len ORDER BY doc_id, q)
+        ), gone AS (
+          SELECT DISTINCT s.doc_id, s.ln FROM f JOIN s ON s.doc_id = f.doc_id AND s.q BETWEEN f.q AND f.q + f.len - 1
+          WHERE f.doc_id <> f.d0 OR f.q >= f.q0 + f.len
+        )
+        SELECT l.doc_id, count(*) AS n_lines, count(gone.ln) AS n_deleted,
+          sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.ln) FILTER (WHERE gone.ln IS NULL), '')) AS text_sha256
+        FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.ln = gone.ln GROUP BY l.doc_id
+    """,
 }
