@@ -268,6 +268,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
     return fit(texts, toxic)
 
 
+def _score(texts: list[bytes | None], model: Model, emissions: Emissions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of the texts, the marginals of all their tokens, and the bounds between texts."""
+    words, bounds, first = _tokens(texts)
+    p = marginals(_emit(words, bounds, emissions), first, model)
+    return _sigmoid(model.slope * _evidence(p, bounds) + model.offset), p, bounds
+
+
+def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below 0.5."""
+    small_batches(docs.sparkSession, 500)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emissions = Emissions(model)
+        for batch in batches:
+            texts = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(_score(texts, model, emissions)[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted, spans`` for every row of ``docs (doc_id, text)``.
 
@@ -284,9 +304,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         emissions = Emissions(model)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            words, bounds, first = _tokens(texts)
-            p = marginals(_emit(words, bounds, emissions), first, model)
-            score = _sigmoid(model.slope * _evidence(p, bounds) + model.offset)
+            score, p, bounds = _score(texts, model, emissions)
             high = np.concatenate([[0], np.cumsum(p >= 0.5)])[bounds]
             spans = [_spans(t, p[bounds[k] : bounds[k + 1]]) if high[k + 1] > high[k] else [] for k, t in enumerate(texts)]
             yield pa.RecordBatch.from_arrays(
