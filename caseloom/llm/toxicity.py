@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -253,19 +254,18 @@ def _spans(text: bytes, p: np.ndarray) -> list[dict]:
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None) -> Model:
     """The model of the labelled rows whose crc32(doc_id) mod 5 is not 0.
 
-    It is fitted on the driver on a bounded sample: of each label the ``sample``
-    rows with the least hash of doc_id and text. Rows without doc_id, text or label
-    teach nothing.
+    It is fitted on the driver on a bounded sample: of each label the ``sample`` rows
+    with the least hash of doc_id. As the sampled ids are so few, they are broadcast,
+    and the texts of the sample are all that leaves the executors. Rows without
+    doc_id, text or label teach nothing.
     """
-    wanted = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where("_id is not null and _toxic in (0, 1)")
+    wanted = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").alias("_toxic")).where("_id is not null and _toxic in (0, 1)")
     wanted = wanted.where(F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 0).distinct()
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("binary").alias("_text")).where("_text is not null").join(wanted, "_id")
-    texts, toxic = [], []
-    for label, most in (sample or SAMPLE).items():
-        for r in rows.where(F.col("_toxic") == label).orderBy(F.xxhash64("_id", "_text"), "_id", "_text").limit(most).collect():
-            texts.append(bytes(r["_text"]))
-            toxic.append(label)
-    return fit(texts, toxic)
+    parts = [wanted.where(F.col("_toxic") == label).orderBy(F.xxhash64("_id"), "_id").limit(most) for label, most in (sample or SAMPLE).items()]
+    drawn = reduce(DataFrame.unionByName, parts)
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("_text")).where("_text is not null").join(F.broadcast(drawn), "_id")
+    found = sorted((r["_id"], bytes(r["_text"]), r["_toxic"]) for r in rows.collect())
+    return fit([text for _, text, _ in found], [toxic for _, _, toxic in found])
 
 
 def _score(texts: list[bytes | None], model: Model, emissions: Emissions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
