@@ -84,7 +84,7 @@ def prior_lexicon(df: DataFrame, fields: list[str]) -> DataFrame:
 def name_tokens(df: DataFrame, name: str) -> DataFrame:
     """First and last tokens of names of two tokens or more, with counts."""
     tokens = F.split(F.trim(F.col(name)), r"\s+")
-    both = df.where(F.size(tokens) >= 2).select(F.explode(F.array(F.struct(F.lit("first").alias("position"), F.element_at(tokens, 1).alias("token")), F.struct(F.lit("last").alias("position"), F.element_at(tokens, -1).alias("token")))).alias("x"))
+    both = df.where(F.size(tokens) >= 2).select(F.explode(F.array(F.struct(F.lit("first").alias("position"), F.get(tokens, F.lit(0)).alias("token")), F.struct(F.lit("last").alias("position"), F.try_element_at(tokens, F.lit(-1)).alias("token")))).alias("x"))
     return both.groupBy("x.position", "x.token").agg(F.count(F.lit(1)).alias("n"))
 
 

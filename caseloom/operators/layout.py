@@ -58,7 +58,7 @@ def inline(spans: DataFrame) -> DataFrame:
     """``Key: value`` lines of typed pages."""
     parts = F.split("text", ":", 2)
     s = spans.where(~F.col("hidden") & F.contains(F.col("text"), F.lit(":")))
-    return s.select("case_id", "page", F.col("span_idx").alias("seq"), T.lookup(INLINE, T.norm(F.element_at(parts, 1))).alias("field"), F.trim(F.element_at(parts, 2)).alias("value")).where("field is not null")
+    return s.select("case_id", "page", F.col("span_idx").alias("seq"), T.lookup(INLINE, T.norm(F.get(parts, F.lit(0)))).alias("field"), F.trim(F.get(parts, F.lit(1))).alias("value")).where("field is not null")
 
 
 def corrections(spans: DataFrame) -> DataFrame:

@@ -29,20 +29,20 @@ def snap(readings: DataFrame, vocabulary: DataFrame, reading: str, keys: list[st
     Readings without letters or digits, or too far from all values, get null and 0.
     """
     keys = keys or []
-    seen = readings.select(*keys, F.col(reading), canon(F.col(reading)).alias("c")).distinct()
-    want = seen.where("c <> ''").select(*keys, "c").distinct()
-    words = vocabulary.select(*keys, "idx", "value", canon(F.col("value")).alias("w"))
+    seen = readings.select(*keys, F.col(reading), canon(F.col(reading)).alias("_c")).distinct()
+    want = seen.where("_c <> ''").select(*keys, "_c").distinct()
+    words = vocabulary.select(*keys, "idx", "value", canon(F.col("value")).alias("_w"))
     cheapest = 1.0 if not costs.joined else costs.joined_cost
-    budget = F.greatest(F.lit(1.0), F.length("c") * ratio)
-    near = F.abs(F.length("c") - F.length("w")) * cheapest <= budget + 0.5
+    budget = F.greatest(F.lit(1.0), F.length("_c") * ratio)
+    near = F.abs(F.length("_c") - F.length("_w")) * cheapest <= budget + 0.5
     pairs = want.join(F.broadcast(words), keys) if keys else want.crossJoin(F.broadcast(words))
-    scored = pairs.where(near).withColumn("d", distance(F.col("c"), F.col("w"), costs))
-    best = scored.groupBy(*keys, "c").agg(F.array_sort(F.collect_list(F.struct("d", "idx", "value"))).alias("r"))
-    first, second = F.get("r", F.lit(0)), F.coalesce(F.get("r", F.lit(1))["d"], F.lit(1e9))
-    out = best.select(*keys, "c", first["value"].alias("v"), first["d"].alias("d"), confidence(first["d"], second, F.length("c"), ratio).alias("k"))
-    joined = seen.join(out, [*keys, "c"], "left")
-    hit = F.col("k") > 0
-    return joined.select(*keys, reading, F.when(hit, F.col("v")).alias("snapped"), F.coalesce("k", F.lit(0.0)).alias("confidence"), "d").withColumnRenamed("d", "distance")
+    scored = pairs.where(near).withColumn("_d", distance(F.col("_c"), F.col("_w"), costs))
+    best = scored.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct(F.col("_d").alias("d"), "idx", "value"))).alias("_r"))
+    first, second = F.get("_r", F.lit(0)), F.coalesce(F.get("_r", F.lit(1))["d"], F.lit(1e9))
+    out = best.select(*keys, "_c", first["value"].alias("_v"), first["d"].alias("_d"), confidence(first["d"], second, F.length("_c"), ratio).alias("_k"))
+    joined = seen.join(out, [*keys, "_c"], "left")
+    hit = F.col("_k") > 0
+    return joined.select(*keys, reading, F.when(hit, F.col("_v")).alias("snapped"), F.coalesce("_k", F.lit(0.0)).alias("confidence"), "_d").withColumnRenamed("_d", "distance")
 
 
 def snap_names(readings: DataFrame, first_tokens: DataFrame, last_tokens: DataFrame, reading: str, costs: Costs = SCAN) -> DataFrame:
@@ -51,19 +51,19 @@ def snap_names(readings: DataFrame, first_tokens: DataFrame, last_tokens: DataFr
     Confidence is that of the weaker token; names of one token have none.
     """
     tokens = F.split(F.trim(F.col(reading)), r"\s+")
-    names = readings.select(reading).distinct().withColumn("a", F.element_at(tokens, 1)).withColumn("b", F.when(F.size(tokens) > 1, F.element_at(tokens, -1)))
-    one = snap(names.select("a"), first_tokens, "a", costs=costs).select("a", F.col("snapped").alias("sa"), F.col("confidence").alias("ca"))
-    two = snap(names.where("b is not null").select("b"), last_tokens, "b", costs=costs).select("b", F.col("snapped").alias("sb"), F.col("confidence").alias("cb"))
-    out = names.join(one, "a", "left").join(two, "b", "left")
-    both = F.col("b").isNotNull()
-    return out.select(reading, F.when(both, F.concat_ws(" ", F.coalesce("sa", "a"), F.coalesce("sb", "b"))).otherwise(F.col(reading)).alias("snapped"), F.when(both, F.least("ca", "cb")).otherwise(F.lit(0.0)).alias("confidence"))
+    names = readings.select(reading).distinct().withColumn("_a", F.get(tokens, F.lit(0))).withColumn("_b", F.when(F.size(tokens) > 1, F.try_element_at(tokens, F.lit(-1))))
+    one = snap(names.select("_a"), first_tokens, "_a", costs=costs).select("_a", F.col("snapped").alias("_sa"), F.col("confidence").alias("_ca"))
+    two = snap(names.where("_b is not null").select("_b"), last_tokens, "_b", costs=costs).select("_b", F.col("snapped").alias("_sb"), F.col("confidence").alias("_cb"))
+    out = names.join(one, "_a", "left").join(two, "_b", "left")
+    both = F.col("_b").isNotNull()
+    return out.select(reading, F.when(both, F.concat_ws(" ", F.coalesce("_sa", "_a"), F.coalesce("_sb", "_b"))).otherwise(F.col(reading)).alias("snapped"), F.when(both, F.least("_ca", "_cb")).otherwise(F.lit(0.0)).alias("confidence"))
 
 
 def unique_prefix(readings: DataFrame, vocabulary: DataFrame, reading: str, least: int = 6) -> DataFrame:
     """The value of which the reading is a beginning, if it is one value only."""
-    seen = readings.select(reading).distinct().withColumn("c", canon(F.col(reading))).where(F.length("c") >= least)
-    words = vocabulary.select("value", canon(F.col("value")).alias("w"))
-    hits = seen.join(F.broadcast(words), F.startswith(F.col("w"), F.col("c")))
+    seen = readings.select(reading).distinct().withColumn("_c", canon(F.col(reading))).where(F.length("_c") >= least)
+    words = vocabulary.select("value", canon(F.col("value")).alias("_w"))
+    hits = seen.join(F.broadcast(words), F.startswith(F.col("_w"), F.col("_c")))
     return hits.groupBy(reading).agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n")).where("n = 1").select(reading, "value")
 
 
@@ -85,11 +85,11 @@ def mismatches(a: Column, b: Column) -> Column:
 def match_labels(readings: DataFrame, labels: DataFrame, reading: str) -> DataFrame:
     """The label (idx, label) with fewest positional mismatches: at most a quarter of it or two,
     and at most four characters longer or shorter. The first label wins ties."""
-    seen = readings.select(reading).distinct().withColumn("r", F.lower(F.trim(F.col(reading))))
-    words = labels.select("idx", "label", F.lower("label").alias("w"))
-    pairs = seen.crossJoin(F.broadcast(words)).where(F.abs(F.length("r") - F.length("w")) <= 4)
-    scored = pairs.withColumn("d", mismatches(F.col("r"), F.col("w"))).where(F.col("d") <= F.greatest(F.lit(2), F.floor(F.length("w") / 4)))
-    return scored.groupBy(reading).agg(F.min(F.struct("d", "idx", "label")).alias("m")).select(reading, F.col("m.label").alias("label"), F.col("m.d").alias("mismatches"))
+    seen = readings.select(reading).distinct().withColumn("_r", F.lower(F.trim(F.col(reading))))
+    words = labels.select("idx", "label", F.lower("label").alias("_w"))
+    pairs = seen.crossJoin(F.broadcast(words)).where(F.abs(F.length("_r") - F.length("_w")) <= 4)
+    scored = pairs.withColumn("_d", mismatches(F.col("_r"), F.col("_w"))).where(F.col("_d") <= F.greatest(F.lit(2), F.floor(F.length("_w") / 4)))
+    return scored.groupBy(reading).agg(F.min(F.struct(F.col("_d").alias("d"), "idx", "label")).alias("m")).select(reading, F.col("m.label").alias("label"), F.col("m.d").alias("mismatches"))
 
 
 def snap_findings(readings: DataFrame, reading: str) -> DataFrame:
@@ -100,11 +100,11 @@ def snap_findings(readings: DataFrame, reading: str) -> DataFrame:
     spark = readings.sparkSession
     names = spark.range(3).select(F.col("id").alias("idx"), F.element_at(F.array(*map(F.lit, ("APPROVED", "DENIED", "NEEDS_REVIEW"))), (F.col("id") + 1).cast("int")).alias("value"))
     blocked = ("approval", "approvals", "denial", "denials", "review", "reviewed", "reviewer")
-    seen = readings.select(reading).distinct().withColumn("c", canon(F.col(reading))).where(~F.col("c").isin("", *blocked))
+    seen = readings.select(reading).distinct().withColumn("_c", canon(F.col(reading))).where(~F.col("_c").isin("", *blocked))
     start = unique_prefix(seen, names, reading, 3).withColumnRenamed("value", "by_start")
-    pairs = seen.crossJoin(F.broadcast(names)).withColumn("d", distance(F.col("c"), canon(F.col("value")), SCAN))
-    best = pairs.groupBy(reading).agg(F.array_sort(F.collect_list(F.struct("d", "value"))).alias("r"))
-    a, b = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    pairs = seen.crossJoin(F.broadcast(names)).withColumn("_d", distance(F.col("_c"), canon(F.col("value")), SCAN))
+    best = pairs.groupBy(reading).agg(F.array_sort(F.collect_list(F.struct(F.col("_d").alias("d"), "value"))).alias("_r"))
+    a, b = F.get("_r", F.lit(0)), F.get("_r", F.lit(1))
     ok = (a["d"] < F.greatest(F.lit(1.0), F.length(canon(a["value"])) * 0.35)) & (b["d"] - a["d"] >= 1.0)
     near = best.select(reading, F.when(ok, a["value"]).alias("near"))
     return near.join(start, reading, "left").select(reading, F.coalesce("by_start", "near").alias("finding")).where("finding is not null")

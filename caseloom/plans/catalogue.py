@@ -432,7 +432,7 @@ def q36_fingerprint(spark, sf_dir):
 def q37_label_parse(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumn("line", F.concat(F.initcap("event_type"), F.lit(" :  "), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit(" ")))
     parts = F.split("line", ":", 2)
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), T.norm(F.element_at(parts, 1)).alias("key"), F.trim(F.element_at(parts, 2)).alias("value"))
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), T.norm(F.get(parts, F.lit(0))).alias("key"), F.trim(F.get(parts, F.lit(1))).alias("value"))
 
 
 @query("""WITH b AS (SELECT item_id, substr(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 1, 24) AS key FROM benchmark), d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS c FROM documents)
