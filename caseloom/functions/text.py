@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Titles that open a page, with the page kind. Fixed values; the first match counts.
+#: Patterns of the titles that open a page, with the page kind. Fixed values; the first match counts.
 PAGE_TITLES = {
-    "Manual Adjudicator Note": "adjudicator",
-    "FORM I-8090": "intake",
-    "FORM B-13": "biometric",
-    "Sponsor Attestation": "sponsor_letter",
-    "Planetary Registry Extract": "registry",
-    "MIB Fee Receipt": "fee_receipt",
+    "^Manual Adjudicator Note": "adjudicator",
+    "^FORM I-8090": "intake",
+    "^FORM B-13": "biometric",
+    "^Sponsor Attestation": "sponsor_letter",
+    "^Planetary Registry Extract": "registry",
+    "^[A-Z]{3} Fee Receipt": "fee_receipt",
 }
 #: Trust rank of each source; 0 is trusted most, 9 not at all. Fixed values.
 TRUST = {"manual_correction": 0, "adjudicator": 1, "intake": 2, "fee_receipt": 2, "biometric": 3, "sponsor_letter": 4, "registry": 5, "scanned_page": 6, "scanned_page_fallback": 7, "unknown": 9}
@@ -86,7 +86,7 @@ def non_evidentiary(c: Column) -> Column:
 def page_kind(title: Column) -> Column:
     out = F.lit("unknown")
     for start, kind in reversed(list(PAGE_TITLES.items())):
-        out = F.when(F.startswith(title, F.lit(start)), kind).otherwise(out)
+        out = F.when(title.rlike(start), kind).otherwise(out)
     return F.coalesce(out, F.lit("unknown"))
 
 
