@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import word_count
+from caseloom.llm.common import materialize, word_count
 
 #: Weights of the sources in the order of their names, over and over.
 WEIGHTS = (1, 2, 3)
@@ -42,6 +42,12 @@ def source_rates(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     return out.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
 
 
+def written_rates(sizes: DataFrame) -> DataFrame:
+    """``source_rates`` as a written table, whose size the planner knows: it broadcasts the table
+    where that is below the session's threshold, so texts are not shuffled by source."""
+    return materialize(source_rates(sizes), "mix-rates")
+
+
 def draw(doc_id: Column, seed: int) -> Column:
     """A number from 0 to below 1 that doc_id and seed decide, the same in every run."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
@@ -55,7 +61,7 @@ def copies(rate: Column, doc_id: Column, seed: int) -> Column:
 
 def mix_sizes(sizes: DataFrame, seed: int = 0) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for ``sizes (doc_id, source, size)``."""
-    rates = source_rates(sizes).withColumnRenamed("source", "_source")
+    rates = written_rates(sizes).withColumnRenamed("source", "_source")
     out = sizes.join(rates, F.col("source").eqNullSafe(F.col("_source")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("rate"), F.col("doc_id"), seed)).alias("taken"))
 
@@ -71,7 +77,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     empty texts have no words but are drawn like the rest; sources that have no words
     at all are not taken. A null source is a source of its own, the last.
     """
-    rates = source_rates(with_sizes(docs)).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    rates = written_rates(with_sizes(docs)).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     drawn = docs.join(rates, F.col("source").cast("string").eqNullSafe(F.col("_source")))
     drawn = drawn.withColumn("_copies", copies(F.col("_rate"), F.col("doc_id"), seed)).where("_copies > 0")
     return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select([docs[c] for c in docs.columns])
