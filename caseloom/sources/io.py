@@ -111,3 +111,8 @@ def load_stage(spark: SparkSession, path: str, fingerprint: str) -> tuple[DataFr
 def row_fingerprint(columns: list[str]) -> Column:
     """SHA-256 of a row as JSON, with its columns in alphabetical order."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows that a seed picks, the same in every run."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
