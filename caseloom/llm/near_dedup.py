@@ -17,6 +17,9 @@ from caseloom.llm.components import connected_components
 #: A pair goes to verification unless its corrected estimate is this far below the
 #: threshold: six standard deviations of 128 registers at a similarity of 0.75.
 SLACK = 0.23
+#: Registers of the finer sketches, and classes in a block, of the last step.
+FINE = 512
+BLOCK = 256
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,28 +78,86 @@ def _similar(x: Column, y: Column, n_x: Column, n_y: Column, percent: int) -> Co
     return (F.least(n_x, n_y) * 100 >= F.greatest(n_x, n_y) * percent) & (corrected >= percent / 100 - SLACK)
 
 
+def _texts(classes: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """``cls, text`` of one document of each of ``classes (cls)``."""
+    found = reps.join(classes, "cls", "left_semi").select("cls", "rep_id", "rep_t")
+    d = docs.select("doc_id", "t", "text")
+    return found.join(d, found.rep_id.eqNullSafe(d.doc_id) & (found.rep_t == d.t)).select("cls", "text")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs (a, b)`` that hold on full sets; texts come from one document of each class."""
-    used = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    found = reps.join(used, "cls", "left_semi").select("cls", "rep_id", "rep_t")
-    d = docs.select("doc_id", "t", "text")
-    texts = found.join(d, found.rep_id.eqNullSafe(d.doc_id) & (found.rep_t == d.t)).select("cls", "text")
+    texts = _texts(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), reps, docs)
     full = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     return full.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _linked(it, percent), "a binary, b binary").distinct()
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = S.WordHashes()
+    for batch in batches:
+        sets = [S.shingle_set(t, hashes) for t in batch.column("text").to_pylist()]
+        fine = [S.registers(s, FINE).astype(np.uint16).tobytes() for s in sets]
+        bands = [S.bands(S.registers(s)).tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fine, pa.binary()), pa.array(bands, pa.binary())], ["cls", "n", "fine", "bands"])
+
+
+def _block_pairs(block: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a block, one of them asking, of different components and likely similar.
+
+    A pair comes up in each band that it shares; only the first of them gives it. There
+    it is in one bucket too, and was either paired with the leader or comes up here.
+    """
+    comp = np.unique(np.array(block.column("comp").to_pylist(), object), return_inverse=True)[1]
+    n = block.column("n").to_numpy().astype(float)
+    asks = np.array(block.column("asks").to_pylist(), bool)
+    cls = block.column("cls").to_pylist()
+    fine = np.frombuffer(b"".join(block.column("fine").to_pylist()), np.uint16).reshape(len(cls), FINE)
+    bands = np.frombuffer(b"".join(block.column("bands").to_pylist()), np.int64).reshape(len(cls), S.BANDS)
+    band = block.column("band")[0].as_py()
+    stay = np.nonzero(~asks)[0]
+    p = S.collision_rate(1 << 20, 1 << 20)
+    least = percent / 100 - 4.5 * np.sqrt(percent / 100 * (1 - percent / 100) / FINE)
+    out = set()
+    for i in np.nonzero(asks)[0]:
+        size = (100 * np.minimum(n[stay], n[i]) >= percent * np.maximum(n[stay], n[i])) & (comp[stay] != comp[i])
+        js = stay[size]
+        js = js[(bands[js] == bands[i]).argmax(axis=1) == band]
+        agree = (fine[js] == fine[i]).mean(axis=1)
+        out.update((min(cls[i], cls[j]), max(cls[i], cls[j])) for j in js[(agree - p) / (1 - p) >= least])
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _across(rest: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs across components within the buckets of ``rest (bucket, band, cls, comp, major, blocks)``.
+
+    In each bucket the classes outside its largest component ask all its classes, in
+    blocks of about ``BLOCK``; finer sketches, of 512 registers, let pass what is no
+    more than 4.5 standard deviations below the threshold.
+    """
+    texts = _texts(rest.select("cls").distinct(), reps, docs)
+    fine = materialize(texts.mapInArrow(_fine, "cls binary, n long, fine binary, bands binary"), "near-fine")
+    rows = rest.join(fine, "cls")
+    stay = rows.select("bucket", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "band", "cls", "comp", "n", "fine", "bands")
+    asks = rows.where("comp <> major").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "band", "cls", "comp", "n", "fine", "bands")
+    pairs = stay.unionByName(asks).groupBy("bucket", "block").applyInArrow(lambda t: _block_pairs(t, percent), "a binary, b binary")
+    return materialize(pairs.distinct(), "near-pairs")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text)``.
 
     1. Every text becomes its set of 5-word shingles (64-bit hashes), a 128-bit
        digest of the set and a HyperMinHash sketch. Equal sets are one class.
-    2. Bands of four compressed registers put classes into buckets. Each class of a
-       bucket is paired with the bucket's least and greatest class only; pairs whose
-       collision-corrected estimate is hopeless go, the rest is verified on full sets.
-    3. Components of these links; then, in buckets that still hold several
-       components, the pairs across components are estimated inside the join and
-       verified as well. So no link that banding can find is lost, while a group of
-       copies costs pairs in proportion to its size.
+    2. Bands of four compressed registers put classes into buckets. A bucket's leader
+       is its class with the most company. Each class is paired with the best of its
+       leaders, then with those leaders that are still in another component; pairs
+       whose collision-corrected estimate is hopeless go, the rest is verified on
+       full sets.
+    3. In buckets that still hold several components, classes outside the largest one
+       ask all others, in blocks, by finer sketches; what these let pass is verified
+       as well. So no link that banding can find is lost, while a group of copies
+       costs pairs in proportion to its size.
 
     A pair at a similarity of exactly 0.75 escapes all 32 bands with probability
     5e-6, and less above. Null, empty and blank texts have no shingles and link with
@@ -110,36 +171,49 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.withColumn("t", F.xxhash64("text"))
     base = materialize(docs.mapInArrow(_sketches, "doc_id long, t long, n_shingles long, cls binary, sketch array<long>"), "near-sketches")
     reps = base.where("cls is not null").groupBy("cls").agg(
-        F.min(F.struct("doc_id", "t")).alias("r"), F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")
+        F.min(F.struct("doc_id", "t")).alias("r"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
     reps = materialize(reps.select("cls", F.col("r.doc_id").alias("rep_id"), F.col("r.t").alias("rep_t"), "least_id", "n", "sketch"), "near-classes")
     sketch = reps.select("cls", "n", "sketch")
 
-    slots = reps.select("cls", F.posexplode("sketch").alias("band", "key")).select("cls", F.xxhash64("band", "key").alias("bucket"))
-    ends = slots.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-    members = materialize(slots.join(ends, "bucket"), "near-buckets")
+    slots = reps.select("cls", F.posexplode("sketch").alias("band", "key")).select("cls", "band", F.xxhash64("band", "key").alias("bucket"))
+    shared = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = materialize(slots.join(shared, "bucket"), "near-buckets")
+    # a bucket's leader is its class with the most company in all buckets: the likely original
+    company = members.groupBy("cls").agg(F.struct(F.sum("size").alias("n"), "cls").alias("rank"))
+    ranked = members.join(company, "cls")
+    leaders = ranked.groupBy("bucket").agg(F.max("rank").alias("leader"))
+    members = materialize(ranked.join(leaders, "bucket").select("bucket", "band", "cls", "size", "leader"), "near-buckets")
 
     side = lambda c: sketch.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    star = members.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("cls").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    star = star.join(side("b"), "b").join(side("a"), "a").where(_similar(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    links = materialize(_verified(materialize(star, "near-star"), reps, docs, percent), "near-links")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        likely = pairs.join(side("b"), "b").join(side("a"), "a").where(_similar(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+        return materialize(_verified(materialize(likely, "near-pairs"), reps, docs, percent), "near-links")
+
+    def labelled(comp: DataFrame) -> DataFrame:
+        named = comp.withColumnRenamed("node", "cls")
+        of_leader = comp.select(F.col("node").alias("lead"), F.col("component").alias("lead_comp"))
+        rows = members.withColumn("lead", F.col("leader.cls")).join(named, "cls", "left").join(of_leader, "lead", "left")
+        return rows.select("bucket", "band", "cls", "size", "lead", F.coalesce("component", "cls").alias("comp"), F.coalesce("lead_comp", "lead").alias("lead_comp"))
+
+    # first each class with its best leader, then with the leaders that are in another component
+    first = members.groupBy("cls").agg(F.max("leader").alias("l")).select(F.col("l.cls").alias("a"), F.col("cls").alias("b")).where("a <> b")
+    first = materialize(first, "near-pairs")
+    links = verified(first)
+    comp = connected_components(links)
+    second = labelled(comp).where("comp <> lead_comp").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    links = materialize(links.unionByName(verified(second)), "near-links")
     comp = connected_components(links)
 
-    # what the stars left: classes of one bucket in several components
-    labelled = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", "lo", "hi", F.coalesce("component", "cls").alias("comp"))
-    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1 and size > 3").select("bucket")
-    rest = labelled.where("cls <> lo and cls <> hi").join(mixed, "bucket").select("bucket", "cls", "comp").join(sketch, "cls")
-    rest = materialize(rest, "near-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(
-        y,
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & _similar(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), percent),
-    ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    across = materialize(across.distinct(), "near-across")
-    if across.limit(1).count():
-        more = materialize(_verified(across, reps, docs, percent), "near-links")
-        if more.limit(1).count():
-            comp = connected_components(links.unionByName(more))
+    # what the leaders left: buckets whose other classes are in several components
+    left = materialize(labelled(comp).where("size > 2 and cls <> lead").select("bucket", "band", "cls", "comp"), "near-left")
+    by_comp = left.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_comp.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("major"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    rest = materialize(left.join(mixed.select("bucket", F.col("major.comp").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket"), "near-rest")
+    more = materialize(_verified(_across(rest, reps, docs, percent), reps, docs, percent), "near-links")
+    if more.limit(1).count():
+        comp = connected_components(links.unionByName(more))
 
     named = reps.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least_id", F.coalesce("component", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 
@@ -56,34 +58,33 @@ def shingle_set(text: bytes | None, hashes: WordHashes, width: int = WIDTH) -> n
     return np.unique(_mix(h))
 
 
-def _probes() -> np.ndarray:
+@lru_cache(maxsize=4)
+def _probes(buckets: int) -> np.ndarray:
     """For each bucket, all buckets in an order of its own: where an empty one borrows."""
-    return np.stack([np.random.RandomState(7919 + b).permutation(BUCKETS) for b in range(BUCKETS)])
-
-
-_PROBES = _probes()
-_EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(57)
+    return np.stack([np.random.RandomState(7919 + b).permutation(buckets) for b in range(buckets)]).astype(np.int16)
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of a non-empty sorted set of hashes.
+def registers(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """HyperMinHash registers of a non-empty sorted set of hashes; ``buckets`` a power of two.
 
-    The top 7 bits choose the bucket. Of the bucket's least hash the register
-    keeps the count of leading zeros and the 10 bits after the first one. An empty
-    bucket borrows the register of the first full one in its own fixed order, so
-    that registers of small sets still agree with the probability of their Jaccard
+    The top bits choose the bucket. Of the bucket's least hash the register keeps the
+    count of leading zeros and the 10 bits after the first one. An empty bucket
+    borrows the register of the first full one in its own fixed order, so that
+    registers of small sets still agree with the probability of their Jaccard
     similarity.
     """
-    at = np.searchsorted(hashes, _EDGES)
+    top = np.uint64(65 - buckets.bit_length())
+    numbers = np.arange(buckets, dtype=np.uint64)
+    at = np.searchsorted(hashes, numbers << top)
     least = hashes[np.minimum(at, len(hashes) - 1)]
-    full = (at < len(hashes)) & (least >> np.uint64(57) == np.arange(BUCKETS, dtype=np.uint64))
-    v = least << np.uint64(7)
+    full = (at < len(hashes)) & (least >> top == numbers)
+    v = least << np.uint64(buckets.bit_length() - 1)
     lz = np.where(v >> np.uint64(11) == 0, MAX_LZ, 53 - np.frexp((v >> np.uint64(11)).astype(np.float64))[1]).astype(np.uint64)
     mantissa = (v << (lz + np.uint64(1))) >> np.uint64(64 - MANTISSA)
     reg = (lz << np.uint64(MANTISSA)) | mantissa
     if not full.all():
         empty = np.nonzero(~full)[0]
-        order = _PROBES[empty]
+        order = _probes(buckets)[empty]
         reg[empty] = reg[order[np.arange(len(empty)), full[order].argmax(axis=1)]]
     return reg
 
@@ -100,9 +101,3 @@ def collision_rate(n_a: float, n_b: float) -> float:
     lz = np.arange(MAX_LZ + 1)
     spread = lambda n: np.exp(-(n / BUCKETS) * 2.0 ** -(lz + 1)) - np.exp(-(n / BUCKETS) * 2.0**-lz)
     return float((spread(n_a) * spread(n_b)).sum() * 2.0**-MANTISSA)
-
-
-def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
-    """Jaccard similarity from two register arrays, corrected for chance collisions."""
-    p = collision_rate(n_a, n_b)
-    return max(0.0, (float((a == b).mean()) - p) / (1.0 - p))
