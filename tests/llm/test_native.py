@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import re
+import struct
 
 import pytest
 import xxhash
@@ -79,22 +80,24 @@ def test_shards(spark):
     assert len(one) == 1 and one[0]["slot"] == 0
 
 
-def h(*words, seed=42):
-    for w in words:
-        seed = xxhash.xxh64_intdigest(w.encode(), seed)
-    return seed - (1 << 64) if seed >= 1 << 63 else seed
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def chained(words):
+def one(word):
+    return signed(xxhash.xxh64_intdigest(word.encode(), 42))
+
+
+def two(a, b):
     seed = 42
-    for w in words:
-        seed = xxhash.xxh64_intdigest(w.encode(), seed)
-    return (seed - (1 << 64) if seed >= 1 << 63 else seed) % quality.BUCKETS
+    for x in (a, b):
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", x), seed)
+    return signed(seed)
 
 
 def grams(text):
-    w = WORD.findall(text or "")
-    return [chained([x]) for x in w] + [chained(p) for p in zip(w, w[1:])]
+    w = [one(x) for x in WORD.findall(text or "")]
+    return [x & (quality.BUCKETS - 1) for x in w + [two(*p) for p in zip(w, w[1:])]]
 
 
 def test_quality_equals_brute_force(spark):
