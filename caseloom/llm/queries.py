@@ -26,8 +26,9 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality(table(spark, sf_dir, "documents"), trusted)
+    labels = table(spark, sf_dir, "labels")
+    side = lambda q: labels.where(F.col("quality") == q).select("doc_id")
+    return quality(table(spark, sf_dir, "documents"), side(1), side(0))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

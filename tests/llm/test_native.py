@@ -130,6 +130,29 @@ def test_quality_equals_brute_force(spark):
     assert {r["score"] for r in quality.quality(df, trusted.limit(0)).collect()} == {0.0}
 
 
+def test_quality_threshold_from_labels(spark):
+    words = {x: [f"{x}{k}" for k in range(60)] for x in ("en", "de", "es", "fr")}
+    docs, trusted, low = [], [], []
+    for n, (lang, w) in enumerate(words.items()):
+        for k in range(60):
+            i = 1000 * n + k
+            text = [w[(k * 7 + j * (1 + k % 5)) % 60] for j in range(40)]
+            if k % 6 == 0:  # two words of forty carry signs: damaged, yet nearly as likely as the rest
+                text = [x + "&&&" if j in (11, 29) else x for j, x in enumerate(text)]
+            docs.append((i, " ".join(text)))
+            (low if k % 6 == 0 else trusted).append((i,))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    df, good, bad = frame(docs, "doc_id long, text string"), frame(trusted, "doc_id long"), frame(low, "doc_id long")
+    rows = quality.quality(df, good, bad).collect()
+    marked = {i for (i,) in low}
+    alive = [r for r in rows if not r["base_failed"]]
+    assert {r["doc_id"] // 1000 for r in alive if r["doc_id"] in marked} == {0, 1, 2, 3}
+    assert [r["doc_id"] for r in alive if r["kept"] == (r["doc_id"] in marked)] == []
+    assert any(r["score"] >= quality.THRESHOLD for r in alive if r["doc_id"] in marked)
+    none = quality.quality(df, good, bad.limit(0)).collect()
+    assert all(r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD) for r in none)
+
+
 def brute_lines(docs, least):
     """Line numbers that go, from all runs of all documents."""
     seqs = {}
