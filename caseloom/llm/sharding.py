@@ -1,4 +1,4 @@
-"""Balanced label propagation: shards of near equal bytes that keep linked documents together."""
+"""Shards of near equal bytes that keep linked documents together."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from caseloom.llm.common import materialize
 
 SHARDS = 40
-ROUNDS = 4
 #: Cells of the two-level running sums: what a task orders is one cell of a shard or of all.
 CELLS = 1024
 #: Unlinked documents are placed in classes of size: above these multiples of the mean.
@@ -25,36 +24,48 @@ def _loads(placed: DataFrame) -> dict[int, int]:
     return {r["shard"]: r["bytes"] for r in placed.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}
 
 
-def propagate(linked: DataFrame, capacity: float, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """``uid, g, gh, size, shard`` for the linked documents ``linked (uid, g, gh, size)``.
+def quotas(groups: list[tuple[str, int]], capacity: float, shards: int = SHARDS) -> list[tuple[str, float, float, int]]:
+    """``(g, lo, hi, shard)``: bytes lo to hi of each large group belong to the shard.
 
-    All begin in a shard by their hash ``gh``: that of the group, or of the row where
-    the group is larger than a shard may hold. Each round every group finds, among the
-    shards that have room, the one that holds most of its bytes; members elsewhere ask
-    to move there, and are let in in the order of a hash until the shard's quota is
-    used. Requests are summed by cell first, so quotas cost shards times cells rows.
+    The largest group comes first. A group takes the emptiest shard whole as long as none
+    can hold what is left of it, then the fullest one that can.
     """
-    state = materialize(linked.withColumn("shard", _cell(1, shards, "gh")), "shard-state")
-    for k in range(rounds):
-        held = state.groupBy("g", "shard").agg(F.sum("size").alias("bytes"))
-        room = state.groupBy("shard").agg((F.lit(capacity) - F.sum("size")).alias("room"))
-        every = linked.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(room, "shard", "left").select("shard", F.coalesce("room", F.lit(float(capacity))).alias("room"))
-        least = capacity * 0.002
-        choice = held.join(every, "shard").where(F.col("room") > least).groupBy("g").agg(F.max(F.struct("bytes", (-F.col("shard")).alias("s"))).alias("m")).select("g", (-F.col("m.s")).cast("int").alias("to"))
-        asking = state.join(choice, "g").where("shard <> to").withColumn("cell", _cell(2 + k))
-        asked = asking.groupBy("to", "cell").agg(F.sum("size").alias("bytes"))
-        running = asked.withColumn("upto", F.sum("bytes").over(W.partitionBy("to").orderBy("cell")))
-        allowed = running.join(every.withColumnRenamed("shard", "to"), "to").where("upto <= room").select("to", "cell")
-        moves = asking.join(allowed, ["to", "cell"]).select("uid", "to")
-        state = materialize(state.join(moves, "uid", "left").select("uid", "g", "gh", "size", F.coalesce("to", "shard").alias("shard")), "shard-state")
-    return state
+    room, out = [capacity] * shards, []
+    for g, size in sorted(groups, key=lambda x: (-x[1], x[0])):
+        at = 0.0
+        while at < size:
+            fits = [s for s in range(shards) if room[s] >= size - at]
+            s = min(fits, key=lambda s: (room[s], s)) if fits else max(range(shards), key=lambda s: (room[s], -s))
+            if room[s] <= 0:
+                break
+            take = min(room[s], size - at)
+            out.append((g, at, at + take, s))
+            room[s], at = room[s] - take, at + take
+    return out
+
+
+def deal(rows: DataFrame, groups: list[tuple[str, int]], capacity: float, shards: int = SHARDS) -> DataFrame:
+    """``uid, gh, size, large, shard`` for the documents ``rows (uid, g, gh, size, large)`` of large groups.
+
+    Their running sum of bytes, in two levels, walks through the quotas of their group.
+    The shard is null for a document across the border of two.
+    """
+    ours = rows.sparkSession.createDataFrame(quotas(groups, capacity, shards), "q string, lo double, hi double, shard int")
+    rows = rows.withColumn("cell", _cell(3))
+    cells = rows.groupBy("g", "cell").agg(F.sum("size").alias("bytes"))
+    start = cells.select("g", "cell", (F.sum("bytes").over(W.partitionBy("g").orderBy("cell")) - F.col("bytes")).alias("start"))
+    within = rows.withColumn("upto", F.sum("size").over(W.partitionBy("g", "cell").orderBy("uid"))).join(start, ["g", "cell"])
+    end = F.col("start") + F.col("upto")
+    inside = (F.col("g") == F.col("q")) & (end - F.col("size") >= F.col("lo")) & (end <= F.col("hi"))
+    return within.join(F.broadcast(ours), inside, "left").select("uid", "gh", "size", "large", "shard")
 
 
 def over_quota(placed: DataFrame, capacity: float) -> DataFrame:
-    """``shard, cell`` that overfull shards give up, cells of whole groups first to last."""
-    cells = placed.groupBy("shard", _cell(55, CELLS, "gh").alias("cell")).agg(F.sum("size").alias("bytes"))
+    """``shard, cell`` that overfull shards give up, cells of whole groups first to last; none of large groups."""
+    small = F.when(~F.col("large"), F.col("size")).otherwise(0)
+    cells = placed.groupBy("shard", _cell(55, CELLS, "gh").alias("cell")).agg(F.sum("size").alias("bytes"), F.sum(small).alias("small"))
     w = W.partitionBy("shard")
-    run = cells.withColumn("before", F.sum("bytes").over(w.orderBy("cell")) - F.col("bytes")).withColumn("load", F.sum("bytes").over(w))
+    run = cells.withColumn("before", F.sum("small").over(w.orderBy("cell")) - F.col("small")).withColumn("load", F.sum("bytes").over(w))
     return run.where(F.col("before") < F.col("load") - capacity).select("shard", "cell")
 
 
@@ -85,8 +96,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Linked documents are those with equal texts (null is a text of its own). Size is
     the bytes of the text in UTF-8 plus 16; shards become near equal in size. A group
-    larger than a shard is split by the quotas; smaller ones stay together unless a
-    quota ends. Slots count up from 0 in each shard. Rows are told apart by a number
+    larger than a shard fills as few shards as can hold it; smaller ones go whole where
+    their hash says, and together to where there is room if that shard is overfull. As
+    all links are equality, no move between shards could lower the cut of a whole group. Slots count up from 0 in each shard. Rows are told apart by a number
     given when they are first written, so repeated rows and null doc_ids are rows of
     their own. An empty table gives an empty one; other columns are ignored.
     """
@@ -104,10 +116,17 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     capacity = total / shards
     groups = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1").select("g", (F.col("bytes") > capacity).alias("large"))
     rows = base.select("uid", "g", "size").join(groups, "g", "left")
-    rows = materialize(rows.select("uid", "g", F.when(F.col("large"), F.xxhash64("uid")).otherwise(F.xxhash64("g")).alias("gh"), "size", F.col("large").isNotNull().alias("linked")), "shard-rows")
-    state = propagate(rows.where("linked").drop("linked"), capacity, shards)
-    released = state.withColumn("cell", _cell(55, CELLS, "gh")).join(over_quota(state, capacity).withColumn("out", F.lit(True)), ["shard", "cell"], "left")
-    released = materialize(released.select("uid", "gh", "size", "shard", F.col("out").isNotNull().alias("out")), "shard-linked")
+    gh = F.when(F.col("large"), F.xxhash64("uid")).otherwise(F.xxhash64("g"))
+    rows = materialize(rows.select("uid", "g", gh.alias("gh"), "size", F.col("large").isNotNull().alias("linked"), F.coalesce("large", F.lit(False)).alias("large")), "shard-rows")
+    big = [(r["g"], r["bytes"]) for r in rows.where("large").groupBy("g").agg(F.sum("size").alias("bytes")).collect()]  # fewer than shards
+    state = rows.where("linked and not large").select("uid", "gh", "size", "large", _cell(1, shards, "gh").alias("shard"))
+    if big:
+        state = state.unionByName(deal(rows.where("large"), big, capacity, shards))
+    state = materialize(state, "shard-state")
+    over = over_quota(state.where("shard is not null"), capacity).withColumn("over", F.lit(True))
+    released = state.withColumn("cell", _cell(55, CELLS, "gh")).join(over, ["shard", "cell"], "left")
+    out = F.col("shard").isNull() | (F.col("over").isNotNull() & ~F.col("large"))
+    released = materialize(released.select("uid", "gh", "size", "shard", out.alias("out")), "shard-linked")
     placed = released.where("not out").select("uid", "size", "shard")
     rest = rows.where("not linked").select("uid", "gh", "size").unionByName(released.where("out").select("uid", "gh", "size"))
     above = None

@@ -80,6 +80,20 @@ def test_shards(spark):
     assert len(one) == 1 and one[0]["slot"] == 0
 
 
+def test_large_group_fills_few_shards(spark):
+    rows = [(k, f"text {k} " * 5) for k in range(1200)] + [(5000 + k, "copied " * 7) for k in range(1600)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect()
+    load, group = collections.Counter(), collections.Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+        if r["doc_id"] >= 5000:
+            group[r["shard"]] += r["size"]
+    mean = sum(load.values()) / 16
+    assert len(got) == len(rows) and all(abs(v - mean) < 0.05 * mean for v in load.values())
+    few = -(-sum(group.values()) // mean)
+    assert few > 4 and sum(sorted(group.values())[-int(few) :]) >= 0.99 * sum(group.values())
+
+
 def signed(x):
     return x - (1 << 64) if x >= 1 << 63 else x
 
