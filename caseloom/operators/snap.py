@@ -60,10 +60,18 @@ def snap_names(readings: DataFrame, first_tokens: DataFrame, last_tokens: DataFr
 
 
 def unique_prefix(readings: DataFrame, vocabulary: DataFrame, reading: str, least: int = 6) -> DataFrame:
-    """The value of which the reading is a beginning, if it is one value only."""
+    """The value of which the reading is a beginning, if it is one value only.
+
+    Values meet readings by a hash of their beginning, one for each length that readings
+    have; the texts themselves decide.
+    """
     seen = readings.select(reading).distinct().withColumn("_c", canon(F.col(reading))).where(F.length("_c") >= least)
     words = vocabulary.select("value", canon(F.col("value")).alias("_w"))
-    hits = seen.join(F.broadcast(words), F.startswith(F.col("_w"), F.col("_c")))
+    lengths = seen.agg(F.collect_set(F.length("_c")).alias("_n"))
+    starts = words.crossJoin(F.broadcast(lengths)).select("value", "_w", F.explode(F.filter("_n", lambda n: n <= F.length("_w"))).alias("_k"))
+    starts = starts.withColumn("_h", F.xxhash64(F.substring(F.col("_w"), F.lit(1), F.col("_k"))))
+    hashed = seen.withColumn("_k", F.length("_c")).withColumn("_h", F.xxhash64("_c"))
+    hits = hashed.join(starts, ["_k", "_h"]).where(F.startswith(F.col("_w"), F.col("_c")))
     return hits.groupBy(reading).agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n")).where("n = 1").select(reading, "value")
 
 

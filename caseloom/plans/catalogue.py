@@ -500,3 +500,9 @@ def q45_repeats(spark, sf_dir):
 @query(f"WITH {_OBS}, f AS (SELECT user_id, event_type, count(*) AS n, min(value) <> max(value) AS split FROM obs GROUP BY ALL) SELECT user_id, CAST(sum(n) AS BIGINT) AS obs_total, count(*) FILTER (WHERE NOT split) AS fields_corroborated, count(*) FILTER (WHERE split) AS fields_conflicting FROM f GROUP BY user_id")
 def q46_corroboration_stats(spark, sf_dir):
     return resolve.corroboration(observations(spark, sf_dir).withColumnRenamed("event_type", "field"), "user_id")
+
+
+@query("""WITH r AS (SELECT DISTINCT text AS reading, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS c FROM benchmark), v AS (SELECT text AS value, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS w FROM documents)
+SELECT reading, min(value) AS value FROM r JOIN v ON starts_with(w, c) WHERE length(c) >= 6 GROUP BY reading HAVING count(*) = 1""")
+def q47_unique_prefix(spark, sf_dir):
+    return snap.unique_prefix(read(spark, sf_dir, "benchmark").select(F.col("text").alias("reading")), read(spark, sf_dir, "documents").select(F.col("text").alias("value")), "reading")

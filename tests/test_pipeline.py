@@ -131,3 +131,15 @@ def test_catalogue_runs(spark, data):
         at = [d[0] for d in want.description]
         b = sorted([str([plain(r[at.index(c)]) for c in cols]) for r in want.fetchall()])
         assert sorted(str([plain(r[c]) for c in cols]) for r in df.collect()) == b, name
+
+
+def test_whole_catalogue_queries(spark, data, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(1, "The same beginning, then apples."), (2, "The same beginning, then pears."), (3, "no document at all begins so")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, "The same beginning - then pears. And more"), (2, "x The same beginning, then apples.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.QUERIES["q47_unique_prefix"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("The same beginning, then pears.", "The same beginning - then pears. And more")]
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert con.execute(catalogue.ORACLES["q47_unique_prefix"]).fetchall() == [tuple(r) for r in got]
