@@ -506,3 +506,8 @@ def q46_corroboration_stats(spark, sf_dir):
 SELECT reading, min(value) AS value FROM r JOIN v ON starts_with(w, c) WHERE length(c) >= 6 GROUP BY reading HAVING count(*) = 1""")
 def q47_unique_prefix(spark, sf_dir):
     return snap.unique_prefix(read(spark, sf_dir, "benchmark").select(F.col("text").alias("reading")), read(spark, sf_dir, "documents").select(F.col("text").alias("value")), "reading")
+
+
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def q48_unseen_customers(spark, sf_dir):
+    return evaluate.unseen(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), read(spark, sf_dir, "customer"), "c_custkey")

@@ -143,3 +143,15 @@ def test_whole_catalogue_queries(spark, data, tmp_path):
     for t in ("benchmark", "documents"):
         con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     assert con.execute(catalogue.ORACLES["q47_unique_prefix"]).fetchall() == [tuple(r) for r in got]
+
+
+def test_unseen_is_asked_of_all_rows(spark, data, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(k,) for k in range(1, 31)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(k,) for k in range(1, 31) if k % 3], "o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(tuple(r) for r in catalogue.QUERIES["q48_unseen_customers"](spark, str(tmp_path)).collect())
+    assert got == [(k,) for k in range(3, 31, 3)]
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(con.execute(catalogue.ORACLES["q48_unseen_customers"]).fetchall()) == got
