@@ -43,6 +43,13 @@ def test_phase_one(spark):
     assert [r["page"] for r in layout.needs_reading(page, obs, images).collect()] == [9]  # a page without any text is read too
 
 
+def test_noisy_and_garbled_labels(spark):
+    lines = ["| Observed flags: illegible_biometrics | | |", "A) Observed flags: biohazard_red", "(Cbeerved flags: active_warrant", "page 3 Home World. Mars", "Vlsa Class = XW-1", "flags seen: none", "12: 30", "no label here"]
+    reads = spark.createDataFrame([("c", k, "primary", 0, x) for k, x in enumerate(lines)], io.READ_SCHEMA)
+    got = [(r["page"], r["field"], r["value"]) for r in layout.scanned_lines(reads).orderBy("page").collect()]
+    assert got == [(0, "_observed_flags", "illegible_biometrics"), (1, "_observed_flags", "biohazard_red"), (2, "_observed_flags", "active_warrant"), (3, "home_world", "Mars"), (4, "visa_class", "XW-1")]
+
+
 def test_streaming_phase_one(spark, tmp_path):
     spans, reads = packet(spark)
     spans.write.parquet(str(tmp_path / "spans"))
