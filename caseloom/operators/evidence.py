@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.functions.distance import SCAN
-from caseloom.functions.text import POLICY_TRUST, norm
+from caseloom.functions.distance import SCAN, distance
+from caseloom.functions.text import POLICY_TRUST, canon, norm
 from caseloom.operators.resolve import conflicts, consensus, tier_majority, trust_resolve, unanimous
 from caseloom.operators.snap import snap, snap_flags, snap_names
 
 #: Home worlds under embargo; used for what is printed only. Fixed values.
 EMBARGOED = ("TRAPPIST-1e", "Eris Relay")
+#: Distance of a compound candidate over its length, and of its last part over the longer one.
+LOOSE_FLAG, TERMINAL = 0.55, 0.40
 CLOSED = ("species_code", "home_world", "visa_class", "declared_purpose", "fee_status")
 
 
@@ -46,17 +48,28 @@ def records(obs: DataFrame, fields: tuple[str, ...], promote: frozenset[str] = f
     return both.groupBy("case_id").agg(*[pick(f, "policy").alias(f) for f in fields], *[pick(f, "printed").alias(f"printed_{f}") for f in fields])
 
 
+def compounds(candidates: DataFrame, flags: DataFrame) -> DataFrame:
+    """``raw, flag`` for damaged flags of two parts: a looser distance, but the last part survives."""
+    seen = candidates.select("raw").distinct().where(F.length("raw") - F.length(F.replace("raw", F.lit("_"), F.lit(""))) == 1)
+    loose = snap_flags(seen, flags, "raw", ratio=LOOSE_FLAG).where("snapped is not null and confidence > 0")
+    end = lambda c: canon(F.substring_index(c, "_", -1))
+    ends = loose.select("raw", F.col("snapped").alias("flag"), end("raw").alias("x"), end("snapped").alias("y")).where("x <> '' and y <> ''")
+    ends = ends.withColumn("d", distance(F.col("x"), F.col("y"), SCAN))
+    return ends.where(F.col("d") / F.greatest(F.length("x"), F.length("y")) <= TERMINAL).select("raw", "flag")
+
+
 def risk_flags(observed: DataFrame, candidates: DataFrame, registry: DataFrame, obs: DataFrame, flags: DataFrame) -> DataFrame:
     """``case_id, flag`` from seven derivations.
 
-    ``observed`` and ``candidates`` are ``(case_id, raw)``, taken leniently and only
-    with high confidence; ``registry (case_id, status)``; ``obs`` gives conflicting
-    sponsors between letter and form and several confident identities.
+    ``observed`` and ``candidates`` are ``(case_id, raw)``: what a label calls a flag may
+    be clipped; free text is taken strictly, or as a damaged compound whose last part
+    survives. ``registry (case_id, status)``; ``obs`` gives conflicting sponsors between
+    letter and form and several confident identities.
     """
-    near = snap_flags(observed.select("raw").union(candidates.select("raw")).distinct(), flags, "raw")
-    a = observed.join(near, "raw").where("snapped is not null").select("case_id", F.col("snapped").alias("flag"))
-    b = candidates.join(near, "raw").where("snapped is not null and confidence >= 0.7").select("case_id", F.col("snapped").alias("flag"))
-    c = registry.where("upper(status) = 'EMBARGO'").select("case_id", F.lit("planetary_embargo").alias("flag"))
+    a = observed.join(snap_flags(observed, flags, "raw", clipped=True), "raw").where("confidence > 0").select("case_id", F.col("snapped").alias("flag"))
+    b = candidates.join(snap_flags(candidates, flags, "raw"), "raw").where("confidence > 0").select("case_id", F.col("snapped").alias("flag"))
+    b = b.union(candidates.join(compounds(candidates, flags), "raw").select("case_id", "flag"))
+    c = registry.where("contains(upper(status), 'EMBARGO')").select("case_id", F.lit("planetary_embargo").alias("flag"))
     trusted = obs.where(F.col("trust") <= POLICY_TRUST)
     form = trusted.where("source <> 'sponsor_letter'")
     letter = trusted.where("source = 'sponsor_letter'")

@@ -75,13 +75,34 @@ def unique_prefix(readings: DataFrame, vocabulary: DataFrame, reading: str, leas
     return hits.groupBy(reading).agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n")).where("n = 1").select(reading, "value")
 
 
-def snap_flags(readings: DataFrame, flags: DataFrame, reading: str) -> DataFrame:
-    """Flags by distance, else by a unique beginning of six characters (confidence up to 0.75)."""
-    near = snap(readings, flags, reading, ratio=0.30)
+def truncated(readings: DataFrame, flags: DataFrame, reading: str) -> DataFrame:
+    """``reading, clipped, clip``: the flag whose beginning is nearest to a reading of three characters or more.
+
+    At a distance of 1 at most and a lead of 0.5; confidence ``clip`` up to 0.7. Safe only
+    where a label says that the reading is a flag.
+    """
+    seen = readings.select(reading).distinct().withColumn("_c", canon(F.col(reading))).where(F.length("_c") >= 3)
+    words = flags.select("value", canon(F.col("value")).alias("_w"))
+    pairs = seen.crossJoin(F.broadcast(words)).where(F.length("_c") <= F.length("_w"))
+    scored = pairs.withColumn("d", distance(F.col("_c"), F.substring(F.col("_w"), F.lit(1), F.length("_c")), SCAN)).where("d <= 1.0")
+    best = scored.groupBy(reading).agg(F.array_sort(F.collect_list(F.struct("d", "value", (F.length("_c") / F.length("_w")).alias("share")))).alias("_r"))
+    a, b = F.get("_r", F.lit(0)), F.get("_r", F.lit(1))
+    sure = best.where(b.isNull() | (b["d"] - a["d"] >= 0.5))
+    return sure.select(reading, a["value"].alias("clipped"), F.least(F.lit(0.7), a["share"] * (1.0 - a["d"]) + 0.25).alias("clip"))
+
+
+def snap_flags(readings: DataFrame, flags: DataFrame, reading: str, ratio: float = 0.30, clipped: bool = False) -> DataFrame:
+    """Flags by distance, else by a unique beginning of six characters (confidence up to 0.75),
+    else, with ``clipped``, by ``truncated``."""
+    near = snap(readings, flags, reading, ratio=ratio)
     start = unique_prefix(readings, flags, reading).withColumnRenamed("value", "by_start")
     share = F.least(F.lit(0.75), F.length(canon(F.col(reading))) / F.length(canon(F.col("by_start"))))
     out = near.join(start, reading, "left")
-    return out.select(reading, F.coalesce("snapped", "by_start").alias("snapped"), F.when(F.col("snapped").isNotNull(), F.col("confidence")).when(F.col("by_start").isNotNull(), share).otherwise(F.lit(0.0)).alias("confidence"))
+    out = out.select(reading, F.coalesce("snapped", "by_start").alias("snapped"), F.when(F.col("snapped").isNotNull(), F.col("confidence")).when(F.col("by_start").isNotNull(), share).otherwise(F.lit(0.0)).alias("confidence"))
+    if not clipped:
+        return out
+    out = out.join(truncated(readings, flags, reading), reading, "left")
+    return out.select(reading, F.coalesce("snapped", "clipped").alias("snapped"), F.when(F.col("snapped").isNotNull(), F.col("confidence")).otherwise(F.coalesce("clip", F.lit(0.0))).alias("confidence"))
 
 
 def mismatches(a: Column, b: Column) -> Column:

@@ -172,6 +172,17 @@ def test_risk_flags(spark):
     assert shown("Eris Relay") == shown(None) == ["planetary_embargo"] and shown("Mars") == []
 
 
+def test_clipped_and_compound_flags(spark):
+    names = "active_warrant biohazard_red illegible_biometrics identity_conflict planetary_embargo rescinded_denial sponsor_mismatch".split()
+    frame = lambda *x: spark.createDataFrame(list(x), "case_id string, raw string")
+    none = obs_rows(spark, ("sponsor_id", "SPN-0001", "intake", 1, 2, 1.0)).limit(0)
+    reg = spark.createDataFrame([("r1", "Embargoed"), ("r2", "CLEAR")], "case_id string, status string")
+    seen = frame(("a1", "resc"), ("a2", "ifle"), ("a3", "zq"), ("a4", "none"))
+    loose = frame(("b1", "sor_mismatch"), ("b2", "jple_biormetrics"), ("b3", "planetary_registry"), ("b5", "biohazerd_rxd"), ("b6", "resc"))
+    got = sorted((r["case_id"], r["flag"]) for r in evidence.risk_flags(seen, loose, reg, none, vocab(spark, *names)).collect())
+    assert got == [("a1", "rescinded_denial"), ("a2", "illegible_biometrics"), ("b1", "sponsor_mismatch"), ("b2", "illegible_biometrics"), ("b5", "biohazard_red"), ("r1", "planetary_embargo")]
+
+
 def test_third_reader_fills_what_is_left(spark):
     printed = spark.createDataFrame([("c", None, "x")], "case_id string, printed_visa_class string, printed_home_world string")
     extra = spark.createDataFrame([("c", "visa_class", "XW-1", 0.5), ("c", "home_world", "y", 1.0)], "case_id string, field string, value string, score double")
