@@ -1,4 +1,4 @@
-"""Nearest-vocabulary matching: distinct readings times a small vocabulary, joined back."""
+"""Nearest-vocabulary matching: distinct readings meet values of near length, joined back."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from caseloom.functions.distance import SCAN, Costs, distance
 from caseloom.functions.text import canon
 
-#: Rows up to which a vocabulary may be broadcast; a larger one is joined by length instead.
-VOCABULARY_BOUND = 100_000
-
 
 def confidence(best: Column, second: Column, n: Column, ratio: float) -> Column:
     """1 at distance 0, falling to 0 at the budget; 0.35 of it when a runner-up is close."""
@@ -24,8 +21,8 @@ def snap(readings: DataFrame, vocabulary: DataFrame, reading: str, keys: list[st
     """``*keys, reading, snapped, confidence, distance`` for each distinct reading.
 
     ``vocabulary`` has ``*keys, idx, value``. Only distinct canonical readings meet
-    the vocabulary, of which those whose length alone exceeds the budget are left
-    out: a change of length by one costs 0.4 at least. Ties go to the least ``idx``.
+    the vocabulary, joined by length: values whose length alone exceeds the budget are
+    left out, as a change of length by one costs 0.4 at least. Ties go to the least ``idx``.
     Readings without letters or digits, or too far from all values, get null and 0.
     """
     keys = keys or []
@@ -35,7 +32,9 @@ def snap(readings: DataFrame, vocabulary: DataFrame, reading: str, keys: list[st
     cheapest = 1.0 if not costs.joined else costs.joined_cost
     budget = F.greatest(F.lit(1.0), F.length("_c") * ratio)
     near = F.abs(F.length("_c") - F.length("_w")) * cheapest <= budget + 0.5
-    pairs = want.join(F.broadcast(words), keys) if keys else want.crossJoin(F.broadcast(words))
+    reach = F.ceil((budget + 0.5) / cheapest).cast("int")
+    lengths = F.sequence(F.greatest(F.length("_c") - reach, F.lit(0)), F.length("_c") + reach)
+    pairs = want.withColumn("_n", F.explode(lengths)).join(words.withColumn("_n", F.length("_w")), [*keys, "_n"])
     scored = pairs.where(near).withColumn("_d", distance(F.col("_c"), F.col("_w"), costs))
     best = scored.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct(F.col("_d").alias("d"), "idx", "value"))).alias("_r"))
     first, second = F.get("_r", F.lit(0)), F.coalesce(F.get("_r", F.lit(1))["d"], F.lit(1e9))

@@ -93,6 +93,19 @@ def test_snap(spark):
     assert got["Rnars"][0] == "Mars"
 
 
+def test_snap_does_not_force_a_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    r = spark.createDataFrame([("Mers",), ("Venuss",), ("zzzzzzzzzzzz",), ("--",)], "reading string")
+    spark.conf.set(key, "-1")
+    try:
+        out = snap.snap(r, vocab(spark, "Mars", "Venus"), "reading")
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {x["reading"]: x["snapped"] for x in out.collect()} == {"Mers": "Mars", "Venuss": "Venus", "zzzzzzzzzzzz": None, "--": None}
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_names_flags_findings(spark):
     r = spark.createDataFrame([("Ada X. Bell",), ("Ada",), ("Adq Bel1",)], "n string")
     got = {x["n"]: (x["snapped"], x["confidence"]) for x in snap.snap_names(r, vocab(spark, "Ada", "Boris"), vocab(spark, "Bell", "Crane"), "n").collect()}
