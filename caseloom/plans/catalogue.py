@@ -511,3 +511,9 @@ def q47_unique_prefix(spark, sf_dir):
 @query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def q48_unseen_customers(spark, sf_dir):
     return evaluate.unseen(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), read(spark, sf_dir, "customer"), "c_custkey")
+
+
+@query("""WITH c AS (SELECT year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 50),
+i AS (SELECT *, year - row_number() OVER (ORDER BY year) AS island FROM c) SELECT year, n FROM i WHERE island = (SELECT island FROM i ORDER BY n DESC, year DESC LIMIT 1)""")
+def q49_contiguous_years_all(spark, sf_dir):
+    return corpus.contiguous_years(read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")), "year")

@@ -162,3 +162,14 @@ def test_unseen_is_asked_of_all_rows(spark, data, tmp_path):
     for t in ("customer", "orders"):
         con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     assert sorted(con.execute(catalogue.ORACLES["q48_unseen_customers"]).fetchall()) == got
+
+
+def test_contiguous_years_of_all_orders(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    sizes = {1995: 60, 1996: 70, 1998: 55, 1999: 90, 2000: 50, 2002: 49}  # 1997 is the gap, 2002 has too few
+    spark.createDataFrame([(f"{y}-03-0{1 + k % 9}",) for y, n in sizes.items() for k in range(n)], "d string").selectExpr("cast(d as date) as o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(tuple(r) for r in catalogue.QUERIES["q49_contiguous_years_all"](spark, str(tmp_path)).collect())
+    assert got == [(1998, 55), (1999, 90), (2000, 50)]
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(con.execute(catalogue.ORACLES["q49_contiguous_years_all"]).fetchall()) == got
