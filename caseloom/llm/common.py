@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +17,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in an Arrow batch; bounds what a Python worker holds at a time.
-BATCH_ROWS = 1000
+#: Rows and bytes of text that a Python worker holds at a time; a longer text stands alone.
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
+#: Groups above the n-th part of all rows are hot. There are fewer than n of them.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,16 +53,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that Python workers get, never raising the session's bound."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in pieces, without copying: at most ``rows`` rows and ``size``
+    bytes of ``column`` in each, or one row. Empty batches give nothing."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start, held = 0, 0
+        for k, n in enumerate(lengths):
+            if k > start and (k - start >= rows or held + n > size):
+                yield batch.slice(start, k - start)
+                start, held = k, 0
+            held += n
+        if len(lengths) > start:
+            yield batch.slice(start)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their group, however large single groups are.
+
+    ``groups`` has a row for each group, with ``n`` rows of it, and should be written;
+    ``total`` is the number of all rows. Hot groups, those above a thousandth of all rows
+    and hence fewer than ``HOT``, are broadcast and their rows stay where they are; only the
+    others are shuffled by ``keys``, which are never null.
+    """
+    h = F.xxhash64(*keys)
+    hot = [r[0] for r in groups.where(F.col(n) * HOT > total).select(h).distinct().collect()]
+    if not hot:
+        return rows.join(groups, keys, how)
+    out = rows.where(h.isin(hot)).join(F.broadcast(groups.where(h.isin(hot))), keys, how)
+    return out.unionByName(rows.where(~h.isin(hot)).join(groups.where(~h.isin(hot)), keys, how))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,3 +95,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def small_batches(spark: SparkSession, rows: int = SLICE_ROWS) -> None:
+    """Bound the Arrow batches that Python workers get, never raising the session's bound."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
