@@ -15,12 +15,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import fresh_path, materialize, small_batches
+from caseloom.llm.common import fresh_path, join_groups, materialize, slices
 
 #: An archive is closed and the next begun beyond this size.
 ARCHIVE_BYTES = 1 << 30
-#: Bytes of an archive that one reading task owns.
-SPLIT_BYTES = 16 << 20
+#: Least bytes of an archive that one reading task owns.
+SPLIT_BYTES = 8 << 20
+#: Reading tasks at most; beyond, each owns more bytes.
+MOST_SPLITS = 100_000
 _CHUNK = 1 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -86,15 +88,22 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     The payload is the html in UTF-8, null as empty. Of records with equal payloads
     of ``least_bytes`` or more, that with the largest page_id is the response and the
     others revisit it; rows that repeat this page_id are responses too. Rows without
-    page_id are responses where no row of their group has one. An attempt writes
-    under a name of its own and renames at its end, so lost or doubled tasks leave
-    one whole archive of each partition.
+    page_id are responses where no row of their group has one. Payloads are equal when
+    their length and SHA-256 are: the record's own digest, SHA-1, is known to be forged
+    with equal lengths, so it decides nothing. The copies of one payload, empty pages for
+    one, are spread over all tasks; where the table of copied payloads is small the
+    planner broadcasts it and no payload moves.
+    An attempt writes under a name of its own and renames at its end, so lost or doubled
+    tasks leave one whole archive of each partition. Payloads of any length are written
+    whole; a task holds a bounded slice of them, or one.
     """
-    small_batches(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha1("payload"))
-    latest = rows.groupBy("sha").agg(F.max("page_id").alias("latest"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    rows = rows.withColumn("same", F.concat(F.sha2("payload", 256), F.lit("-"), F.length("payload").cast("string")))
+    groups = rows.groupBy("same").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1 and latest is not null")
+    groups = materialize(groups, "warc-copies")
     revisit = (F.length("payload") >= least_bytes) & F.col("latest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("latest"))
-    rows = rows.join(latest, "sha").select("page_id", "url", "payload", F.when(revisit, F.col("latest")).alias("refers_to"))
+    joined = join_groups(rows, groups, ["same"], "n", pages.count(), "left")
+    rows = joined.select("page_id", "url", "payload", F.when(revisit, F.col("latest")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -112,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
                 done.append((f"{folder}/{final}", size))
                 out = None
 
-        for batch in batches:
+        for batch in slices(batches, "payload"):
             for page_id, url, payload, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
                 if out is None:
                     number += 1
@@ -184,12 +193,18 @@ _RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_typ
 def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The records of ``archives (path, size)``, wherever they are split.
 
-    Each archive is cut into byte ranges, dealt to tasks. A task looks for gzip magic
-    in its range, takes a candidate only if it decodes to a WARC header, and owns the
-    records that start inside, so every record is read by exactly one task. Empty
-    and null archives give nothing; a record with a wrong digest or length raises.
+    Each archive is cut into byte ranges, and there are as many partitions as ranges, so
+    that each is a task of its own. A task looks for gzip magic in its range, takes a
+    candidate only if it decodes to a WARC header, and owns the records that start
+    inside, so every record is read by exactly one task. Empty and null archives give
+    nothing; a record with a wrong digest or length raises.
     """
-    ranges = archives.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    archives = archives.where("size > 0").select("path", "size")
+    cuts = lambda size: F.sum(F.ceil(F.col("size") / size))
+    total = archives.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
+    split_bytes = max(split_bytes, total // MOST_SPLITS)
+    tasks = int(archives.agg(F.coalesce(cuts(split_bytes), F.lit(0)).alias("n")).first()["n"])
+    ranges = archives.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +222,7 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                         yield pa.RecordBatch.from_pylist(held, schema=_RECORD)
 
     schema = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
-    return ranges.repartition("path", "start").mapInArrow(run, schema)
+    return ranges.repartition(max(1, tasks)).mapInArrow(run, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
