@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import heapq
+import pickle
 import zlib
-from bisect import bisect_left
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import materialize, small_batches
+from caseloom.llm.common import fresh_path, materialize, slices
 
-#: Bytes of packed texts in a memtable before it is flushed as a run.
-MEMTABLE_BYTES = 48 << 20
+#: Bytes of a memtable before it is flushed as a run.
+MEMTABLE_BYTES = 32 << 20
 #: Runs of an index before they are compacted into one.
 MOST_RUNS = 8
+#: Entries that are read from a run at a time, and bytes of a block at most, or one entry.
+BLOCK, BLOCK_BYTES = 64, 1 << 20
 _SPACE = bytes(range(9, 14)) + b" "
+Best = tuple  # (minus code points, no doc_id, doc_id, partition, place in it): the least is kept
 
 
 def normalise(text: bytes | None) -> bytes:
@@ -38,7 +42,7 @@ class Filter:
 
     def __init__(self, keys: list[bytes]):
         self.bits = max(64, 10 * len(keys))
-        self.field = np.zeros(self.bits // 8 + 1, np.uint8)
+        self.field = bytearray(self.bits // 8 + 1)
         for k in keys:
             for p in self._probes(k):
                 self.field[p >> 3] |= 1 << (p & 7)
@@ -53,180 +57,260 @@ class Filter:
 
 @dataclass
 class Entry:
-    """One distinct text: the row to keep so far and how many rows there are.
+    """Rows of one text. ``packed`` is the text, or None in a run if an older run holds it.
 
-    ``best`` is (minus code points, no doc_id, doc_id): the least is kept.
+    ``variant`` tells texts apart that share a digest.
     """
 
-    best: tuple
+    digest: bytes
+    variant: int
+    best: Best
     count: int
-    packed: bytes = b""
-    variant: int = 0
-    members: list = field(default_factory=list)
+    packed: bytes | None
+    fresh: bool = True  # whether this entry brings the text
+
+    @property
+    def key(self) -> tuple[bytes, int]:
+        return self.digest, self.variant
+
+
+def merged(runs: Iterable[Iterable[Entry]]) -> Iterator[Entry]:
+    """Sorted runs as one: of entries for the same text the least identifier and the sum of rows."""
+    last: Entry | None = None
+    for e in heapq.merge(*runs, key=lambda e: e.key):
+        if last is None or e.key != last.key:
+            if last is not None:
+                yield last
+            last = Entry(e.digest, e.variant, e.best, e.count, e.packed, e.packed is not None)
+        else:
+            last.best, last.count = min(last.best, e.best), last.count + e.count
+            if last.packed is None:
+                last.packed, last.fresh = e.packed, e.packed is not None
+    if last is not None:
+        yield last
+
+
+class Run:
+    """An immutable file of sorted entries, in blocks; a filter and every block's first digest in memory."""
+
+    def __init__(self, store: fs.FileSystem, path: str, entries: Iterable[Entry]):
+        self.store, self.path = store, path
+        self.first: list[bytes] = []
+        self.at: list[tuple[int, int]] = []
+        keys: list[bytes] = []
+        with store.open_output_stream(path, compression=None) as out:
+            block, held = [], 0
+
+            def write() -> None:
+                data = pickle.dumps([(e.digest, e.variant, e.best, e.count, e.packed if e.fresh else None) for e in block])
+                self.first.append(block[0].digest)
+                self.at.append((out.tell(), len(data)))
+                out.write(data)
+
+            for e in entries:
+                # a digest never runs over the end of a block
+                if block and (len(block) >= BLOCK or held > BLOCK_BYTES) and e.digest != block[-1].digest:
+                    write()
+                    block, held = [], 0
+                block.append(e)
+                held += len(e.packed or b"") if e.fresh else 0
+                keys.append(e.digest)
+            if block:
+                write()
+        self.bloom = Filter(keys)
+
+    def _block(self, file: pa.NativeFile, k: int) -> list[Entry]:
+        at, n = self.at[k]
+        file.seek(at)
+        return [Entry(*x, x[-1] is not None) for x in pickle.loads(file.read(n))]
+
+    def find(self, digest: bytes) -> list[Entry]:
+        k = bisect_right(self.first, digest) - 1
+        if k < 0 or digest not in self.bloom:
+            return []
+        with self.store.open_input_file(self.path) as f:
+            return [e for e in self._block(f, k) if e.digest == digest]
+
+    def __iter__(self) -> Iterator[Entry]:
+        with self.store.open_input_file(self.path) as f:
+            for k in range(len(self.at)):
+                yield from self._block(f, k)
+
+    def delete(self) -> None:
+        self.store.delete_file(self.path)
 
 
 class Index:
-    """Log-structured merge index from digest to entries.
-
-    New digests go to a memtable, which is flushed as a run sorted by digest with a
-    filter; packed texts of runs lie in an unnamed temporary file of the task. A
-    digest is looked up in the memtable, then in the runs whose filter has it. Every
-    hit is verified on the bytes; a text that merely shares the digest becomes a
-    further variant. A hit lowers the entry's identifier in place, so a digest lies
-    in one run, and compaction merges runs by moving entries.
+    """Log-structured merge index from digest to entries, in bounded memory.
+
+    New entries go to a memtable. When full it is flushed as a run, a file in ``folder``
+    that never changes; more runs than ``most_runs`` are compacted into one, which keeps
+    the smallest identifiers. A digest is looked up in the memtable, then in the runs
+    whose filter has it; a hit is verified on the bytes, and a text that merely shares the
+    digest becomes a further variant. A hit in a run adds an entry without text to the
+    memtable, which a later compaction unites with the older one.
     """
 
-    def __init__(self, memtable_bytes: int = MEMTABLE_BYTES, most_runs: int = MOST_RUNS):
-        self.limit, self.most_runs = memtable_bytes, most_runs
+    def __init__(self, folder: str, name: str, memtable_bytes: int = MEMTABLE_BYTES, most_runs: int = MOST_RUNS):
+        self.limit, self.most_runs, self.name = memtable_bytes, most_runs, name
+        self.folder = folder
+        self.store: fs.FileSystem | None = None
         self.memtable: dict[bytes, list[Entry]] = {}
-        self.size = 0
-        self.runs: list[tuple[list[bytes], list[list[Entry]], Filter]] = []
-        self.file = None
-
-    def _packed(self, e: Entry) -> bytes:
-        if isinstance(e.packed, bytes):
-            return e.packed
-        at, n = e.packed
-        self.file.seek(at)
-        return self.file.read(n)
-
-    def _find(self, digest: bytes) -> tuple[list[Entry], bool]:
-        """Entries of a digest, and whether they are in the memtable."""
-        if digest in self.memtable:
-            return self.memtable[digest], True
-        for keys, entries, bloom in reversed(self.runs):
-            if digest in bloom:
-                k = bisect_left(keys, digest)
-                if k < len(keys) and keys[k] == digest:
-                    return entries[k], False
-        return [], False
-
-    def put(self, digest: bytes, packed: bytes, best: tuple, count: int = 1) -> Entry:
-        """Add rows of one text; the entry they belong to."""
-        found, young = self._find(digest)
-        for e in found:
-            have = self._packed(e)
-            if have == packed or zlib.decompress(have) == zlib.decompress(packed):
-                e.best = min(e.best, best)
-                e.count += count
+        self.size = self.number = 0
+        self.runs: list[Run] = []
+
+    def put(self, digest: bytes, plain: bytes, best: Best) -> Entry:
+        """Add a row of a text; the entry it belongs to."""
+        packed = zlib.compress(plain, 1)
+        young = self.memtable.get(digest, [])
+        for e in young:
+            if e.packed == packed:
+                e.best, e.count = min(e.best, best), e.count + 1
                 return e
-        e = Entry(best, count, packed, len(found))
-        if young or not found:
-            self.memtable.setdefault(digest, []).append(e)
-        else:  # a collision with an entry of a run
-            found.append(e)
-        self.size += len(packed) + 200
+        known = len({e.variant for e in young})
+        e = None
+        if self.runs:
+            old = [x for run in self.runs for x in run.find(digest)]
+            known = len({x.variant for x in [*old, *young]})
+            e = next((Entry(digest, x.variant, best, 1, packed, False) for x in old if x.packed == packed), None)
+        e = e or Entry(digest, known, best, 1, packed)
+        self.memtable.setdefault(digest, []).append(e)
+        self.size += len(packed) + 400
         if self.size >= self.limit:
             self.flush()
         return e
 
+    def _young(self) -> Iterator[Entry]:
+        for k in sorted(self.memtable):
+            yield from sorted(self.memtable[k], key=lambda e: e.variant)
+
+    def _write(self, entries: Iterable[Entry]) -> Run:
+        if self.store is None:
+            self.store, base = fs.FileSystem.from_uri(self.folder)
+            self.store.create_dir(base, recursive=True)
+            self.base = base
+        self.number += 1
+        return Run(self.store, f"{self.base}/{self.name}-{self.number}", entries)
+
     def flush(self) -> None:
-        keys = sorted(self.memtable)
-        self.file = self.file or tempfile.TemporaryFile()  # noqa: SIM115
-        self.file.seek(0, 2)
-        for k in keys:
-            for e in self.memtable[k]:
-                if isinstance(e.packed, bytes):
-                    at = self.file.tell()
-                    self.file.write(e.packed)
-                    e.packed = (at, len(e.packed))
-        self.runs.append((keys, [self.memtable[k] for k in keys], Filter(keys)))
+        self.runs.append(self._write(self._young()))
         self.memtable, self.size = {}, 0
         if len(self.runs) > self.most_runs:
-            self.compact()
-
-    def compact(self) -> None:
-        """Merge all runs into one; digests are in one run each, so entries move as they are."""
-        merged = sorted((k, entries) for keys, lists, _ in self.runs for k, entries in zip(keys, lists, strict=True))
-        keys = [k for k, _ in merged]
-        self.runs = [(keys, [e for _, e in merged], Filter(keys))]
-
-    def entries(self) -> Iterator[tuple[bytes, Entry, bytes]]:
-        """All entries in the order of their digests, with their packed texts."""
-        if self.runs:
-            self.flush()
-            self.compact()
-            for k, es in zip(*self.runs[0][:2], strict=True):
-                for e in es:
-                    yield k, e, self._packed(e)
-        else:
-            for k in sorted(self.memtable):
-                for e in self.memtable[k]:
-                    yield k, e, e.packed
-
-
-def _rank(chars: int, doc_id: int | None) -> tuple:
-    return (-chars, doc_id is None, doc_id or 0)
+            old = self.runs
+            self.runs = [self._write(merged(old))]
+            for r in old:
+                r.delete()
 
+    def entries(self) -> Iterator[Entry]:
+        """All entries in the order of their digests, each with its text."""
+        young = (Entry(e.digest, e.variant, e.best, e.count, e.packed if e.fresh else None) for e in self._young())
+        return merged([*self.runs, young])
 
-_LOCAL = "doc_id long, run int, digest binary, variant int, chars long, least long, count long, packed binary"
-_LOCAL_ARROW = pa.schema([("doc_id", pa.int64()), ("run", pa.int32()), ("digest", pa.binary()), ("variant", pa.int32()), ("chars", pa.int64()), ("least", pa.int64()), ("count", pa.int64()), ("packed", pa.binary())])
+    def close(self) -> None:
+        for r in self.runs:
+            r.delete()
+        self.runs = []
 
 
-def _entry_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
+    make = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
     for r in rows:
         held.append(r)
         size += 100 + (len(r[-1]) if isinstance(r[-1], bytes) else 0)
         if size >= most:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+            yield make()
             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+        yield make()
 
 
-def _local(batches: Iterator[pa.RecordBatch], digest_of: Callable[[bytes], bytes]) -> Iterator[pa.RecordBatch]:
+_LOCAL = "row long, doc_id long, run int, place long, digest binary, variant int, chars long, count long, packed binary"
+_LOCAL_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("run", pa.int32()), ("place", pa.int64()), ("digest", pa.binary()), ("variant", pa.int32()), ("chars", pa.int64()), ("count", pa.int64()), ("packed", pa.binary())])
+
+
+def _local(batches: Iterator[pa.RecordBatch], digest_of: Callable[[bytes], bytes], folder: str, memtable_bytes: int) -> Iterator[pa.RecordBatch]:
     """One index for each input partition. Gives a row for each document, without text, and
-    one for each distinct text of the partition, with ``count``."""
-    run = TaskContext.get().partitionId()
-    index = Index()
-    for batch in batches:
-        rows = []
-        for doc_id, chars, text in zip(batch.column("doc_id").to_pylist(), batch.column("chars").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            plain = normalise(text)
-            digest = digest_of(plain)
-            e = index.put(digest, zlib.compress(plain, 1), _rank(chars, doc_id))
-            rows.append((doc_id, run, digest, e.variant, None, None, None, None))
-        yield from _entry_batches(iter(rows), _LOCAL_ARROW)
-    yield from _entry_batches(((None, run, k, e.variant, -e.best[0], None if e.best[1] else e.best[2], e.count, packed) for k, e, packed in index.entries()), _LOCAL_ARROW)
-
-
-_MERGED = "run int, digest binary, variant int, keep_id long, group_size long, kept_chars long, number int"
-_MERGED_ARROW = pa.schema([("run", pa.int32()), ("digest", pa.binary()), ("variant", pa.int32()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("kept_chars", pa.int64()), ("number", pa.int32())])
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One index for each partition of digests, over the entries of all input partitions."""
-    index = Index()
-    came: list[tuple[int, bytes, int, Entry]] = []
-    for batch in batches:
-        c = batch.to_pydict()
-        for run, digest, variant, chars, least, count, packed in zip(c["run"], c["digest"], c["variant"], c["chars"], c["least"], c["count"], c["packed"], strict=True):
-            came.append((run, digest, variant, index.put(digest, packed, _rank(chars, least), count)))
-    yield from _entry_batches(((run, digest, variant, None if e.best[1] else e.best[2], e.count, -e.best[0], e.variant) for run, digest, variant, e in came), _MERGED_ARROW)
-
-
-def exact_duplicates(docs: DataFrame, digest_of: Callable[[bytes], bytes] = sha256) -> DataFrame:
+    one for each distinct text of the partition, with ``count`` and the row to keep."""
+    context = TaskContext.get()
+    run, place = context.partitionId(), 0
+    index = Index(folder, f"{run}-{context.taskAttemptId()}", memtable_bytes)
+    try:
+        for batch in slices(batches, "text"):
+            rows = []
+            for row, doc_id, chars, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "chars", "text")), strict=True):
+                plain = normalise(text)
+                digest = digest_of(plain)
+                e = index.put(digest, plain, (-chars, doc_id is None, doc_id or 0, run, place))
+                rows.append((row, doc_id, run, place, digest, e.variant, None, None, None))
+                place += 1
+            yield from _batches(iter(rows), _LOCAL_ARROW)
+        yield from _batches(((None, None if e.best[1] else e.best[2], run, e.best[4], e.digest, e.variant, -e.best[0], e.count, e.packed) for e in index.entries()), _LOCAL_ARROW)
+    finally:
+        index.close()
+
+
+_MERGED = "run int, digest binary, variant int, keep_id long, group_size long, keep_run int, keep_place long"
+_MERGED_ARROW = pa.schema([("run", pa.int32()), ("digest", pa.binary()), ("variant", pa.int32()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("keep_run", pa.int32()), ("keep_place", pa.int64())])
+
+
+def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of all input partitions, sorted by digest, as one stream: the last compaction.
+
+    Held are the texts that share the digest at hand and, of each, the partitions it came from.
+    """
+
+    def answers() -> Iterator[tuple]:
+        digest, texts = None, []
+        for batch in slices(batches, "packed"):
+            c = batch.to_pydict()
+            for run, d, variant, best, count, packed in zip(c["run"], c["digest"], c["variant"], zip([-x for x in c["chars"]], [x is None for x in c["doc_id"]], [x or 0 for x in c["doc_id"]], c["run"], c["place"], strict=True), c["count"], c["packed"], strict=True):
+                if d != digest:
+                    yield from done(digest, texts)
+                    digest, texts = d, []
+                for t in texts:
+                    if t[0] == packed:
+                        t[1], t[2] = min(t[1], best), t[2] + count
+                        t[3].append((run, variant))
+                        break
+                else:
+                    texts.append([packed, best, count, [(run, variant)]])
+        yield from done(digest, texts)
+
+    def done(digest: bytes | None, texts: list) -> Iterator[tuple]:
+        for _, best, count, members in texts:
+            for run, variant in members:
+                yield run, digest, variant, None if best[1] else best[2], count, best[3], best[4]
+
+    yield from _batches(answers(), _MERGED_ARROW)
+
+
+def exact_duplicates(docs: DataFrame, digest_of: Callable[[bytes], bytes] = sha256, row: str | None = None, memtable_bytes: int = MEMTABLE_BYTES) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs (doc_id, text)``.
 
-    Texts are equal when identical without blanks and controls 9 to 13. Of equal
-    texts the row with the most code points in the original text stays, then that
-    with the least doc_id; null ids come last, and rows that repeat the kept doc_id
-    and length are all marked kept. Null counts as empty; empty texts are equal.
+    Texts are equal when identical without blanks and controls 9 to 13. Of equal texts
+    one row stays: that with the most code points in the original text, then the least
+    doc_id (null ids come last), and of rows that repeat both, one. Null counts as
+    empty; empty texts are equal. Texts of any length are taken whole; other columns are
+    ignored, but for ``row``, the name of a number of rows that is passed through.
 
     Each input partition fills an index of its own, so of a group of copies every
-    partition sends on one entry. The entries are dealt by digest to a second level
-    of indexes, where each hit is verified on the bytes again. Documents get their
+    partition sends on one entry. The entries are dealt by digest, sorted, and compacted
+    as a stream, where each hit is verified on the bytes again. Documents get their
     answer by a join on (partition, digest, variant), which spreads a large group
     over as many keys as partitions hold it. ``digest_of`` is a parameter so that
     tests can make digests collide.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), F.col("text").cast("binary").alias("text"))
-    local = materialize(rows.mapInArrow(lambda it: _local(it, digest_of), _LOCAL), "exact-runs")
-    entries = local.where("count is not null").select("run", "digest", "variant", "chars", "least", "count", "packed")
-    merged = entries.repartition("digest").mapInArrow(_merge, _MERGED)
-    rows = local.where("count is null").select("doc_id", "run", "digest", "variant")
-    out = rows.join(merged, ["run", "digest", "variant"])
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    folder = fresh_path(spark, "exact-index")
+    rows = docs.select(
+        (F.col(row).cast("long") if row else F.lit(None).cast("long")).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), F.col("text").cast("binary").alias("text"),
+    )
+    local = materialize(rows.mapInArrow(lambda it: _local(it, digest_of, folder, memtable_bytes), _LOCAL), "exact-runs")
+    entries = local.where("count is not null").select("doc_id", "run", "place", "digest", "variant", "chars", "count", "packed")
+    merged_runs = entries.repartition("digest").sortWithinPartitions("digest", "run", "variant").mapInArrow(_compacted, _MERGED)
+    rows = local.where("count is null").select("row", "doc_id", "run", "place", "digest", "variant")
+    out = rows.join(merged_runs, ["run", "digest", "variant"])
+    kept = (F.col("run") == F.col("keep_run")) & (F.col("place") == F.col("keep_place"))
+    return out.select(*(["row"] if row else []), "doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

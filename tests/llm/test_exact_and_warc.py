@@ -16,12 +16,13 @@ def expected(docs, key=plain):
     groups = {}
     for i, t in docs:
         groups.setdefault(key(t), []).append((-len(t or ""), i is None, i or 0))
-    out = []
+    out, taken = [], set()
     for i, t in docs:
         g = groups[key(t)]
-        _, none, keep = min(g)
-        keep = None if none else keep
-        out.append((str(i), str(keep), len(g), i == keep, hashlib.sha256(plain(t).encode()).hexdigest()))
+        best = min(g)
+        kept = (-len(t or ""), i is None, i or 0) == best and key(t) not in taken
+        taken.update([key(t)] if kept else [])
+        out.append((str(i), "None" if best[1] else str(best[2]), len(g), kept, hashlib.sha256(plain(t).encode()).hexdigest()))
     return sorted(out)
 
 
@@ -41,15 +42,34 @@ def test_colliding_digests_are_told_apart_by_bytes(spark):
     assert got == [x[:4] for x in expected(DOCS)]
 
 
-def test_index_flushes_compacts_and_still_finds():
-    index = X.Index(memtable_bytes=2000, most_runs=2)
+def test_one_row_of_repeated_rows_stays(spark):
+    df = spark.createDataFrame([(1, "ab", 7), (1, "a b", 8), (5, "q", 9), (5, "q", 10), (None, "n", 11), (None, "n", 12)], "doc_id long, text string, k long").repartition(4)
+    got = X.exact_duplicates(df, row="k").where("kept").collect()
+    assert sorted((str(r["doc_id"]), r["row"]) for r in got)[0] == ("1", 8)
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "5", "None"]
+
+
+def test_tiny_memtables_change_nothing(spark):
+    df = spark.createDataFrame([*DOCS, *[(100 + k, f"text {k % 30}") for k in range(300)]], "doc_id long, text string").repartition(2)
+    key = lambda r: (str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"])
+    assert sorted(map(key, X.exact_duplicates(df, memtable_bytes=3000).collect())) == sorted(map(key, X.exact_duplicates(df).collect()))
+
+
+def test_index_flushes_compacts_and_still_finds(tmp_path):
+    index = X.Index(f"file://{tmp_path}", "t", memtable_bytes=2000, most_runs=2)
+    held = 0
     for k in range(200):
         t = f"text {k % 50}".encode()
-        index.put(X.sha256(t), t and __import__("zlib").compress(t), (-1, False, 200 - k))
-    assert index.runs
+        index.put(X.sha256(t), t, (-1, False, 200 - k, 0, k))
+        held = max(held, sum(len(v) for v in index.memtable.values()))
+    assert index.runs and held <= 6 and index.number > 3
+    before = [p.read_bytes() for p in sorted(tmp_path.iterdir())]
     got = list(index.entries())
-    assert len(got) == 50 and [k for k, _, _ in got] == sorted(k for k, _, _ in got)
-    assert all(e.count == 4 for _, e, _ in got) and min(e.best[2] for _, e, _ in got) == 1
+    assert [p.read_bytes() for p in sorted(tmp_path.iterdir())] == before  # runs never change
+    assert len(got) == 50 and [e.digest for e in got] == sorted(e.digest for e in got)
+    assert all(e.count == 4 and e.packed for e in got) and min(e.best[2] for e in got) == 1
+    index.close()
+    assert not list(tmp_path.iterdir())
     f = X.Filter([X.sha256(bytes([k])) for k in range(200)])
     assert all(X.sha256(bytes([k])) in f for k in range(200))
     assert sum(X.sha256(b"no" + bytes([k])) in f for k in range(200)) < 20
@@ -64,6 +84,9 @@ def test_warc_round_trip_at_any_split(spark, tmp_path, split):
     a = warc.write_archives(df, f"file://{tmp_path}/w{split}")
     if split == 1:
         a = a.limit(1)
+    if split == 97:
+        sizes = [r["size"] for r in a.collect()]
+        assert warc.read_archives(a, split).rdd.getNumPartitions() == sum(-(-n // split) for n in sizes) > 1
     rows = warc.read_archives(a, split).collect()
     if split == 1:
         assert rows and len({(r["page_id"], r["url"]) for r in rows}) <= len(rows)
