@@ -1,75 +1,102 @@
-"""Shards of near equal bytes that keep linked documents together."""
+"""Shards of near equal bytes that keep linked documents together: balanced label propagation."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import materialize
+from caseloom.llm.common import join_groups, materialize
 
 SHARDS = 40
-#: Cells of the two-level running sums: what a task orders is one cell of a shard or of all.
-CELLS = 1024
-#: Unlinked documents are placed in classes of size: above these multiples of the mean.
+#: Parts of the documents of a group that start in one shard. They move one by one, so the
+#: largest group has no more pieces than shards squared times this.
+PARTS = 64
+#: Rows in a cell: the most that one task orders in the running sums.
+CELL_ROWS = 20_000
+#: Unlinked documents are placed in classes of size, largest first: above these multiples of the mean.
 CLASSES = (4.0, 1.0, 0.25, -1.0)
 
 
-def _cell(seed: int, n: int = CELLS, key: str = "uid"):
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n)).cast("int")
+def _cell(seed: int, n: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(n)).cast("int")
 
 
-def _loads(placed: DataFrame) -> dict[int, int]:
-    """Bytes of each shard: as many rows as there are shards."""
-    return {r["shard"]: r["bytes"] for r in placed.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}
+def cells_for(rows: int, shards: int = 1) -> int:
+    """How many cells keep ``rows`` rows, dealt to ``shards``, within ``CELL_ROWS`` each."""
+    return max(64, rows // (CELL_ROWS * shards) + 1)
 
 
-def quotas(groups: list[tuple[str, int]], capacity: float, shards: int = SHARDS) -> list[tuple[str, float, float, int]]:
-    """``(g, lo, hi, shard)``: bytes lo to hi of each large group belong to the shard.
+def _by_shard(df: DataFrame, what: str) -> dict[int, int]:
+    """A sum of each shard: as many rows as there are shards."""
+    return {r["shard"]: r["x"] for r in df.groupBy("shard").agg(F.sum(what).alias("x")).collect()}
 
-    The largest group comes first. A group takes the emptiest shard whole as long as none
-    can hold what is left of it, then the fullest one that can.
+
+def cut_edges(placed: DataFrame) -> int:
+    """Links between shards, of ``placed (g, shard, n)``: all pairs of a group less those within a shard."""
+    pairs = lambda c: c * (c - 1) / 2
+    per = placed.groupBy("g", "shard").agg(F.sum("n").alias("n"))
+    inside = per.groupBy("g").agg(F.sum("n").alias("all"), F.sum(pairs(F.col("n"))).alias("kept"))
+    return int(inside.agg(F.coalesce(F.sum(pairs(F.col("all")) - F.col("kept")), F.lit(0))).first()[0])
+
+
+def _wishes(pieces: DataFrame, free: dict[int, float], shards: int) -> DataFrame:
+    """``g, part, place, at, size, n, to``: where the pieces of split groups want to go.
+
+    A piece looks at the shards its neighbours are in. Shards that can hold the whole
+    group come first, then those with most of it; the pieces walk through the free room of
+    these in turn, so that a group which no shard can hold fills as few as it can.
     """
-    room, out = [capacity] * shards, []
-    for g, size in sorted(groups, key=lambda x: (-x[1], x[0])):
-        at = 0.0
-        while at < size:
-            fits = [s for s in range(shards) if room[s] >= size - at]
-            s = min(fits, key=lambda s: (room[s], s)) if fits else max(range(shards), key=lambda s: (room[s], -s))
-            if room[s] <= 0:
-                break
-            take = min(room[s], size - at)
-            out.append((g, at, at + take, s))
-            room[s], at = room[s] - take, at + take
-    return out
-
-
-def deal(rows: DataFrame, groups: list[tuple[str, int]], capacity: float, shards: int = SHARDS) -> DataFrame:
-    """``uid, gh, size, large, shard`` for the documents ``rows (uid, g, gh, size, large)`` of large groups.
-
-    Their running sum of bytes, in two levels, walks through the quotas of their group.
-    The shard is null for a document across the border of two.
+    room = F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, float(free[s]))]), F.col("shard"))
+    labels = pieces.groupBy("g", "shard").agg(F.sum("size").alias("here")).withColumn("room", room)
+    whole = W.partitionBy("g")
+    labels = labels.withColumn("need", F.sum("here").over(whole)).withColumn("fits", (F.col("room") >= F.col("need")).cast("int")).where("room > 0")
+    turn = whole.orderBy(F.col("fits").desc(), F.col("here").desc(), F.xxhash64("g", "shard"))
+    labels = labels.withColumn("hi", F.sum("room").over(turn)).withColumn("lo", F.col("hi") - F.col("room")).where("lo < need")
+    labels = labels.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("hi", F.col("shard").alias("to")))).alias("turns"))
+    walk = W.partitionBy("g").orderBy("shard", "part")
+    walked = pieces.withColumn("upto", F.sum("size").over(walk)).join(labels, "g")
+    to = F.get(F.filter("turns", lambda t: t["hi"] >= F.col("upto")), F.lit(0))["to"]
+    return walked.withColumn("to", to).where("to is not null").select("g", "origin", "part", "shard", "size", "n", "to")
+
+
+def propagate(pieces: DataFrame, capacity: float, shards: int = SHARDS) -> DataFrame:
+    """``g, origin, part, shard, settled``: pieces ``(g, origin, part, shard, size, n)`` after all rounds.
+
+    In each round the pieces of split groups look where most of their group is and ask
+    for that shard. A shard takes requests up to its quota, what is left of ``capacity``
+    beside the groups that are settled there: by cells of whole groups, larger ones first.
+    Whoever was taken is settled; the others see in the next round who has moved. It ends
+    when a round moves nobody, which comes, as every round settles some and none leaves.
     """
-    ours = rows.sparkSession.createDataFrame(quotas(groups, capacity, shards), "q string, lo double, hi double, shard int")
-    rows = rows.withColumn("cell", _cell(3))
-    cells = rows.groupBy("g", "cell").agg(F.sum("size").alias("bytes"))
-    start = cells.select("g", "cell", (F.sum("bytes").over(W.partitionBy("g").orderBy("cell")) - F.col("bytes")).alias("start"))
-    within = rows.withColumn("upto", F.sum("size").over(W.partitionBy("g", "cell").orderBy("uid"))).join(start, ["g", "cell"])
-    end = F.col("start") + F.col("upto")
-    inside = (F.col("g") == F.col("q")) & (end - F.col("size") >= F.col("lo")) & (end <= F.col("hi"))
-    return within.join(F.broadcast(ours), inside, "left").select("uid", "gh", "size", "large", "shard")
-
-
-def over_quota(placed: DataFrame, capacity: float) -> DataFrame:
-    """``shard, cell`` that overfull shards give up, cells of whole groups first to last; none of large groups."""
-    small = F.when(~F.col("large"), F.col("size")).otherwise(0)
-    cells = placed.groupBy("shard", _cell(55, CELLS, "gh").alias("cell")).agg(F.sum("size").alias("bytes"), F.sum(small).alias("small"))
-    w = W.partitionBy("shard")
-    run = cells.withColumn("before", F.sum("small").over(w.orderBy("cell")) - F.col("small")).withColumn("load", F.sum("bytes").over(w))
-    return run.where(F.col("before") < F.col("load") - capacity).select("shard", "cell")
-
-
-def fill(rest: DataFrame, loads: dict[int, int], total: int, shards: int = SHARDS) -> DataFrame:
+    whole = W.partitionBy("g")
+    state = pieces.withColumn("settled", F.min("shard").over(whole) == F.max("shard").over(whole))
+    state = materialize(state, "shard-pieces")
+    number = 0
+    while True:
+        number += 1
+        load = _by_shard(state.where("settled"), "size")
+        free = {s: max(0.0, capacity - load.get(s, 0)) for s in range(shards)}
+        open_ = state.where("not settled")
+        wishes = materialize(_wishes(open_.select("g", "origin", "part", "shard", "size", "n"), free, shards), "shard-wishes")
+        asks = wishes.groupBy("to", "g").agg(F.sum("size").alias("size"))
+        rank = -F.floor(F.log2(F.col("size"))).cast("int")
+        cells = asks.groupBy("to", rank.alias("rank"), _cell(number, 1024, "g").alias("cell")).agg(F.sum("size").alias("size"))
+        upto = F.sum("size").over(W.partitionBy("to").orderBy("rank", "cell"))
+        room = F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, float(free[s]))]), F.col("to"))
+        taken = cells.withColumn("upto", upto).where(F.col("upto") <= room).select("to", "rank", "cell")
+        asks = asks.withColumn("rank", rank).withColumn("cell", _cell(number, 1024, "g"))
+        agreed = asks.join(F.broadcast(taken), ["to", "rank", "cell"]).select("to", "g")  # at most shards x 64 sizes x 1024 cells
+        moved = wishes.join(agreed, ["to", "g"]).select("g", "origin", "part", "to")
+        new = state.join(moved, ["g", "origin", "part"], "left")
+        new = new.select("g", "origin", "part", F.coalesce("to", "shard").alias("shard"), "size", "n", (F.col("settled") | F.col("to").isNotNull()).alias("settled"), F.col("to").isNotNull().alias("took"))
+        new = materialize(new, "shard-pieces")
+        state = new.drop("took")
+        if not new.where("took").limit(1).count():
+            return state
+
+
+def fill(rest: DataFrame, loads: dict[int, int], total: int, rows: int, shards: int = SHARDS) -> DataFrame:
     """``uid, size, shard`` for documents ``rest (uid, gh, size)`` that even the shards out.
 
     In the order of ``gh``, which keeps groups together, their running sum of bytes
@@ -78,7 +105,7 @@ def fill(rest: DataFrame, loads: dict[int, int], total: int, shards: int = SHARD
     """
     lack = [max(0.0, total / shards - loads.get(s, 0)) for s in range(shards)]
     free = max(1e-9, sum(lack))
-    rest = rest.withColumn("cell", _cell(99, CELLS * 4, "gh"))
+    rest = rest.withColumn("cell", _cell(99, max(4096, cells_for(rows)), "gh"))
     cells = rest.groupBy("cell").agg(F.sum("size").alias("bytes"))
     start = cells.select("cell", (F.sum("bytes").over(W.orderBy("cell")) - F.col("bytes")).alias("start"), F.sum("bytes").over(W.partitionBy()).alias("all"))
     within = rest.withColumn("upto", F.sum("size").over(W.partitionBy("cell").orderBy("gh", "uid"))).join(start, "cell")
@@ -91,16 +118,28 @@ def fill(rest: DataFrame, loads: dict[int, int], total: int, shards: int = SHARD
     return within.withColumn("middle", middle).select("uid", "size", shard.cast("int").alias("shard"))
 
 
+def linked_documents(base: DataFrame, rows: int, shards: int = SHARDS) -> DataFrame:
+    """``uid, g, size, linked, origin, part``: documents ``base (uid, g, size)`` with what links them.
+
+    Documents of the same ``g`` are linked. Each starts in the shard ``origin`` that a hash of
+    its own number says, whatever its links, and in a part of what starts there.
+    """
+    groups = materialize(base.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shard-groups")
+    found = join_groups(base.select("uid", "g", "size"), groups, ["g"], "n", rows, "left")
+    return found.select("uid", "g", "size", F.col("n").isNotNull().alias("linked"), _cell(1, shards, "uid").alias("origin"), _cell(2, PARTS, "uid").alias("part"))
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` for every row of ``docs (doc_id, text)``.
 
-    Linked documents are those with equal texts (null is a text of its own). Size is
-    the bytes of the text in UTF-8 plus 16; shards become near equal in size. A group
-    larger than a shard fills as few shards as can hold it; smaller ones go whole where
-    their hash says, and together to where there is room if that shard is overfull. As
-    all links are equality, no move between shards could lower the cut of a whole group. Slots count up from 0 in each shard. Rows are told apart by a number
-    given when they are first written, so repeated rows and null doc_ids are rows of
-    their own. An empty table gives an empty one; other columns are ignored.
+    Linked documents are those with equal texts (null is a text of its own). Size is the
+    bytes of the text in UTF-8 plus 16, whatever its length; shards become near equal in
+    size. Linked documents start spread over all shards and move by label propagation
+    (``propagate``) until no move lowers the number of cut links. Those that found no room,
+    and documents without a link, go to what the shards lack, large ones first. Slots
+    count up from 0 in each shard. Rows are told apart by a number given when they are first
+    written, so repeated rows and null doc_ids are rows of their own. An empty table gives
+    an empty one; other columns are ignored, whatever their names.
     """
     text = F.col("text")
     base = docs.select(
@@ -111,31 +150,22 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.monotonically_increasing_id().alias("uid"),
     )
     base = materialize(base, "shard-base")
-    total, mean = base.agg(F.sum("size"), F.avg("size")).first()
+    total, mean, n = base.agg(F.sum("size"), F.avg("size"), F.count(F.lit(1))).first()
     total, mean = total or 0, mean or 0.0
-    capacity = total / shards
-    groups = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1").select("g", (F.col("bytes") > capacity).alias("large"))
-    rows = base.select("uid", "g", "size").join(groups, "g", "left")
-    gh = F.when(F.col("large"), F.xxhash64("uid")).otherwise(F.xxhash64("g"))
-    rows = materialize(rows.select("uid", "g", gh.alias("gh"), "size", F.col("large").isNotNull().alias("linked"), F.coalesce("large", F.lit(False)).alias("large")), "shard-rows")
-    big = [(r["g"], r["bytes"]) for r in rows.where("large").groupBy("g").agg(F.sum("size").alias("bytes")).collect()]  # fewer than shards
-    state = rows.where("linked and not large").select("uid", "gh", "size", "large", _cell(1, shards, "gh").alias("shard"))
-    if big:
-        state = state.unionByName(deal(rows.where("large"), big, capacity, shards))
-    state = materialize(state, "shard-state")
-    over = over_quota(state.where("shard is not null"), capacity).withColumn("over", F.lit(True))
-    released = state.withColumn("cell", _cell(55, CELLS, "gh")).join(over, ["shard", "cell"], "left")
-    out = F.col("shard").isNull() | (F.col("over").isNotNull() & ~F.col("large"))
-    released = materialize(released.select("uid", "gh", "size", "shard", out.alias("out")), "shard-linked")
-    placed = released.where("not out").select("uid", "size", "shard")
-    rest = rows.where("not linked").select("uid", "gh", "size").unionByName(released.where("out").select("uid", "gh", "size"))
+    rows = materialize(linked_documents(base, n, shards), "shard-rows")
+    pieces = rows.where("linked").groupBy("g", "origin", "part").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    pieces = propagate(pieces.select("g", "origin", "part", F.col("origin").alias("shard"), "size", "n"), total / shards, shards)
+    counted = pieces.select("g", "origin", "part", "shard", "settled", "n")
+    linked = materialize(join_groups(rows.where("linked").select("uid", "g", "origin", "part", "size"), counted, ["g", "origin", "part"], "n", n), "shard-linked")
+    placed = linked.where("settled").select("uid", "size", "shard")
+    rest = rows.where("not linked").unionByName(linked.where("not settled").select("uid", "g", "size", F.lit(True).alias("linked"), "origin", "part")).select("uid", F.xxhash64("g").alias("gh"), "size")
     above = None
     for factor in CLASSES:  # large documents first, so that small ones even out what is left
-        loads = _loads(placed)
+        loads = _by_shard(placed, "size")
         within = (F.col("size") > factor * mean) & (F.lit(True) if above is None else F.col("size") <= above)
-        placed = placed.unionByName(materialize(fill(rest.where(within), loads, total, shards), "shard-filled"))
+        placed = placed.unionByName(materialize(fill(rest.where(within), loads, total, n, shards), "shard-filled"))
         above = factor * mean
-    done = materialize(placed.withColumn("cell", _cell(7, 64)).select("uid", "shard", "cell"), "shard-placed")
+    done = materialize(placed.withColumn("cell", _cell(7, cells_for(n, shards), "uid")).select("uid", "shard", "cell"), "shard-placed")
     counts = done.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
     start = counts.select("shard", "cell", (F.sum("n").over(W.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("start"))
     slot = F.row_number().over(W.partitionBy("shard", "cell").orderBy("uid")) - 1
