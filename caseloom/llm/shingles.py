@@ -22,7 +22,7 @@ _C2 = np.uint64(0xC4CEB9FE1A85EC53)
 class WordHashes(dict):
     """Word to 64-bit hash; forgets all when it grows past ``limit`` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from caseloom.llm import near_dedup as N
 from caseloom.llm import shingles as S
+from caseloom.llm.common import join_groups
 from caseloom.llm.components import connected_components
 from caseloom.llm.near_dedup import near_duplicates
 
@@ -68,6 +70,33 @@ def test_many_near_copies_of_one_text(spark):
     check(spark, docs)
 
 
+def test_repeated_rows_are_verified_once(spark, monkeypatch):
+    seen = []
+    verified = N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, texts, percent: (seen.append((pairs.count(), texts.count(), texts.select("cls").distinct().count())), verified(pairs, texts, percent))[1])
+    base = words(3, 60)
+    docs = [(1, " ".join(base))] * 600 + [(2, " ".join([*base[:-1], "other"]))] * 600 + [(9, " ".join(words(4, 60)))]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (9, 9)} and len(got) == len(docs)
+    assert sum(p for p, _, _ in seen) == 1 and all(t == c for _, t, c in seen)
+
+
+def test_one_row_of_a_group_stays(spark):
+    base = words(3, 60)
+    docs = [(7, " ".join(base), 1), (7, " ".join([*base[:-1], "x"]), 2), (None, " ".join([*base[:-1], "y"]), 3), (None, None, 4), (8, "", 5), (9, "a lone text", 6), (9, "a lone text", 7)]
+    got = sorted(r["k"] for r in N.kept_rows(spark.createDataFrame(docs, "doc_id long, text string, k long"), "k").collect())
+    assert got == [1, 4, 5, 6]
+
+
+def test_hot_groups_join_like_others(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where("k % 2 = 1")
+    key = lambda r: (r["k"], r["id"], r["n"], r["top"])
+    for how in ("inner", "left"):
+        want = sorted(map(str, map(key, rows.join(groups, "k", how).collect())))
+        assert sorted(map(str, map(key, join_groups(rows, groups, ["k"], "n", 5000, how).collect()))) == want
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(df).collect() == []
