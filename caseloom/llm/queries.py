@@ -46,7 +46,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+    return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +74,10 @@ ORACLES: dict[str, str] = {
         WITH d AS (
           SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents
         ), g AS (
-          SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d
+          SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w AS place FROM d
+          WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
         )
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+        SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g
     """,
     "op4_mixing": r"""
         WITH d AS (
