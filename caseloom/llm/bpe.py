@@ -1,12 +1,12 @@
-"""BPE by automata that are compiled from the merges; decoding emits arc labels."""
+"""BPE by an automaton that is compiled from the merges; decoding emits arc labels."""
 
 from __future__ import annotations
 
-import gc
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -14,10 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from caseloom.llm.common import small_batches
+from caseloom.llm.common import slices
 
 #: Pieces of text in the younger of the two generations that a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 150_000
+#: Signs that are words of their own behind an ASCII letter or digit, and that no special token ends with.
+TAIL = ".,;:!?%&$#*"
+#: Transitions out of the trie, and pairs of arcs, that a worker keeps at a time.
+TRANSITIONS = 1_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -33,47 +37,95 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+class Allowed(dict):
+    """Whether an arc may stand behind another, by the packed pair of tokens."""
+
+    def __init__(self, follows: Callable[[int, int], bool]):
+        super().__init__()
+        self.follows = follows
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) > TRANSITIONS:
+            self.clear()
+        got = self[pair] = self.follows(pair >> 16, pair & 0xFFFF)
+        return got
+
+
 class MergeAutomaton:
-    """Token automaton of a finite set of words.
-
-    It starts as the deterministic automaton (a trie) that reads the words byte by
-    byte. The merges are then applied in the order of their ranks. Where an arc u
-    leads from p to q and an arc v from q to r, the gadget of the merge (u, v) adds
-    the arc uv from p to r and takes v away from q. In a trie each state has one
-    arc that enters it, so no state has to be split, and the arcs stay
-    deterministic. Where gadgets of one merge overlap, those nearer the start come
-    first, which is BPE's left-to-right rule.
-
-    ``table`` holds the transitions: state and symbol (the byte, plus 256 if it ends
-    the word) to state. ``parent`` and ``label`` hold the one arc that enters a state.
+    """Deterministic token automaton of a vocabulary with ranked merges.
+
+    It is compiled once: it starts as the automaton (a trie) that reads the strings of all
+    tokens byte by byte, and the merges are applied in the order of their ranks. Where an arc
+    u leads from p to q and an arc v from q to r, the gadget of the merge (u, v) adds the arc
+    uv from p to r and takes v away from q. In a trie each state has one arc that enters it,
+    so no state has to be split, and the arcs stay deterministic. Where gadgets of one merge
+    overlap, those nearer the start come first, which is BPE's left-to-right rule.
+
+    ``table`` holds the transitions: state and symbol (the byte, plus 256 if it ends the
+    word) to state. ``parent`` and ``label`` hold the one arc that enters a state. A word is
+    encoded by the transitions of its bytes, and its tokens are the labels of the arcs on the
+    way. Within the trie the compiled arcs say them. A transition that leaves it goes to the
+    longest string of the trie that ends there, as in string matching automata; the arc is
+    then the one token that ends there (``ending``) and that no gadget takes away behind the
+    arc before it (``follows``). There is exactly one, as every part of an encoding encodes
+    its own bytes.
     """
 
-    def __init__(self, inner: list[int], last: list[int], merges: dict[int, int]):
-        self.inner, self.last, self.merges = inner, last, merges
+    def __init__(self, inner: dict[bytes, int], last: dict[bytes, int], merges: dict[int, int], most: int = TRANSITIONS):
+        self.inner, self.last, self.merges, self.most = inner, last, merges, most
+        #: Of each merged token: its two parts, and the rank of the merge.
+        self.parts = {m & 0xFFFF: (pair >> 16, pair & 0xFFFF, m >> 16) for pair, m in sorted(merges.items(), key=lambda x: -x[1])}
         self.table: dict[int, int] = {}
-        self.parent, self.label = [0], [-1]
-
-    def add(self, word: bytes) -> int:
-        """Put a word into the trie, before ``compile``; its final state."""
-        table, parent, label, state = self.table, self.parent, self.label, 0
-        for b in word[:-1]:
-            key = state << 9 | b
+        self.parent, self.label, self.depth = [0], [-1], [0]
+        ends = {self._add(t, final): (i, len(t)) for final, tokens in ((False, inner), (True, last)) for t, i in tokens.items()}
+        self.base = dict(self.table)
+        before = list(self.parent)
+        self._compile()
+        #: Where the arc that enters a state begins, in bytes from the start.
+        self.start = [self.depth[p] for p in self.parent]
+        # a token that its own bytes do not encode to is never an arc
+        self.ending = self._ending(before, {s: x for s, x in ends.items() if self.label[s] == x[0] and not self.parent[s]})
+        self.allowed = Allowed(self.follows)
+
+    def _add(self, word: bytes, final: bool) -> int:
+        """The state that a string leads to in the trie."""
+        table, state = self.table, 0
+        for k, b in enumerate(word):
+            end = final and k == len(word) - 1
+            key = state << 9 | (256 if end else 0) | b
             to = table.get(key)
             if to is None:
-                to = table[key] = len(parent)
-                parent.append(state)
-                label.append(self.inner[b])
+                to = table[key] = len(self.parent)
+                self.parent.append(state)
+                self.label.append((self.last if end else self.inner)[word[k : k + 1]])
+                self.depth.append(k + 1)
             state = to
-        b = word[-1]
-        key = state << 9 | 256 | b
-        to = table.get(key)
-        if to is None:
-            to = table[key] = len(parent)
-            parent.append(state)
-            label.append(self.last[b])
-        return to
+        return state
+
+    def _ending(self, before: list[int], ends: dict[int, tuple[int, int]]) -> list[tuple]:
+        """For each state of the trie ``(token, length)`` of the tokens that end its string, long ones first.
 
-    def compile(self) -> None:
+        ``before`` is the state one byte earlier. Fills ``fail``: the longest proper end of the
+        string that is in the trie too.
+        """
+        symbol = [0] * len(before)
+        for key, to in self.base.items():
+            symbol[to] = key & 511
+        self.fail = fail = [0] * len(before)
+        out: list[tuple] = [()] * len(before)
+        get = self.base.get
+        for s in sorted(range(1, len(before)), key=self.depth.__getitem__):
+            p, c = before[s], symbol[s]
+            if p:
+                f = fail[p]
+                while (to := get(f << 9 | c)) is None and f:
+                    f = fail[f]
+                fail[s] = to or 0
+            own = ends.get(s)
+            out[s] = (own, *out[fail[s]]) if own else out[fail[s]]
+        return out
+
+    def _compile(self) -> None:
         """Apply all merges, lowest rank first."""
         parent, label, get = self.parent, self.label, self.merges.get
         after: list[list[int]] = [[] for _ in parent]  # states that arcs lead to, some of them moved since
@@ -117,20 +169,86 @@ class MergeAutomaton:
                                 due[k] = [s]
                                 heapq.heappush(ranks, k)
 
-    def emit(self, state: int) -> list[int]:
-        """Labels of the arcs from the start to a state."""
-        out, parent, label = [], self.parent, self.label
-        while state:
-            out.append(label[state])
-            state = parent[state]
-        return out[::-1]
+    def follows(self, x: int, y: int) -> bool:
+        """Whether the arc y stays behind the arc x when all gadgets have been applied.
+
+        While the merges run, the end of x is a growing chain of tokens, and so is the
+        beginning of y. A gadget takes y away if its pair stands at the border at its turn:
+        before the left one becomes part of a larger token, and not after the right one does.
+        """
+        left, right = [(x, 1 << 62)], [(y, 1 << 62)]
+        for chain, side in ((left, 1), (right, 0)):
+            while (part := self.parts.get(chain[-1][0])) is not None:
+                chain.append((part[side], part[2]))
+        for a, until_a in left:
+            for b, until_b in right:
+                m = self.merges.get(a << 16 | b)
+                if m is not None and (m >> 16) < until_a and (m >> 16) <= until_b:
+                    return False
+        return True
+
+    def _leave(self, state: int, symbol: int) -> int:
+        """The transition out of the trie, kept in the table from then on."""
+        if len(self.table) > len(self.base) + self.most:
+            self.table = dict(self.base)
+        f, get = state, self.base.get
+        while (to := get(f << 9 | symbol)) is None:
+            f = self.fail[f]
+        self.table[state << 9 | symbol] = to
+        return to
 
     def encode(self, word: bytes) -> list[int]:
-        """Tokens of a word that was added: transitions by the table, then the arcs' labels."""
-        state = 0
-        for b in word[:-1]:
-            state = self.table[state << 9 | b]
-        return self.emit(self.table[state << 9 | 256 | word[-1]])
+        """Tokens of a word: transitions by the table, then the labels of the arcs."""
+        depth, ending, allowed = self.depth, self.ending, self.allowed
+        labels, starts, state, end = [-1], [0], 0, len(word)
+        for k, b in enumerate(word, 1):
+            symbol = b if k < end else 256 | b
+            to = self.table.get(state << 9 | symbol)
+            state = self._leave(state, symbol) if to is None else to
+            if depth[state] == k:
+                labels.append(self.label[state])
+                starts.append(self.start[state])
+                continue
+            for t, size in ending[state]:
+                at = k - size
+                if not at or allowed[labels[at] << 16 | t]:
+                    labels.append(t)
+                    starts.append(at)
+                    break
+        out = []
+        while end:
+            out.append(labels[end])
+            end = starts[end]
+        return out[::-1]
+
+
+class Pieces(dict):
+    """Pieces of text with their ids, decoded text and count, in two generations; the older is forgotten.
+
+    An ASCII piece is that of its lower-case letters, and one with signs behind a letter or
+    digit is made of both parts, as the pattern of words cuts there.
+    """
+
+    def __init__(self, code: Callable[[str], tuple[str, str, int]]):
+        super().__init__()
+        self.code, self.older = code, {}
+
+    def __missing__(self, piece: str) -> tuple[str, str, int]:
+        if len(self) > REMEMBER:
+            self.older = dict(self)
+            self.clear()
+        got = self.older.get(piece)
+        if got is None:
+            base = piece.rstrip(TAIL)
+            if piece.isascii() and "<|" not in piece and piece != (low := piece.lower()):
+                got = self[low]
+            elif base != piece and base and base[-1].isascii() and base[-1].isalnum():
+                a, b = self[base], self[piece[len(base) :]]
+                got = f"{a[0]} {b[0]}", f"{a[1]} {b[1]}", a[2] + b[2]
+            else:
+                got = self.code(piece)
+        self[piece] = got
+        return got
 
 
 class WordBpe:
@@ -152,17 +270,19 @@ class WordBpe:
         self.merges = {vocab[a] << 16 | vocab[b]: rank << 16 | vocab[a + b] for rank, (a, b) in reversed(list(enumerate(pairs)))}
         self.tokens = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         letters = byte_alphabet()
-        self.inner = [vocab[c] for c in letters]
-        self.last = [vocab[c + suffix] for c in letters]
+        self.bytes = {c: b for b, c in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        inner, last = {}, {}
+        for t, k in vocab.items():
+            if t not in self.special:
+                final = t.endswith(suffix)
+                word = t[: len(t) - len(suffix)] if final else t
+                (last if final else inner)[bytes([self.bytes[c] for c in word])] = k
+        self.automaton = MergeAutomaton(inner, last, self.merges)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.marks = [t["content"][:2] for t in spec["added_tokens"]]
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.library = Tokenizer.from_file(path)
-        self.bytes = {c: b for b, c in enumerate(letters)}
-        #: Two generations of pieces of text, each with its ids, decoded text and count.
-        self.known: dict[str, tuple[str, str, int]] = {}
-        self.older: dict[str, tuple[str, str, int]] = {}
+        self.known = Pieces(self.code)
 
     def split(self, piece: str) -> list[bytes]:
         """The words of a piece without special tokens, as bytes.
@@ -177,33 +297,16 @@ class WordBpe:
             piece = unicodedata.normalize("NFC", piece)
         return [w.encode() for w in self.words.findall(piece.lower())]
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Compile the automaton of all words in ``pieces`` and remember what they become."""
-        automaton = MergeAutomaton(self.inner, self.last, self.merges)
-        ends: dict[bytes, int] = {}
-        cut: dict[str, list] = {}
-        for piece in pieces:
-            parts: list = []
-            for k, x in enumerate(self.cut.split(piece) if "<|" in piece else (piece,)):
-                if k % 2:
-                    parts.append(self.special[x])
-                    continue
-                for w in self.split(x):
-                    if w not in ends:
-                        ends[w] = automaton.add(w)
-                    parts.append(w)
-            cut[piece] = parts
-        automaton.compile()
-        coded = {}
-        for w, end in ends.items():
-            ids = automaton.emit(end)
-            coded[w] = (" ".join(map(str, ids)), self.decode(ids), len(ids))
-        for piece, parts in cut.items():
-            if len(parts) == 1 and isinstance(parts[0], bytes):
-                self.known[piece] = coded[parts[0]]
+    def code(self, piece: str) -> tuple[str, str, int]:
+        """Ids joined by blanks, decoded text, and count of a piece."""
+        ids: list[int] = []
+        for k, x in enumerate(self.cut.split(piece) if "<|" in piece else (piece,)):
+            if k % 2:
+                ids.append(self.special[x])
             else:
-                got = [(str(x), self.tokens[x], 1) if isinstance(x, int) else coded[x] for x in parts]
-                self.known[piece] = (" ".join([x[0] for x in got]), " ".join([x[1] for x in got]), sum([x[2] for x in got]))
+                for w in self.split(x):
+                    ids += self.automaton.encode(w)
+        return " ".join(map(str, ids)), self.decode(ids), len(ids)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The labels of the arcs, joined by blanks: the file names no decoder."""
@@ -214,26 +317,27 @@ class WordBpe:
 
         Texts are cut at ASCII white space by ``bytes.split``, which knows no other.
         """
-        pieces = [[*map(bytes.decode, (t or "").encode().split())] for t in texts]
-        if len(self.known) > REMEMBER:
-            self.older, self.known = self.known, {}
-        new = set().union(*pieces).difference(self.known)
-        if self.older:
-            for x in [x for x in new if x in self.older]:
-                self.known[x] = self.older[x]
-                new.discard(x)
-        if new:
-            gc.disable()  # millions of small lists, none of them in cycles
-            self.learn(new)
-            gc.enable()
-        for p in pieces:
-            got = [x for x in map(self.known.__getitem__, p) if x[2]]
+        for t in texts:
+            got = [x for x in map(self.known.__getitem__, map(bytes.decode, (t or "").encode().split())) if x[2]]
             yield sum([x[2] for x in got]), " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
 
+    def forget(self) -> None:
+        """Drop all that was learnt from texts, so that an idle worker holds the automaton only."""
+        self.known.clear()
+        self.known.older = {}
+        self.automaton.table = dict(self.automaton.base)
+        self.automaton.allowed.clear()
+
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in next(self.encode_all([text]))[1].split()]
 
 
+@lru_cache(maxsize=2)
+def word_bpe(path: str) -> WordBpe:
+    """The encoder of a file, compiled once in each Python worker."""
+    return WordBpe(path)
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` for every row of ``docs (doc_id, text)``.
 
@@ -243,13 +347,15 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     are; other columns are ignored. ``path`` names the tokenizer file, which every
     executor must find there.
     """
-    small_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(path)
-        for batch in batches:
-            rows = [*bpe.encode_all(batch.column("text").to_pylist())]
-            n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        bpe = word_bpe(path)
+        try:
+            for batch in slices(batches, "text"):
+                rows = [*bpe.encode_all(batch.column("text").to_pylist())]
+                n, ids, text = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        finally:
+            bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")

@@ -33,18 +33,49 @@ def test_bpe_on_all_of_the_basic_plane():
     assert ours == [" ".join(map(str, e.ids)) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_automaton_tables(monkeypatch):
-    w = bpe.WordBpe(BPE)
-    a = bpe.MergeAutomaton(w.inner, w.last, w.merges)
-    for x in (b"thing", b"things", b"aaaa", b"t"):
-        a.add(x)
-    a.compile()
+def merged(word, merges):
+    """Tokens by the rule itself: the pair of least rank, the leftmost one, again and again."""
+    ids = list(word)
+    while True:
+        ranks = [(merges[a << 16 | b], k) for k, (a, b) in enumerate(zip(ids, ids[1:])) if a << 16 | b in merges]
+        if not ranks:
+            return ids
+        m, k = min(ranks)
+        ids[k : k + 2] = [m & 0xFFFF]
+
+
+def test_automaton_of_small_vocabularies():
+    r = np.random.RandomState(1)
+    for seed in range(40):
+        tokens = {b"a": 0, b"b": 1, b"c": 2}
+        final = {b"a": 3, b"b": 4, b"c": 5}
+        merges, n = {}, 6
+        for rank in range(12):
+            left = list(tokens.items())[r.randint(len(tokens))]
+            end = r.rand() < 0.3
+            right = list((final if end else tokens).items())[r.randint(len(final if end else tokens))]
+            word, pair = left[0] + right[0], left[1] << 16 | right[1]
+            if pair in merges or word in (final if end else tokens):
+                continue
+            (final if end else tokens)[word] = n
+            merges[pair] = rank << 16 | n
+            n += 1
+        a = bpe.MergeAutomaton(tokens, final, merges, most=seed)
+        for size in range(1, 8):
+            for w in itertools.product(b"abc", repeat=size):
+                word = bytes(w)
+                ids = [tokens[bytes([x])] for x in word[:-1]] + [final[word[-1:]]]
+                assert a.encode(word) == merged(ids, merges), (word, merges)
+
+
+def test_forgetting_changes_nothing(monkeypatch):
     library = Tokenizer.from_file(BPE)
-    for x in (b"thing", b"things", b"aaaa", b"t"):
-        assert a.encode(x) == library.encode(x.decode(), add_special_tokens=False).ids
-    monkeypatch.setattr(bpe, "REMEMBER", 3)  # forgetting changes nothing
-    texts = ["one two three four", "five one", "six two seven"]
+    monkeypatch.setattr(bpe, "REMEMBER", 3)
+    w = bpe.WordBpe(BPE)
+    w.automaton.most = 5
+    texts = ["one two three four xqzvvkw", "five one zzyzx", "six two seven xqzvvkw"]
     assert [w.encode(t) for t in texts * 2] == [library.encode(t, add_special_tokens=False).ids for t in texts * 2]
+    assert len(w.automaton.table) <= len(w.automaton.base) + 6
 
 
 def chain(em, m):
@@ -119,7 +150,7 @@ def test_extraction_on_pages_not_trained_on():
     good = total = 0
     for page in H.labelled_pages(150, seed=77):
         tree = H.parse(page)
-        y = [0, *[int(v) for tag, v in H._LABEL.findall(page) if tag in H.BLOCKS]]
+        y = H.labels_of(page)
         main = H.extract([page], H.default_model())[0].split("\n\n")
         for node, text in tree.runs:
             total += 1
@@ -127,6 +158,27 @@ def test_extraction_on_pages_not_trained_on():
     assert good >= 0.95 * total
 
 
+def test_structure_decides_where_names_do_not():
+    get = lambda page: H.extract([page], H.default_model())[0]
+    lone = "one paragraph of seventeen words that stands alone on its page and says all there is to say"
+    real = "Real text of an article that is long."
+    assert get(f"<html><body><p>{lone}</p></body></html>") == get(f"<p>{lone}") == get(lone) == lone
+    assert get(f'<article><p>{real}</p><div class="trending">Hot: <a href=x>this</a> <a href=y>that</a></div></article>') == real
+    assert get(f'<article><p>{real}</p><div class="trending">Something else</div></article>') == real
+    assert get(f'<article><h1>Title</h1><p>{real} It has two sentences.</p></article><div class="user-feedback"><div class="item"><p>I liked it.</p></div><div class="item"><p>Me too.</p></div></div>') == f"Title\n\n{real} It has two sentences."
+    assert get("<main><p>Hi there.</p></main><footer><p>Terms apply. All rights reserved.</p></footer>") == "Hi there."
+
+
+@pytest.mark.parametrize("page", ['<a href="' * 110_000, "<a " * 350_000, "<a title='>" * 90_000, "<!--" * 250_000, "<" * 1_000_000, "</b>" * 250_000, "<script>" * 120_000])
+def test_a_megabyte_of_broken_markup_takes_linear_time(page):
+    import time
+
+    H.default_model()
+    began = time.process_time()
+    H.extract([page], H.default_model())
+    assert time.process_time() - began < 1.0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">a</a></li><li><a href="/b">b</a></li></ul></nav><!-- ad --><div class="ad">Buy this now.</div>
 <article><h1>Head &amp; line</h1><p><b>First   part<br>goes on.<p>Second&nbsp;one &lt;x&gt; with <a href="/c">a link</a> in it &copy 5 &am<P>Third part of the text, long enough to read.</p></article><footer>&copy; someone</footer></body></html>"""
 
