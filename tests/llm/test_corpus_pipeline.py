@@ -96,6 +96,15 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert got == brute(docs, labels)
 
 
+def test_repeated_rows_and_ids_are_dropped_once(spark, tmp_path):
+    rows = [(1, "ab", "a"), (1, "a b", "b"), (5, "q r", "c"), (5, "q r", "c"), (6, "other words that stand alone here of all these rows today", "d"), (6, "other words that stand alone here" + " of all these rows today" + " now", "e"), (None, "zz", "f"), (None, "zz", "f")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], SCHEMA).repartition(3)
+    exact = corpus_pipeline.exact_dedup(spark, docs, str(tmp_path))
+    assert sorted((str(r["doc_id"]), r["text"], r["source"]) for r in exact.collect()) == sorted({(str(i), t, s) for i, t, s in rows if s != "a"})
+    near = corpus_pipeline.near_dedup(spark, docs.where("doc_id = 6 or doc_id is null"), str(tmp_path))
+    assert sorted(r["text"][:5] for r in near.collect()) == ["other", "zz"]
+
+
 def test_stages_keep_the_columns_and_stand_an_empty_table(spark, tmp_path):
     tables(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
