@@ -2,8 +2,8 @@
 
 Toxic documents go, then exact copies, then all but one document of each group of
 near duplicates; the rest is mixed to target weights and encoded. Every stage works on
-all that its predecessor kept. Rows that repeat a doc_id share the fate of that id
-where a stage decides by id.
+all that its predecessor kept. The two stages that drop copies number the rows first,
+so that of rows with the same doc_id, or of repeated rows, one stays like of any others.
 """
 
 from __future__ import annotations
@@ -16,14 +16,16 @@ from caseloom.llm.bpe import encode_documents
 from caseloom.llm.common import materialize, table
 from caseloom.llm.exact_dedup import exact_duplicates
 from caseloom.llm.mixing import mix
-from caseloom.llm.near_dedup import near_duplicates
+from caseloom.llm.near_dedup import kept_rows
 from caseloom.llm.toxicity import clean_documents, train
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``kept (doc_id)``, null included."""
-    ids = kept.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+#: Number of a row within a stage; rows that repeat a doc_id, or repeat altogether, differ in it.
+ROW = "_pipeline_row"
+
+
+def _numbered(docs: DataFrame, stage: str) -> DataFrame:
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), f"pipeline-{stage}-rows")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +34,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original with the least doc_id stays."""
-    return _only(docs, exact_duplicates(docs).where("kept"))
+    """Of equal texts one row stays: the longest original with the least doc_id."""
+    rows = _numbered(docs, "exact")
+    return rows.join(exact_duplicates(rows, row=ROW).where("kept").select(F.col("row").alias(ROW)), ROW, "left_semi").drop(ROW)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays."""
-    return _only(docs, near_duplicates(docs).where("kept"))
+    """Of each group of near duplicates one row stays, that with the least doc_id."""
+    rows = _numbered(docs, "near")
+    return rows.join(kept_rows(rows, ROW), ROW, "left_semi").drop(ROW)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
