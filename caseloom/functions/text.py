@@ -28,8 +28,17 @@ DAMAGE = {
     "FEE STATUS OBSCURED": "fee_status",
 }
 SENTINELS = ("UNREADABLE", "ILLEGIBLE", "OBSCURED", "TORN", "WHITEOUT")
-#: Phrases in hidden text that give an injection away. A parameter of the checks below.
-INJECTION_CUES = ("ignore", "override", "system prompt", "instruction", "approve this", "disregard")
+#: Phrases in hidden text that give an injection away. Fixed values.
+INJECTION_CUES = ("ignore", "answer key", "system:", "approve", "must be", "output this")
+#: What a machine-written line begins with. Fixed values.
+MACHINE_WORDS = ("BARCODE", "QR", "MRZ")
+#: Letters that scans show for digits. Fixed values.
+DIGIT_LOOKS = {"0": "OoQD", "1": "Ili|", "2": "Zz", "4": "A", "5": "Ss", "6": "G", "7": "Tt", "8": "B", "9": "gq"}
+#: What scans show for the letters of a sponsor id's prefix. Fixed values.
+PREFIX_LOOKS = {"S": "S5", "P": "PR", "N": "N"}
+#: Page furniture that a scan line can carry: as it stands, and what takes the rest of the line with it. Fixed values.
+FURNITURE = ("SCAN IMAGE", "REGISTRY IMAGE", "PASSPORT IMAGE", "CASEWORK", "[A-Z]{3} Eyes Only")
+FURNITURE_TO_END = ("Synthetic hiring", r"Packet [A-Z]{3}-\d+")
 
 
 def lookup(values: dict, key: Column, default: Column | None = None) -> Column:
@@ -79,8 +88,9 @@ def rotated(page_rotation: Column, dir_y: Column) -> Column:
 
 
 def non_evidentiary(c: Column) -> Column:
-    """Lines that machines wrote for machines: BARCODE, QR or MRZ and a colon."""
-    return c.rlike(r"(?i)^\s*(BARCODE|QR|MRZ)\b[^:]*:")
+    """Lines that machines wrote for machines: their first word says so, and a colon follows."""
+    first = F.upper(F.regexp_extract(c, r"^\s*(\w+)", 1))
+    return first.isin(*MACHINE_WORDS) & F.contains(c, F.lit(":"))
 
 
 def page_kind(title: Column) -> Column:
@@ -101,9 +111,9 @@ def stamp(text: Column, size: Column) -> Column:
 
 def damaged_fields(text: Column) -> Column:
     """Fields that bracketed markers in the text declare destroyed."""
-    marks = F.regexp_extract_all(text, F.lit(r"\[([A-Z0-9 _\-]{3,40})\]"), 1)
+    inside = F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\[\]]+)\]"), 1), lambda m: F.trim(m))
     known = F.create_map(*[F.lit(x) for kv in DAMAGE.items() for x in kv])
-    return F.array_compact(F.transform(marks, lambda m: F.try_element_at(known, m)))
+    return F.array_compact(F.transform(inside, lambda m: F.try_element_at(known, m)))
 
 
 def injected(hidden_text: Column, has_non_evidentiary: Column) -> Column:
@@ -138,36 +148,39 @@ def fee_of(amount: Column, waiver: Column) -> Column:
 
 def strip_debris(c: Column) -> Column:
     """Page furniture, a stray sign or letter at the end, and outer punctuation removed."""
-    x = F.regexp_replace(c, r"(?i)\bpage\s+\d+(\s+of\s+\d+)?\b", " ")
-    x = F.regexp_replace(clean(x), r"\s+[^\w\s]$", "")
-    x = F.when(F.size(F.split(x, " ")) > 2, F.regexp_replace(x, r"\s+[A-Za-z]$", "")).otherwise(x)
-    return F.regexp_replace(F.regexp_replace(x, r"^[\s.,;:|'\"\-_]+", ""), r"[\s.,;:|'\"\-_]+$", "")
+    whole, to_end = "|".join(FURNITURE), "|".join(FURNITURE_TO_END)
+    x = F.regexp_replace(F.regexp_replace(c, rf"(?i)\b(?:{to_end}).*", " "), rf"(?i)\b(?:{whole})\b", " ")
+    x = F.rtrim(F.regexp_replace(x, r"\s+[^A-Za-z0-9]\s*$", ""))
+    words = F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    x = F.when(F.size(words) > 2, F.regexp_replace(x, r"\s+[A-Za-z]$", "")).otherwise(x)
+    return F.btrim(clean(x), F.lit(" |.,;:-_"))
 
 
 def digits(c: Column) -> Column:
     """Look-alike letters as digits; null unless all are digits then."""
-    x = F.translate(c, "OoQDIlLiSsBZzGgq", "0000111155822699")
+    x = F.translate(c, "".join(DIGIT_LOOKS.values()), "".join(d * len(v) for d, v in DIGIT_LOOKS.items()))
     return F.when(x.rlike("^[0-9]+$"), x)
 
 
 def mine_sponsors(text: Column) -> Column:
-    """Sponsor ids in a text, their digits repaired."""
-    raw = F.regexp_extract_all(text, F.lit(r"(?i)\bS[PF][NM][\s\-_.:]{1,2}([0-9OoQDIlLiSsBZzGgq]{4})\b"), 1)
+    """Sponsor ids in a text, their prefix and digits misread or not, with up to three separators or none."""
+    prefix = "".join(f"[{looks}]" for looks in PREFIX_LOOKS.values())
+    raw = F.regexp_extract_all(text, F.lit(prefix + r"[\s.:;,_-]{0,3}([0-9A-Za-z|]{4})(?!\d)"), 1)
     return F.transform(F.filter(F.transform(raw, digits), lambda x: x.isNotNull()), lambda x: F.concat(F.lit("SPN-"), x))
 
 
 def mine_dates(text: Column) -> Column:
     """Dates in a text, repaired and range-checked; no calendar check."""
-    d = "[0-9OoQDIlLiSsBZzGgq]"
-    pattern = rf"\b({d}{{4}})[\-./]({d}{{2}})[\-./]({d}{{2}})\b"
+    part, gap = "([0-9A-Za-z|]{%d})", "[\\s./\u2013\u2014-]"
+    pattern = r"(?<!\d)" + gap.join(part % n for n in (4, 2, 2)) + r"(?!\d)"
     parts = F.arrays_zip(*[F.transform(F.regexp_extract_all(text, F.lit(pattern), k), digits).alias(n) for k, n in ((1, "y"), (2, "m"), (3, "d"))])
     good = F.filter(parts, lambda p: p["y"].between("2000", "2099") & p["m"].between("01", "12") & p["d"].between("01", "31"))
     return F.transform(good, lambda p: F.concat_ws("-", p["y"], p["m"], p["d"]))
 
 
 def mine_flags(text: Column) -> Column:
-    """Tokens shaped like flags: lower-case words joined by underscores."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z]+(?:_[a-z]+)+)\b"), 1))
+    """Tokens shaped like flags, as they stand: a word of three letters or more, an underscore, one of two or more."""
+    return F.regexp_extract_all(text, F.lit(r"\b([A-Za-z]{3,}_[A-Za-z]{2,})\b"), 1)
 
 
 def respace(c: Column, labels: list[str]) -> Column:
@@ -187,21 +200,39 @@ def label_score(text: Column, labels: list[str]) -> Column:
 
 
 def near_mark(text: Column, pattern: str, mark: str = "SAMPLE", window: int = 60) -> Column:
-    """Whether every match of ``pattern`` lies within ``window`` characters of the mark."""
-    hits = F.regexp_extract_all(text, F.lit(rf"(?s)(.{{0,{window}}}(?:{pattern}).{{0,{window}}})"), 1)
-    return (F.size(hits) > 0) & F.forall(hits, lambda h: F.contains(F.upper(h), F.lit(mark)))
+    """Whether every match of ``pattern`` lies within ``window`` characters of the mark.
+
+    Matches are told by their places: the text is cut at each of them, and what stands
+    around a cut is looked at, so near matches see each other's surroundings.
+    """
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+    gaps = F.split(text, pattern)
+    ends = F.transform(found, lambda m, i: F.length(F.array_join(F.slice(gaps, 1, i + 1), "")) + F.length(F.array_join(F.slice(found, 1, i + 1), "")))
+    around = F.zip_with(found, ends, lambda m, e: F.substring(text, F.greatest(F.lit(1), e - F.length(m) - window + 1), F.length(m) + window + F.least(F.lit(window), e - F.length(m))))
+    return (F.size(found) > 0) & F.forall(around, lambda h: F.contains(F.upper(h), F.lit(mark)))
 
 
 def attestation(text: Column) -> Column:
-    """``struct(sponsor, applicant, purpose, visa)`` of a sponsor's letter; null where it says nothing."""
-    pattern = r"(?s)Sponsor\s+(SPN-\d{4})\s+attests that\s+(.+?)\s+is expected on Earth for\s+(.+?)\."
-    part = lambda p, k: F.nullif(clean(F.regexp_extract(text, p, k)), F.lit(""))
-    return F.struct(part(pattern, 1).alias("sponsor"), part(pattern, 2).alias("applicant"), part(pattern, 3).alias("purpose"), part(r"(?i)class\s+([A-Z]+-\d+)\s+compliance", 1).alias("visa"))
+    """``struct(sponsor, applicant, purpose, visa)`` of a sponsor's letter; null where it says nothing.
+
+    The letter says: Sponsor <id> attests that <name> is expected on Earth for <purpose>.
+    Elsewhere: class <visa> compliance.
+    """
+    t = clean(text)
+    sponsor = F.regexp_extract(t, r"Sponsor (SPN-\d{4}) attests that ", 1)
+    rest = F.substring(t, F.instr(t, F.concat(sponsor, F.lit(" attests that "))) + F.length(sponsor) + 14, F.length(t))
+    halves = F.split(rest, " is expected on Earth for ", 2)
+    said = (sponsor != "") & (F.size(halves) == 2) & F.contains(F.get(halves, F.lit(1)), F.lit("."))
+    part = lambda c: F.when(said, F.nullif(F.trim(c), F.lit("")))
+    visa = F.upper(F.regexp_extract(t, r"(?i)\bclass ([a-z]+-\d+) compliance", 1))
+    return F.struct(part(sponsor).alias("sponsor"), part(F.get(halves, F.lit(0))).alias("applicant"), part(F.substring_index(F.get(halves, F.lit(1)), ".", 1)).alias("purpose"), F.nullif(visa, F.lit("")).alias("visa"))
 
 
 def correction(text: Column, subjects: dict[str, str]) -> Column:
-    """``struct(field, value)`` of a manual correction; null if the text is none."""
-    pattern = r"(?i)Manual correction:\s*(.+?)\s+is\s+(.+?)\.?\s*$"
-    subject = norm(F.regexp_extract(text, pattern, 1))
-    field = lookup(subjects, subject)
-    return F.when(field.isNotNull(), F.struct(field.alias("field"), F.trim(F.regexp_extract(text, pattern, 2)).alias("value")))
+    """``struct(field, value)`` of a manual correction, "Manual correction: <subject> is <value>."; null if the text is none."""
+    t = clean(text)
+    opened = F.startswith(F.lower(t), F.lit("manual correction:"))
+    halves = F.split(F.substring(t, F.lit(len("manual correction:") + 1), F.length(t)), r"(?i) is ", 2)
+    field = lookup(subjects, norm(F.get(halves, F.lit(0))))
+    value = F.rtrim(F.regexp_replace(F.trim(F.get(halves, F.lit(1))), r"\.$", ""))
+    return F.when(opened & field.isNotNull() & (value != ""), F.struct(field.alias("field"), value.alias("value")))

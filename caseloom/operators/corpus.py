@@ -62,23 +62,33 @@ def contiguous_years(df: DataFrame, year: str, support: int = 50) -> DataFrame:
     return islands.join(F.broadcast(mode), "island").select(year, "n")
 
 
-def repair_years(df: DataFrame, date: str, years: DataFrame, dominance: int = 4, least_records: int = 50) -> DataFrame:
-    """``repaired``: the date itself if its year is known, else moved to the year one digit off.
+def year_counts(years: DataFrame) -> DataFrame:
+    """One row ``year_counts``: ``years (year, n)`` as an array, as small as years are."""
+    return years.agg(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), F.col("year").cast("string").alias("y"))).alias("year_counts"))
+
+
+def repaired(date: Column, counts: Column, dominance: int = 4, least_records: int = 50) -> Column:
+    """A date whose year is unknown, moved to the year one digit off; null where its year is known or none will do.
 
-    Of several such years the commonest must have ``dominance`` times the records of
-    the next; 29 February moves only to leap years. ``years (year, n)`` is as small
-    as years are and is carried in an array.
+    ``counts`` is the array of ``year_counts``. Of several such years the commonest must
+    have ``dominance`` times the records of the next, of ``least_records`` in all; 29
+    February moves only to leap years.
     """
-    known = years.agg(F.collect_list(F.struct(F.col("n").alias("n"), F.col("year").cast("string").alias("y"))).alias("years"), F.sum("n").alias("records"))
     y = F.lpad(F.year(date).cast("string"), 4, "0")
     one_off = lambda a, b: sum((F.substring(a, k, 1) != F.substring(b, k, 1)).cast("int") for k in range(1, 5)) == 1
-    out = df.crossJoin(F.broadcast(known)).withColumn("_y", y)
-    near = F.sort_array(F.filter("years", lambda s: one_off(s["y"], F.col("_y"))), asc=False)
-    out = out.withColumn("_near", near).withColumn("_known", F.exists("years", lambda s: s["y"] == F.col("_y")))
-    best, second = F.get("_near", F.lit(0)), F.coalesce(F.get("_near", F.lit(1))["n"], F.lit(0))
+    near = F.sort_array(F.filter(counts, lambda s: one_off(s["y"], y)), asc=False)
+    best, second = F.get(near, F.lit(0)), F.coalesce(F.get(near, F.lit(1))["n"], F.lit(0))
+    records = F.aggregate(counts, F.lit(0).cast("long"), lambda a, s: a + s["n"])
     moved = F.try_to_date(F.concat(best["y"], F.date_format(date, "-MM-dd")), "yyyy-MM-dd")
-    ok = (F.col("records") >= least_records) & best.isNotNull() & (best["n"] >= dominance * second)
-    return out.withColumn("repaired", F.when(F.col("_known"), F.col(date)).when(ok, moved)).drop("_y", "_near", "_known", "years", "records")
+    known = F.exists(counts, lambda s: s["y"] == y)
+    return F.when(~known & (records >= least_records) & best.isNotNull() & (best["n"] >= dominance * second), moved)
+
+
+def repair_years(df: DataFrame, date: str, years: DataFrame, dominance: int = 4, least_records: int = 50) -> DataFrame:
+    """``repaired``: the date itself if its year is in ``years (year, n)``, else moved as ``repaired`` does."""
+    out = df.crossJoin(F.broadcast(year_counts(years)))
+    known = F.exists("year_counts", lambda s: s["y"] == F.lpad(F.year(date).cast("string"), 4, "0"))
+    return out.withColumn("repaired", F.when(known, F.col(date)).otherwise(repaired(F.col(date), F.col("year_counts"), dominance, least_records))).drop("year_counts")
 
 
 def mode_fill(df: DataFrame, value: str, is_missing: Column) -> DataFrame:
@@ -102,20 +112,32 @@ def profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return base.join(p10, keys).join(mid, keys)
 
 
-def settle_box_date(strict: Column, cheap: Column, known_years: Column, modal: Column) -> Column:
+def settle_box_date(strict: Column, cheap: Column, counts: Column, modal: Column) -> Column:
     """One date from staged readings, or null.
 
-    ``strict`` (array of dates as text) counts in known years, ``cheap`` only in the
-    modal year; all that count must agree.
+    ``strict`` readings (arrays of dates as text) count repaired into the known years where
+    that is possible, ``cheap`` ones only in the modal year; all that count must agree.
     """
-    good = F.concat(F.filter(strict, lambda d: F.array_contains(known_years, F.substring(d, 1, 4).cast("int"))), F.filter(cheap, lambda d: F.substring(d, 1, 4).cast("int") == modal))
-    one = F.array_distinct(good)
-    return F.when(F.size(one) == 1, F.get(one, F.lit(0)))
+    day = lambda d: F.try_to_date(d, "yyyy-MM-dd")
+    mended = F.transform(strict, lambda d: F.coalesce(F.date_format(repaired(day(d), counts), "yyyy-MM-dd"), d))
+    one = F.array_distinct(F.concat(mended, F.filter(cheap, lambda d: F.substring(d, 1, 4).cast("int") == modal)))
+    return F.when((F.size(one) == 1) & (F.size(counts) > 0), F.get(one, F.lit(0)))
+
 
+def settle_box_sponsor(printed: Column, box: Column, seen: Column, rescue: Column, revoked: Column, mode: Column) -> Column:
+    """What is printed, or a box's sponsor.
 
-def settle_box_sponsor(printed: Column, box: Column, seen: Column, revoked: Column, placeholder: Column) -> Column:
-    """A box's sponsor replaces the printed one if corroborated, and not where either is revoked
-    and the other would hide it, nor a placeholder by a revoked one."""
+    A printed sponsor gives way to ``box`` if that was ``seen`` elsewhere, and the commonest
+    sponsor ``mode``, a mere guess, to ``rescue`` or else ``box``. Never does one revoked
+    sponsor replace another, nor a revoked one the guess.
+    """
     hit = lambda c: F.coalesce(F.array_contains(revoked, c), F.lit(False))
-    guard = (hit(printed) & hit(box)) | ((printed == placeholder) & hit(box))
-    return F.when(box.isNotNull() & F.coalesce(seen, F.lit(False)) & ~guard, box).otherwise(printed)
+    guess = F.coalesce(printed == mode, F.lit(False))
+    new = F.when(guess, F.coalesce(rescue, box)).when(F.coalesce(seen, F.lit(False)), box)
+    barred = hit(new) & (guess | hit(printed))
+    return F.when(new.isNotNull() & ~barred, new).otherwise(printed)
+
+
+def presence(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: how many rows have a value in each of the columns, and how many there are."""
+    return df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"has_{c}") for c in columns])

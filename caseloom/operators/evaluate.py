@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseloom.functions.policy import PAYOFF
@@ -89,8 +90,37 @@ def name_tokens(df: DataFrame, name: str) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 0) -> DataFrame:
-    """Fold numbers 0 to k-1 that spread each label by a hash of the key: the same in every run."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(label), F.col(key)), F.lit(k)).cast("int"))
+    """Fold numbers 0 to k-1 in which each label is dealt evenly: its rows take them in turn, in the
+    order of a hash of the key, the same in every run."""
+    w = W.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+
+
+def unclassified(flags: DataFrame, known: list[str]) -> DataFrame:
+    """Distinct flags of ``flags (flag)`` that no class lists."""
+    return flags.select("flag").distinct().where(~F.col("flag").isin(*known))
+
+
+def trainable(rows: DataFrame) -> DataFrame:
+    """Rows a model learns from: read without failure, and not settled by a note."""
+    return rows.where(~F.coalesce("failed", F.lit(False)) & F.col("note_finding").isNull())
+
+
+def with_out_of_fold(df: DataFrame, oof: DataFrame, key: str, settled: str) -> DataFrame:
+    """Rows with their out-of-fold probabilities ``p``; those without any are on the ``settled`` path."""
+    out = df.join(oof.select(key, "p"), key, "left")
+    return out.withColumn("path", F.when(F.col("p").isNull(), F.lit(settled)).otherwise(F.col("path")))
+
+
+def percent(c: Column, places: int = 1) -> Column:
+    """A share as text in percent."""
+    return F.format_string(f"%.{places}f%%", c * 100)
+
+
+def global_prior(df: DataFrame, outcome: str) -> DataFrame:
+    """``outcome, p``: shares of the outcomes, six places."""
+    counts = df.groupBy(outcome).agg(F.count(F.lit(1)).alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("t")))).select(outcome, F.round(F.col("n") / F.col("t"), 6).alias("p"))
 
 
 def one_standard_error(rows: list[tuple[float, float, float]]) -> float:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.distance import SCAN, distance
 from caseloom.functions.text import POLICY_TRUST, canon, norm
+from caseloom.functions.validate import valid_sponsor
 from caseloom.operators.resolve import conflicts, consensus, tier_majority, trust_resolve, unanimous
 from caseloom.operators.snap import snap, snap_flags, snap_names
 
@@ -14,19 +15,21 @@ from caseloom.operators.snap import snap, snap_flags, snap_names
 EMBARGOED = ("TRAPPIST-1e", "Eris Relay")
 #: Distance of a compound candidate over its length, and of its last part over the longer one.
 LOOSE_FLAG, TERMINAL = 0.55, 0.40
+SCANS = ("scanned_page", "scanned_page_fallback")
+VISAS = ("XW-1", "XW-2", "DIP-1", "MED-3", "TRANSIT-7")
 CLOSED = ("species_code", "home_world", "visa_class", "declared_purpose", "fee_status")
 
 
 def snapped(obs: DataFrame, vocabulary: DataFrame, first_tokens: DataFrame, last_tokens: DataFrame) -> DataFrame:
-    """Observations with the canonical ``value`` and its ``score``; closed fields that match
+    """Observations with the canonical ``value``, its ``score`` and what was read, ``raw``; closed fields that match
     nothing get null and 0, names keep what they read, other fields are as they are."""
     closed = obs.where(F.col("field").isin(*CLOSED))
     near = snap(closed, vocabulary, "value", ["field"], costs=SCAN).select("field", F.col("value").alias("raw"), "snapped", "confidence")
-    a = closed.withColumnRenamed("value", "raw").join(near, ["field", "raw"]).withColumn("value", F.col("snapped")).withColumn("score", F.col("confidence")).drop("snapped", "confidence", "raw")
+    a = closed.withColumnRenamed("value", "raw").join(near, ["field", "raw"]).withColumn("value", F.col("snapped")).withColumn("score", F.col("confidence")).drop("snapped", "confidence")
     names = obs.where("field = 'applicant_name'")
     known = snap_names(names, first_tokens, last_tokens, "value").select(F.col("value").alias("raw"), "snapped", "confidence")
-    b = names.withColumnRenamed("value", "raw").join(known, "raw").withColumn("value", F.coalesce("snapped", "raw")).withColumn("score", F.col("confidence")).drop("snapped", "confidence", "raw")
-    c = obs.where(~F.col("field").isin(*CLOSED, "applicant_name")).withColumn("score", F.lit(1.0))
+    b = names.withColumnRenamed("value", "raw").join(known, "raw").withColumn("value", F.when(F.col("confidence") > 0, F.col("snapped")).otherwise(F.col("raw"))).withColumn("score", F.col("confidence")).drop("snapped", "confidence")
+    c = obs.where(~F.col("field").isin(*CLOSED, "applicant_name")).withColumn("score", F.lit(1.0)).withColumn("raw", F.col("value"))
     return a.unionByName(b).unionByName(c)
 
 
@@ -89,46 +92,103 @@ def embargo_shown(flags: Column, world: Column) -> Column:
     return F.when(ok, flags).otherwise(F.array_remove(flags, "planetary_embargo"))
 
 
+def printed_names(ordinary: DataFrame, obs: DataFrame, corrections: DataFrame, ceiling: int = 7) -> DataFrame:
+    """``case_id, value``: the name to print. The only name that the registry states goes before the
+    ``ordinary (case_id, value)`` one, unless a correction ``(case_id, field)`` was signed."""
+    listed = obs.where(f"field = 'applicant_name' and source = 'registry' and score > 0 and trust <= {ceiling}")
+    one = unanimous(listed, ["case_id"]).select("case_id", F.col("value").alias("listed"))
+    signed = corrections.where("field = 'applicant_name'").select("case_id", F.lit(True).alias("signed")).distinct()
+    out = ordinary.join(one, "case_id", "full_outer").join(signed, "case_id", "left")
+    return out.select("case_id", F.when(F.col("signed"), F.col("value")).otherwise(F.coalesce("listed", "value")).alias("value"))
+
+
+def fee_values(readings: DataFrame, vocabulary: DataFrame, reading: str) -> DataFrame:
+    """``reading, fee``: the fee status that a reading states, as it stands or snapped; null if none."""
+    stated = F.lower(F.trim(F.col(reading)))
+    seen = readings.select(reading).distinct().withColumn("_f", stated)
+    near = snap(seen.select("_f"), vocabulary, "_f").select("_f", "snapped")
+    exact = seen.join(vocabulary.select(F.lower("value").alias("_f"), F.lit(True).alias("known")).distinct(), "_f", "left")
+    return exact.join(near, "_f", "left").select(reading, F.when(F.col("known"), F.col("_f")).otherwise(F.lower("snapped")).alias("fee"))
+
+
+def typed_fields(obs: DataFrame) -> DataFrame:
+    """``case_id, field, typed``: whether any source but a scan states the field."""
+    return obs.groupBy("case_id", "field").agg(F.bool_or(~F.col("source").isin(*SCANS)).alias("typed"))
+
+
+def flags_known(flags: Column, page_types: Column, panel_read: Column, note: Column, panel_missing: Column) -> Column:
+    """Whether "no flags" is evidence: some flag, a biometric page, a read panel or a finding, and no panel reported missing."""
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return ((F.size(flags) > 0) | no(F.array_contains(page_types, "biometric")) | no(panel_read) | note.isNotNull()) & ~no(panel_missing)
+
+
+def still_unresolved(unresolved: Column, settled: Column) -> Column:
+    """Fields that nothing settled, in order."""
+    return F.array_sort(F.array_except(unresolved, settled))
+
+
 def direct_repairs(printed: DataFrame, obs: DataFrame, rationale: DataFrame) -> DataFrame:
     """Printed values that direct evidence corrects, six rules in order; later ones win.
 
-    Only ``printed_*`` columns change. ``obs`` holds snapped observations, ``rationale
-    (case_id, transit)`` what a note's reason says about the transit class.
+    ``printed`` has ``printed_applicant_name, printed_sponsor_id, printed_visa_class`` and may
+    have ``printed_flags``; only such columns change. ``obs`` holds snapped observations,
+    ``raw`` as read, ``rationale (case_id, transit)`` what a note's reason says.
+
+    1. The applicant of a letter whom a primary scan names too, if there is one such; if this
+       changes the name, a lone sponsor mismatch was an identity conflict.
+    2. The sponsor that both readers see on different pages.
+    3. The fallback reader's only visa, where primary readings exist, none of them is a visa,
+       and no typed page states one.
+    4. The transit class that a reason names.
+    5. The name that leads all others by two readings or more on scans.
+    6. The fallback reader's only exact name, where the printed one is no known name.
     """
-    scan = obs.where("source in ('scanned_page', 'scanned_page_fallback')")
-    typed = obs.where("source not in ('scanned_page', 'scanned_page_fallback')").select("case_id", "field").distinct()
-    letter = obs.where("source = 'sponsor_letter' and field = 'applicant_name'").select("case_id", norm(F.col("value")).alias("v"), "value")
-    seen = scan.where("field = 'applicant_name'").select("case_id", norm(F.col("value")).alias("v")).distinct()
-    one = unanimous(letter.join(seen, ["case_id", "v"], "left_semi"), ["case_id"]).select("case_id", F.col("value").alias("r1"))
-    pages = scan.where("field = 'sponsor_id'").groupBy("case_id", "value").agg(F.array_sort(F.collect_set("source")).alias("s"), F.count_distinct("page").alias("p"))
-    two = unanimous(pages.where("size(s) = 2 and p > 1"), ["case_id"]).select("case_id", F.col("value").alias("r2"))
-    primary = scan.where("source = 'scanned_page' and field = 'visa_class' and score > 0").select("case_id").distinct()
-    fallback = scan.where("source = 'scanned_page_fallback' and field = 'visa_class' and score > 0").join(primary, "case_id", "left_anti").join(typed.where("field = 'visa_class'"), "case_id", "left_anti")
-    three = unanimous(fallback, ["case_id"]).select("case_id", F.col("value").alias("r3"))
+    if "raw" not in obs.columns:
+        obs = obs.withColumn("raw", F.col("value"))
+    key = norm(F.col("value")).alias("v")
+    name = obs.where("field = 'applicant_name' and value is not null")
+    scan = name.where(F.col("source").isin(*SCANS))
+    letter = name.where("source = 'sponsor_letter'").groupBy("case_id", key).agg(F.max("value").alias("value"))
+    seen = name.where("source = 'scanned_page'").select("case_id", key).distinct()
+    one = unanimous(letter.join(seen, ["case_id", "v"], "left_semi"), ["case_id"], "v").select("case_id", "v").join(letter, ["case_id", "v"]).select("case_id", F.col("value").alias("r1"))
+    ids = obs.where("field = 'sponsor_id'").where(F.col("source").isin(*SCANS)).withColumn("value", F.upper(F.trim("raw"))).where(valid_sponsor(F.col("value")))
+    pages = ids.groupBy("case_id", "value").agg(F.count_distinct("source").alias("s"), F.count_distinct("page").alias("p"))
+    two = unanimous(pages.where("s = 2 and p > 1"), ["case_id"]).select("case_id", F.col("value").alias("r2"))
+    visa = obs.where("field = 'visa_class'").withColumn("read", F.upper(F.trim("raw")))
+    visa = visa.withColumn("ok", F.col("read").isin(*VISAS))
+    by = lambda cond: F.count_if(cond)
+    per = visa.groupBy("case_id").agg(by(F.col("source") == "scanned_page").alias("primary"), by((F.col("source") == "scanned_page") & F.col("ok")).alias("good"), by(~F.col("source").isin(*SCANS)).alias("typed"))
+    other = unanimous(visa.where("source = 'scanned_page_fallback' and ok"), ["case_id"], "read").select("case_id", F.col("read").alias("r3"))
+    three = other.join(per.where("primary > 0 and good = 0 and typed = 0").select("case_id"), "case_id", "left_semi")
     four = rationale.where("transit").select("case_id", F.lit("TRANSIT-7").alias("r4")).distinct()
-    lead = consensus(scan.where("score > 0").where(F.col("field").isin("species_code", "home_world", "declared_purpose")).join(typed, ["case_id", "field"], "left_anti"), ["case_id", "field"])
-    five = lead.groupBy("case_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"r5_{f}") for f in ("species_code", "home_world", "declared_purpose")])
-    exact = scan.where("source = 'scanned_page_fallback' and field = 'applicant_name' and score >= 0.99")
-    six = unanimous(exact, ["case_id"]).select("case_id", F.col("value").alias("r6"))
+    shown = scan.groupBy("case_id", key).agg(F.max("value").alias("value"))
+    five = consensus(scan.select("case_id", norm(F.col("value")).alias("value")), ["case_id"]).select("case_id", F.col("value").alias("v")).join(shown, ["case_id", "v"]).select("case_id", F.col("value").alias("r5"))
+    six = unanimous(scan.where("source = 'scanned_page_fallback' and score >= 0.99"), ["case_id"]).select("case_id", F.col("value").alias("r6"))
+    known = name.where("score > 0").groupBy("case_id").agg(F.collect_set(norm(F.col("value"))).alias("known"))
     out = printed
-    for d in (one, two, three, four, five, six):
+    for d in (one, two, three, four, five, six, known):
         out = out.join(d, "case_id", "left")
-    return out.select(
-        *[c for c in printed.columns if c not in ("printed_applicant_name", "printed_sponsor_id", "printed_visa_class", "printed_species_code", "printed_home_world", "printed_declared_purpose")],
-        F.when(F.col("printed_applicant_name").isNull(), F.coalesce("r6", "r1")).otherwise(F.coalesce("r1", "printed_applicant_name")).alias("printed_applicant_name"),
-        F.coalesce("r2", "printed_sponsor_id").alias("printed_sponsor_id"),
-        F.coalesce("r4", "r3", "printed_visa_class").alias("printed_visa_class"),
-        *[F.coalesce(f"r5_{f}", f"printed_{f}").alias(f"printed_{f}") for f in ("species_code", "home_world", "declared_purpose")],
-    )
+    was = F.col("printed_applicant_name")
+    turned = F.col("r1").isNotNull() & ~norm(was).eqNullSafe(norm(F.col("r1")))
+    before = F.coalesce("r5", F.when(turned, F.col("r1")), was)
+    strange = ~F.coalesce(F.array_contains("known", norm(before)), F.lit(False))
+    columns = {
+        "printed_applicant_name": F.when(strange, F.coalesce("r6", before)).otherwise(before),
+        "printed_sponsor_id": F.coalesce("r2", "printed_sponsor_id"),
+        "printed_visa_class": F.coalesce("r4", "r3", "printed_visa_class"),
+        "printed_flags": F.when(turned & (F.col("printed_flags") == F.array(F.lit("sponsor_mismatch"))), F.array(F.lit("identity_conflict"))).otherwise(F.col("printed_flags")) if "printed_flags" in printed.columns else None,
+    }
+    return out.select(*[columns[c].alias(c) if columns.get(c) is not None else F.col(c) for c in printed.columns])
 
 
 def fill_unresolved(printed: DataFrame, extra: DataFrame, damaged: DataFrame, injected: DataFrame) -> DataFrame:
     """Fields still unprinted take the third reader's only candidate, unless damaged or injected.
 
-    ``extra (case_id, field, value, score)``: names need 0.99, closed values 0.20.
+    ``extra (case_id, field, value, score)``: names need 0.99, closed values 0.20, sponsors their shape.
     """
     bar = F.when(F.col("field") == "applicant_name", 0.99).otherwise(0.20)
-    good = extra.where(F.col("score") >= bar).join(damaged, ["case_id", "field"], "left_anti").join(injected.select("case_id"), "case_id", "left_anti")
+    shaped = (F.col("field") != "sponsor_id") | valid_sponsor(F.upper("value"))
+    good = extra.where((F.col("score") >= bar) & shaped).join(damaged, ["case_id", "field"], "left_anti").join(injected.select("case_id"), "case_id", "left_anti")
     one = unanimous(good, ["case_id", "field"])
     fields = [c.removeprefix("printed_") for c in printed.columns if c.startswith("printed_")]
     wide = one.groupBy("case_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"x_{f}") for f in fields])

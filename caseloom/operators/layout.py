@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
 from caseloom.functions.validate import looks_damaged, valid_for_field
-from caseloom.operators.snap import mismatches
+from caseloom.operators.snap import match_labels
 
 #: Labels of typed pages, of inline lines and of scans with their fields. Fixed values.
 LABELS = {
@@ -75,19 +75,6 @@ def letters(page: DataFrame) -> DataFrame:
     return page.where("kind = 'sponsor_letter'").select("case_id", "page", each.alias("x")).select("case_id", "page", "x.seq", "x.field", "x.value").where("value is not null")
 
 
-def garbled_labels(tails: DataFrame) -> DataFrame:
-    """``tail, near``: the field of the scan label nearest to each of ``tails (tail)``.
-
-    Differing places and the difference in length count; at most two, or a quarter of
-    the tail. The first label wins ties.
-    """
-    labels = F.array(*[F.struct(F.lit(k).alias("idx"), F.lit(x).alias("label"), F.lit(f).alias("field")) for k, (x, f) in enumerate(SCAN_LABELS.items())])
-    pairs = tails.distinct().select("tail", F.explode(labels).alias("x")).select("tail", "x.*")
-    gap = F.abs(F.length("tail") - F.length("label"))
-    scored = pairs.where(gap <= 4).withColumn("d", mismatches(F.col("tail"), F.col("label")) + gap).where(F.col("d") <= F.greatest(F.lit(2), F.floor(F.length("tail") / 4)))
-    return scored.groupBy("tail").agg(F.min(F.struct("d", "idx", "field"))["field"].alias("near"))
-
-
 def scanned_lines(reads: DataFrame) -> DataFrame:
     """``label : value`` lines of readings; of each reading a field's first line counts.
 
@@ -95,15 +82,12 @@ def scanned_lines(reads: DataFrame) -> DataFrame:
     Of what stands before the first one the last three, two or one words are a label,
     whatever signs are among them, or else the last two a garbled one.
     """
-    lines = reads.select("case_id", "page", "engine", "read_idx", F.posexplode(F.split("text", r"\R")).alias("line_no", "line"))
+    lines = reads.select("case_id", "page", "engine", "read_idx", F.posexplode(F.split("text", r"\R|\f|\x1c|\x1d|\x1e")).alias("line_no", "line"))
     pattern = r"^(.*?)\s*[:;.=]\s*(.*)$"
-    words = F.filter(F.split(F.lower(F.regexp_replace(F.regexp_extract("line", pattern, 1), "[^A-Za-z ]+", " ")), " +"), lambda x: x != "")
-    last = lambda n: F.when(F.size("words") >= n, F.array_join(F.slice("words", -n, n), " "))
-    out = lines.select("*", words.alias("words"), T.strip_debris(F.regexp_extract("line", pattern, 2)).alias("value")).where("size(words) > 0 and value <> ''")
-    exact = F.coalesce(*[T.lookup(SCAN_LABELS, last(n)) for n in (3, 2, 1)])
-    out = out.select("case_id", "page", "engine", "read_idx", "line_no", "value", exact.alias("exact"), F.coalesce(last(2), last(1)).alias("tail"))
-    near = garbled_labels(out.where("exact is null").select("tail"))
-    out = out.join(near, "tail", "left").withColumn("field", F.coalesce("exact", "near"))
+    out = lines.select("*", F.regexp_extract("line", pattern, 1).alias("head"), T.strip_debris(F.regexp_extract("line", pattern, 2)).alias("value")).where("head <> '' and value <> ''")
+    labels = reads.sparkSession.createDataFrame([(k, x) for k, x in enumerate(SCAN_LABELS)], "idx int, label string")
+    known = match_labels(out.select("head"), labels, "head").select("head", T.lookup(SCAN_LABELS, F.col("label")).alias("field"))
+    out = out.join(known, "head")
     best = out.where("field is not null and value <> ''").groupBy("case_id", "page", "engine", "read_idx", "field").agg(F.min(F.struct("line_no", "value")).alias("m"))
     return best.select("case_id", "page", "engine", "read_idx", F.col("m.line_no").alias("line_no"), "field", F.col("m.value").alias("value"))
 
@@ -168,7 +152,3 @@ def facts(page: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("stamps")))).alias("stamps"), F.bool_or("sample").alias("sample_denial_watermark"), F.array_sort(F.collect_list("kind")).alias("page_types"),
     )
     return per.select("case_id", (F.col("chars") >= 50).alias("has_text_layer"), T.injected(F.col("hidden"), F.col("ne")).alias("injection_detected"), "stamps", "sample_denial_watermark", "page_types")
-
-
-def fallback_policy(source: Column) -> Column:
-    return source == "scanned_page_fallback"

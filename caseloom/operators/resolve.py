@@ -77,16 +77,6 @@ def corroborated(a: DataFrame, keys: list[str], page: str = "page") -> DataFrame
     return a.groupBy(*keys).agg(F.min(page).alias("first_page"), F.max(page).alias("last_page")).where("first_page <> last_page")
 
 
-def also_read(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``a`` that ``b`` confirms."""
-    return a.join(b.select(*on).distinct(), on, "left_semi")
-
-
-def first_seen(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One whole row for each key, the first in ``order``."""
-    return ranked(df, keys, order).where("rn = 1").drop("rn")
-
-
 def pair_with_next(df: DataFrame, keys: list[str], order: list[Column], is_label: Column, is_value: Column, label: str, value: str) -> DataFrame:
     """Label rows with the row right after them, where that is a value."""
     w = W.partitionBy(*keys).orderBy(*order)
@@ -113,9 +103,3 @@ def backfill(inputs: DataFrame, rows: DataFrame, key: str, defaults: dict) -> Da
     out = inputs.select(key).join(rows.withColumn("_hit", F.lit(True)), key, "left")
     filled = out.select(key, *[F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in rows.columns if c != key], F.col("_hit").isNull().alias("missing"))
     return filled
-
-
-def reconstruct_text(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Texts of spans joined in their order."""
-    parts = F.array_sort(F.collect_list(F.struct("span_idx", "text")))
-    return spans.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))

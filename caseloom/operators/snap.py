@@ -36,9 +36,11 @@ def snap(readings: DataFrame, vocabulary: DataFrame, reading: str, keys: list[st
     lengths = F.sequence(F.greatest(F.length("_c") - reach, F.lit(0)), F.length("_c") + reach)
     pairs = want.withColumn("_n", F.explode(lengths)).join(words.withColumn("_n", F.length("_w")), [*keys, "_n"])
     scored = pairs.where(near).withColumn("_d", distance(F.col("_c"), F.col("_w"), costs))
-    best = scored.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct(F.col("_d").alias("d"), "idx", "value"))).alias("_r"))
-    first, second = F.get("_r", F.lit(0)), F.coalesce(F.get("_r", F.lit(1))["d"], F.lit(1e9))
-    out = best.select(*keys, "_c", first["value"].alias("_v"), first["d"].alias("_d"), confidence(first["d"], second, F.length("_c"), ratio).alias("_k"))
+    one = scored.groupBy(*keys, "_c").agg(F.min(F.struct(F.col("_d").alias("d"), "idx", "value")).alias("_r"))
+    ahead = (scored["_d"] > F.col("_r.d")) | (scored["idx"] > F.col("_r.idx")) | (scored["value"] > F.col("_r.value"))
+    two = scored.join(one, [*keys, "_c"]).where(ahead).groupBy(*keys, "_c").agg(F.min("_d").alias("_s"))
+    best = one.join(two, [*keys, "_c"], "left")
+    out = best.select(*keys, "_c", F.col("_r.value").alias("_v"), F.col("_r.d").alias("_d"), confidence(F.col("_r.d"), F.coalesce("_s", F.lit(1e9)), F.length("_c"), ratio).alias("_k"))
     joined = seen.join(out, [*keys, "_c"], "left")
     hit = F.col("_k") > 0
     return joined.select(*keys, reading, F.when(hit, F.col("_v")).alias("snapped"), F.coalesce("_k", F.lit(0.0)).alias("confidence"), "_d").withColumnRenamed("_d", "distance")
@@ -111,13 +113,26 @@ def mismatches(a: Column, b: Column) -> Column:
 
 
 def match_labels(readings: DataFrame, labels: DataFrame, reading: str) -> DataFrame:
-    """The label (idx, label) with fewest positional mismatches: at most a quarter of it or two,
-    and at most four characters longer or shorter. The first label wins ties."""
-    seen = readings.select(reading).distinct().withColumn("_r", F.lower(F.trim(F.col(reading))))
-    words = labels.select("idx", "label", F.lower("label").alias("_w"))
-    pairs = seen.crossJoin(F.broadcast(words)).where(F.abs(F.length("_r") - F.length("_w")) <= 4)
-    scored = pairs.withColumn("_d", mismatches(F.col("_r"), F.col("_w"))).where(F.col("_d") <= F.greatest(F.lit(2), F.floor(F.length("_w") / 4)))
-    return scored.groupBy(reading).agg(F.min(F.struct(F.col("_d").alias("d"), "idx", "label")).alias("m")).select(reading, F.col("m.label").alias("label"), F.col("m.d").alias("mismatches"))
+    """``reading, label, mismatches``: the label that ends a reading, or looks most like its end.
+
+    ``labels`` has ``idx, label``. Only letters count. The last three, two or one words are a
+    label exactly, the longest group first (0 mismatches); else the last two words, or the
+    only one, are compared place by place: differing places and the difference in length,
+    of four at most, count, up to two or a quarter of the words' length. Ties go to the first label.
+    """
+    letters = F.split(F.trim(F.lower(F.regexp_replace(F.col(reading), "[^A-Za-z ]+", " "))), " +")
+    seen = readings.select(reading).distinct().withColumn("_w", F.filter(letters, lambda x: x != "")).where(F.size("_w") > 0)
+    last = lambda n: F.when(F.size("_w") >= n, F.array_join(F.slice("_w", -n, n), " "))
+    known = labels.select("idx", "label", F.lower("label").alias("_l"))
+    ends = seen.select(reading, F.posexplode(F.array(last(3), last(2), last(1))).alias("_k", "_l"))
+    exact = ends.join(known, "_l").groupBy(reading).agg(F.min(F.struct("_k", "idx", "label"))["label"].alias("label")).select(reading, "label", F.lit(0).alias("mismatches"))
+    rest = seen.join(exact.select(reading), reading, "left_anti").select(reading, F.coalesce(last(2), last(1)).alias("_t"))
+    gap = F.abs(F.length("_t") - F.length("_l"))
+    pairs = rest.withColumn("_n", F.explode(F.sequence(F.greatest(F.length("_t") - 4, F.lit(1)), F.length("_t") + 4))).join(known.withColumn("_n", F.length("_l")), "_n")
+    scored = pairs.withColumn("_d", mismatches(F.col("_t"), F.col("_l")) + gap)
+    best = scored.groupBy(reading, "_t").agg(F.min(F.struct(F.col("_d").alias("d"), "idx", "label")).alias("m"))
+    near = best.where(F.col("m.d") <= F.greatest(F.lit(2), F.floor(F.length("_t") / 4))).select(reading, F.col("m.label").alias("label"), F.col("m.d").cast("int").alias("mismatches"))
+    return exact.unionByName(near)
 
 
 def snap_findings(readings: DataFrame, reading: str) -> DataFrame:

@@ -15,6 +15,7 @@ from caseloom.operators.resolve import backfill
 PUBLIC_REVOKED = ("SPN-0007", "SPN-0139", "SPN-4040")
 NO_SPONSOR, NO_DATE = "SPN-0000", "2000-01-01"
 NOTE_CONFIDENCE, FALLBACK_NOTE_CONFIDENCE = 0.997207, 0.95
+UNREADABLE = "unreadable_packet"
 FALLBACK = {"p_approved": 1 / 3, "p_denied": 1 / 3, "p_review": 1 / 3}
 
 
@@ -28,17 +29,29 @@ def context(records: DataFrame) -> DataFrame:
     ref = corpus.reference_date(dated, [], "arrival").agg(F.max("reference_date").alias("reference_date"))
     med = corpus.median_date(dated, [], "arrival").agg(F.max("median_date").alias("median_date"))
     out = corpus.frequency_outliers(records.where(valid_sponsor(F.col("sponsor_id"))), "sponsor_id").agg(F.collect_set("sponsor_id").alias("r"))
-    years = corpus.contiguous_years(dated.withColumn("year", F.year("arrival")), "year").agg(F.collect_list("year").alias("years"), F.max(F.struct("n", "year"))["year"].alias("modal_year"))
+    years = corpus.contiguous_years(dated.withColumn("year", F.year("arrival")), "year")
+    years = corpus.year_counts(years).crossJoin(years.agg(F.max(F.struct("n", "year"))["year"].alias("modal_year")))
     one = ref.crossJoin(med).crossJoin(out).crossJoin(years)
     return one.withColumn("revoked", F.array_sort(F.array_union(F.array(*map(F.lit, PUBLIC_REVOKED)), "r"))).drop("r")
 
 
-def adjudicate(records: DataFrame, calibration: DataFrame, fallback: dict[str, float] = FALLBACK) -> DataFrame:
+def fitted_prior(calibration: DataFrame) -> dict[str, float]:
+    """Shares of the outcomes in all records a calibration was fitted on, by its ``support``; one row."""
+    if "support" not in calibration.columns:
+        return FALLBACK
+    one = calibration.agg(*[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c) for c in FALLBACK]).first()
+    return {c: FALLBACK[c] if one[c] is None else one[c] for c in FALLBACK}
+
+
+def adjudicate(records: DataFrame, calibration: DataFrame, fallback: dict[str, float] | None = None) -> DataFrame:
     """Records with path, decision and confidence, under the corpus context.
 
-    A primary note's finding decides first; then the path table; a fallback reader's
-    finding overrides where there is no primary note.
+    A primary note's finding decides first; then the path table, or for a path that it
+    lacks ``fallback``, by default the prior it was fitted with; a fallback reader's finding
+    overrides where there is no primary note and nothing was injected.
     """
+    fallback = fallback or fitted_prior(calibration)
+    calibration = calibration.drop("support")
     r = corpus.with_context(records, context(records)).withColumn("arrival", date_of(F.col("arrival_date")))
     far = F.coalesce(P.implausible(F.col("reference_date"), F.col("arrival")), F.lit(False))
     r = r.withColumn("stale", P.stale(F.col("reference_date"), F.col("arrival"))).withColumn("untrusted", F.coalesce("arrival_date_untrusted", F.lit(False)) | far)
@@ -50,7 +63,7 @@ def adjudicate(records: DataFrame, calibration: DataFrame, fallback: dict[str, f
     )
     r = with_probabilities(r.withColumn("path", path), calibration, "path", fallback)
     d = P.decide((F.col("p_approved"), F.col("p_denied"), F.col("p_review")))
-    other = F.col("fallback_note").isNotNull() & F.col("note_finding").isNull()
+    other = F.col("fallback_note").isNotNull() & F.col("note_finding").isNull() & ~F.coalesce("injection_detected", F.lit(False))
     r = r.withColumn("_d", d)
     return r.withColumn("adjudication", F.coalesce("note_finding", F.when(other, F.col("fallback_note")), F.col("_d.decision"))).withColumn(
         "confidence", F.when(F.col("note_finding").isNotNull(), F.lit(NOTE_CONFIDENCE)).when(other, F.lit(FALLBACK_NOTE_CONFIDENCE)).otherwise(F.col("_d.confidence"))
@@ -60,13 +73,18 @@ def adjudicate(records: DataFrame, calibration: DataFrame, fallback: dict[str, f
 def settle_dates(rows: DataFrame) -> DataFrame:
     """Printed dates: repaired into known years, unread ones become the median, staged box dates last.
 
-    ``rows`` carries the context and ``printed_arrival_date``; optional arrays
-    ``box_strict`` and ``box_cheap`` hold staged readings.
+    ``rows`` carries the context, ``arrival_date`` as policy knows it and
+    ``printed_arrival_date``, which where policy knows none is the fallback reader's: that is
+    repaired, never replaced by the median. Optional arrays ``box_strict`` and ``box_cheap``
+    hold staged readings.
     """
+    text = lambda d: F.date_format(d, "yyyy-MM-dd")
+    mended = lambda c: text(corpus.repaired(date_of(F.col(c)), F.col("year_counts")))
     printed = F.when(valid_date(F.col("printed_arrival_date")), F.col("printed_arrival_date"))
-    out = rows.withColumn("printed_arrival_date", F.coalesce(printed, F.date_format("median_date", "yyyy-MM-dd"), F.lit(NO_DATE)))
+    settled = F.when(F.col("arrival_date").isNotNull(), F.coalesce(mended("arrival_date"), printed, "arrival_date")).otherwise(F.coalesce(mended("printed_arrival_date"), printed, text(F.col("median_date"))))
+    out = rows.withColumn("printed_arrival_date", F.coalesce(settled, F.lit(NO_DATE)))
     if {"box_strict", "box_cheap"} <= set(rows.columns):
-        box = corpus.settle_box_date(F.col("box_strict"), F.col("box_cheap"), F.col("years"), F.col("modal_year"))
+        box = corpus.settle_box_date(F.col("box_strict"), F.col("box_cheap"), F.col("year_counts"), F.col("modal_year"))
         out = out.withColumn("printed_arrival_date", F.coalesce(box, "printed_arrival_date"))
     return out
 
@@ -86,10 +104,27 @@ def enforce(rows: DataFrame) -> DataFrame:
     )
 
 
-def finish(inputs: DataFrame, decided: DataFrame) -> DataFrame:
+def finish(inputs: DataFrame, decided: DataFrame, calibration: DataFrame | None = None) -> DataFrame:
     """One valid row for each input: printed values, backfill, schema, then the sponsor placeholder
-    becomes the commonest sponsor."""
+    becomes the commonest sponsor, and last the sponsors of boxes.
+
+    Inputs without a row are unreadable packets and get the decision of that path of
+    ``calibration``. ``decided`` may hold ``box_sponsor, box_sponsor_seen,
+    box_sponsor_placeholder`` and ``revoked``.
+    """
     d = settle_dates(decided)
+    staged = [c for c in ("box_sponsor", "box_sponsor_seen", "box_sponsor_placeholder", "revoked") if c in d.columns]
     shown = d.select("case_id", *[F.col(f"printed_{c}").alias(c) for c in ("applicant_name", "species_code", "home_world", "visa_class", "declared_purpose", "sponsor_id", "arrival_date", "fee_status")], flag_string(F.col("printed_flags")).alias("risk_flags"), "adjudication", "confidence")
-    all_rows = backfill(inputs, shown, "case_id", {"adjudication": "NEEDS_REVIEW", "confidence": 0.6, "risk_flags": "none", "arrival_date": NO_DATE}).drop("missing")
-    return corpus.mode_fill(enforce(all_rows), "sponsor_id", F.col("sponsor_id") == NO_SPONSOR)
+    unread = None
+    if calibration is not None:
+        p = P.decide((F.col("p_approved"), F.col("p_denied"), F.col("p_review")))
+        unread = calibration.where(F.col("path") == UNREADABLE).select(p["decision"].alias("d"), p["confidence"].alias("c")).first()  # one row of a small table
+    decision, confidence = unread or ("NEEDS_REVIEW", 0.6)
+    all_rows = backfill(inputs, shown, "case_id", {"adjudication": decision, "confidence": confidence, "risk_flags": "none", "arrival_date": NO_DATE}).drop("missing")
+    out = corpus.mode_fill(enforce(all_rows), "sponsor_id", F.col("sponsor_id") == NO_SPONSOR)
+    if len(staged) < 4:
+        return out
+    mode = enforce(all_rows).where(F.col("sponsor_id") != NO_SPONSOR).groupBy("sponsor_id").agg(F.count(F.lit(1)).alias("n")).agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("sponsor_id").alias("v")))["v"].alias("_mode"))
+    both = out.join(d.select("case_id", *staged), "case_id", "left").crossJoin(F.broadcast(mode))
+    sponsor = corpus.settle_box_sponsor(F.col("sponsor_id"), F.col("box_sponsor"), F.col("box_sponsor_seen"), F.col("box_sponsor_placeholder"), F.col("revoked"), F.col("_mode"))
+    return both.withColumn("sponsor_id", sponsor).drop("_mode", *staged)

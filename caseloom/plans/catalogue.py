@@ -458,7 +458,7 @@ s AS (SELECT o_orderkey, year(o_orderdate) AS oy, strftime(o_orderdate, '%Y-%m-%
 SELECT o_orderkey, coalesce(a, b) AS settled FROM c WHERE a IS NULL OR b IS NULL OR a = b""")
 def q40_box_settlement(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.year("o_orderdate").alias("year"))
-    years = o.groupBy("year").agg(F.count(F.lit(1)).alias("n")).where("n >= 50").agg(F.collect_list("year").alias("years"), F.max(F.struct("n", "year"))["year"].alias("modal"))
+    years = o.groupBy("year").agg(F.count(F.lit(1)).alias("n")).where("n >= 50").agg(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), F.col("year").cast("string").alias("y"))).alias("years"), F.max(F.struct("n", "year"))["year"].alias("modal"))
     e = F.array().cast("array<string>")
     s = corpus.with_context(o, years)
     strict, cheap = F.when(F.col("o_orderkey") % 3 == 0, F.array("d")).otherwise(e), F.when(F.col("o_orderkey") % 2 == 0, F.array("d")).otherwise(e)
