@@ -16,6 +16,7 @@ EMBARGOED = ("TRAPPIST-1e", "Eris Relay")
 #: Distance of a compound candidate over its length, and of its last part over the longer one.
 LOOSE_FLAG, TERMINAL = 0.55, 0.40
 SCANS = ("scanned_page", "scanned_page_fallback")
+NO_IDENTITY = (*SCANS, "sponsor_letter", "manual_correction")
 VISAS = ("XW-1", "XW-2", "DIP-1", "MED-3", "TRANSIT-7")
 CLOSED = ("species_code", "home_world", "visa_class", "declared_purpose", "fee_status")
 
@@ -73,17 +74,20 @@ def risk_flags(observed: DataFrame, candidates: DataFrame, registry: DataFrame,
     b = candidates.join(snap_flags(candidates, flags, "raw"), "raw").where("confidence > 0").select("case_id", F.col("snapped").alias("flag"))
     b = b.union(candidates.join(compounds(candidates, flags), "raw").select("case_id", "flag"))
     c = registry.where("contains(upper(status), 'EMBARGO')").select("case_id", F.lit("planetary_embargo").alias("flag"))
-    trusted = obs.where(F.col("trust") <= POLICY_TRUST)
-    form = trusted.where("source <> 'sponsor_letter'")
-    letter = trusted.where("source = 'sponsor_letter'")
-
-    def mismatch(field: str) -> DataFrame:
-        x = unanimous(form.where(F.col("field") == field), ["case_id"]).select("case_id", norm(F.col("value")).alias("x"))
-        y = unanimous(letter.where(F.col("field") == field), ["case_id"]).select("case_id", norm(F.col("value")).alias("y"))
-        return x.join(y, "case_id").where("x <> y").select("case_id", F.lit("sponsor_mismatch").alias("flag"))
-
-    people = conflicts(trusted.where("field = 'applicant_name' and score >= 0.9").withColumn("value", norm(F.col("value"))), ["case_id"]).select("case_id", F.lit("identity_conflict").alias("flag"))
-    return a.union(b).union(c).union(mismatch("sponsor_id")).union(mismatch("applicant_name")).union(people).distinct()
+    signed = obs.where("source = 'manual_correction'").select("case_id", "field").distinct()
+    free = obs.join(signed, ["case_id", "field"], "left_anti").where("value is not null")
+    letter = free.where("source = 'sponsor_letter'")
+    # the first form's sponsor against the letter's
+    form = trust_resolve(free.where("field = 'sponsor_id' and source <> 'adjudicator'"), ["case_id"]).select("case_id", F.upper(F.trim("value")).alias("x"))
+    other = letter.where("field = 'sponsor_id'").select("case_id", F.upper(F.trim("value")).alias("y"))
+    d = form.join(other, "case_id").where("x <> y").select("case_id", F.lit("sponsor_mismatch").alias("flag"))
+    # identities are known names of typed documents; a letter may name none of them
+    named = free.where("field = 'applicant_name' and score > 0").withColumn("value", norm(F.col("value")))
+    people = named.where(~F.col("source").isin(*NO_IDENTITY))
+    known = people.groupBy("case_id").agg(F.collect_set("value").alias("known"))
+    writers = named.where("source = 'sponsor_letter'").join(known, "case_id").where(~F.array_contains("known", F.col("value"))).select("case_id", F.lit("sponsor_mismatch").alias("flag"))
+    several = conflicts(people, ["case_id"]).select("case_id", F.lit("identity_conflict").alias("flag"))
+    return a.union(b).union(c).union(d).union(writers).union(several).distinct()
 
 
 def embargo_shown(flags: Column, world: Column) -> Column:
@@ -148,7 +152,8 @@ def direct_repairs(printed: DataFrame, obs: DataFrame, rationale: DataFrame) ->
     key = norm(F.col("value")).alias("v")
     name = obs.where("field = 'applicant_name' and value is not null")
     scan = name.where(F.col("source").isin(*SCANS))
-    letter = name.where("source = 'sponsor_letter'").groupBy("case_id", key).agg(F.max("value").alias("value"))
+    latest = F.max(F.struct("trust", "page", "seq", "value"))["value"].alias("value")
+    letter = name.where("source = 'sponsor_letter'").groupBy("case_id", key).agg(latest)
     seen = name.where("source = 'scanned_page'").select("case_id", key).distinct()
     one = unanimous(letter.join(seen, ["case_id", "v"], "left_semi"), ["case_id"], "v").select("case_id", "v").join(letter, ["case_id", "v"]).select("case_id", F.col("value").alias("r1"))
     ids = obs.where("field = 'sponsor_id'").where(F.col("source").isin(*SCANS)).withColumn("value", F.upper(F.trim("raw"))).where(valid_sponsor(F.col("value")))
@@ -161,7 +166,7 @@ def direct_repairs(printed: DataFrame, obs: DataFrame, rationale: DataFrame) ->
     other = unanimous(visa.where("source = 'scanned_page_fallback' and ok"), ["case_id"], "read").select("case_id", F.col("read").alias("r3"))
     three = other.join(per.where("primary > 0 and good = 0 and typed = 0").select("case_id"), "case_id", "left_semi")
     four = rationale.where("transit").select("case_id", F.lit("TRANSIT-7").alias("r4")).distinct()
-    shown = scan.groupBy("case_id", key).agg(F.max("value").alias("value"))
+    shown = scan.groupBy("case_id", key).agg(latest)
     five = consensus(scan.select("case_id", norm(F.col("value")).alias("value")), ["case_id"]).select("case_id", F.col("value").alias("v")).join(shown, ["case_id", "v"]).select("case_id", F.col("value").alias("r5"))
     six = unanimous(scan.where("source = 'scanned_page_fallback' and score >= 0.99"), ["case_id"]).select("case_id", F.col("value").alias("r6"))
     known = name.where("score > 0").groupBy("case_id").agg(F.collect_set(norm(F.col("value"))).alias("known"))

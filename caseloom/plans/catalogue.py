@@ -1,4 +1,4 @@
-"""All queries on the driver's tables, with the SQL that checks them.
+"""The queries on the driver's tables, with the SQL that checks them.
 
 The tables hold no case packets, so each operator meets a stand-in of the same shape:
 orders are packets, events are observations, documents are readings.
@@ -15,7 +15,7 @@ from caseloom.functions import policy as P
 from caseloom.functions import text as T
 from caseloom.functions.distance import PLAIN, SCAN
 from caseloom.functions.validate import looks_damaged, valid_date, valid_for_field, valid_name, valid_sponsor
-from caseloom.operators import boxes, corpus, evaluate, features, resolve, snap
+from caseloom.operators import boxes, corpus, evaluate, features, layout, resolve, snap
 from caseloom.sources.io import row_fingerprint
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,10 +187,11 @@ def q09_label_value_lead(spark, sf_dir):
     return resolve.pair_with_next(read(spark, sf_dir, "conversations"), ["conv_id"], [F.col("turn")], F.col("role") == "user", F.col("role") == "assistant", "text", "text")
 
 
-@query("SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS heading FROM pages")
+@query("SELECT conv_id, arg_min(text, turn) AS title FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def q10_first_title_per_page(spark, sf_dir):
-    tag = lambda t: F.nullif(F.regexp_extract("html", f"<{t}>([^<]*)</{t}>", 1), F.lit(""))
-    return read(spark, sf_dir, "pages").select("page_id", tag("title").alias("title"), tag("h1").alias("heading"))
+    c = read(spark, sf_dir, "conversations")
+    spans = c.select(F.lit("c").alias("case_id"), F.col("conv_id").alias("page"), F.col("turn").alias("span_idx"), "text", F.when(F.col("role") == "user", 14.0).otherwise(10.0).alias("size"), F.lit(False).alias("hidden"))
+    return layout.pages(spans).where("title is not null").select(F.col("page").alias("conv_id"), "title")
 
 
 @query("SELECT user_id, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY user_id")
@@ -227,12 +228,6 @@ def q14_frequency_outliers(spark, sf_dir):
     return corpus.frequency_outliers(read(spark, sf_dir, "orders"), "o_custkey", 1.2)
 
 
-@query("""WITH c AS (SELECT year(o_orderdate) AS year, count(*) AS n FROM orders WHERE year(o_orderdate) <> 1998 GROUP BY 1 HAVING count(*) >= 50),
-i AS (SELECT *, year - row_number() OVER (ORDER BY year) AS island FROM c) SELECT year, n FROM i WHERE island = (SELECT island FROM i ORDER BY n DESC, year DESC LIMIT 1)""")
-def q15_contiguous_years(spark, sf_dir):
-    return corpus.contiguous_years(read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")).where("year <> 1998"), "year")
-
-
 @query("""WITH y AS (SELECT year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY 1),
 s AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 11 = 0 THEN try_cast(CAST(year(o_orderdate) + 30 AS VARCHAR) || strftime(o_orderdate, '-%m-%d') AS DATE) ELSE CAST(o_orderdate AS DATE) END AS shifted FROM orders),
 near AS (SELECT o_orderkey, y.year, y.n, row_number() OVER (PARTITION BY o_orderkey ORDER BY y.n DESC, y.year DESC) AS rn FROM s JOIN y ON hamming(lpad(CAST(year(shifted) AS VARCHAR), 4, '0'), CAST(y.year AS VARCHAR)) = 1),
@@ -340,8 +335,8 @@ def q27_features_onehot(spark, sf_dir):
 
 @query("""WITH v AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN 'SPN-' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') WHEN 2 THEN o_orderpriority WHEN 3 THEN '[TORN' WHEN 4 THEN '2026-2-3' ELSE strftime(o_orderdate, '20%y-%m-%d') END AS value FROM orders)
 SELECT o_orderkey, value, regexp_full_match(value, 'SPN-[0-9]{4}') AS is_sponsor, coalesce(regexp_full_match(value, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND year(try_cast(value AS DATE)) BETWEEN 2000 AND 2099, false) AS is_date,
-length(value) BETWEEN 3 AND 60 AND regexp_full_match(value, '[A-Za-z][-A-Za-z .'']*') AS is_name,
-regexp_matches(upper(value), '\\b(UNREADABLE|ILLEGIBLE|OBSCURED|TORN|WHITEOUT)\\b') OR len(regexp_extract_all(value, '\\[')) <> len(regexp_extract_all(value, '\\]')) OR len(regexp_extract_all(value, '[A-Za-z0-9]')) < greatest(1, floor(length(value) / 3)) AS damaged FROM v""")
+length(value) BETWEEN 3 AND 60 AND regexp_full_match(value, '[A-Za-z][A-Za-z''-]*( [A-Za-z][A-Za-z''-]*)+') AS is_name,
+regexp_matches(lower(value), 'cut out|whiteout|washed|blank|torn|illegible|obscured|lost|unreadable|redacted|missing') OR (value[1] IN ('[', '{', '(') AND NOT regexp_matches(value, '[\\])}]')) OR len(regexp_extract_all(value, '[A-Za-z0-9]')) < greatest(1, floor(length(value) / 3)) AS damaged FROM v""")
 def q28_validators(spark, sf_dir):
     o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey") % 6
     value = (
@@ -352,21 +347,32 @@ def q28_validators(spark, sf_dir):
     return v.select("o_orderkey", "value", valid_sponsor(F.col("value")).alias("is_sponsor"), valid_date(F.col("value")).alias("is_date"), valid_name(F.col("value")).alias("is_name"), looks_damaged(F.col("value")).alias("damaged"))
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS n_emails, len(regexp_extract_all(text, '\\b[0-9]{1,3}(?:\\.[0-9]{1,3}){3}\\b')) AS n_addresses, len(regexp_extract_all(text, '[0-9]{4,}')) AS n_digit_runs,
-nullif(list_aggregate(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'))), 'string_agg', '|'), '') AS emails FROM documents""")
+@query("""SELECT o_orderkey, 'SPN-' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') AS sponsor, CASE WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS date,
+lower(c_mktsegment) || '_flag' AS flag FROM orders JOIN customer ON c_custkey = o_custkey""")
 def q29_mine_literals(spark, sf_dir):
-    mail = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-    found = F.regexp_extract_all("text", F.lit(mail), 0)
-    n = lambda p: F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long")
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_emails"), n(r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b").alias("n_addresses"), n(r"[0-9]{4,}").alias("n_digit_runs"), F.nullif(F.array_join(F.array_sort(F.array_distinct(found)), "|"), F.lit("")).alias("emails"))
+    """Readings with misread prefixes, digits and separators."""
+    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    garbled = lambda c: F.translate(c, "0158", "OlSB")
+    day = F.concat_ws("/", *[garbled(F.date_format("o_orderdate", p)) for p in ("yyyy", "MM", "dd")])
+    o = o.select("o_orderkey", F.concat(F.lit("ref 5RN "), garbled(F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0")), F.lit(" dated "), day, F.lit(" for "), F.lower("c_mktsegment"), F.lit("_flag, a_b")).alias("text"))
+    c, one = F.col("text"), lambda x: F.array_join(x, "|")
+    return o.select("o_orderkey", one(T.mine_sponsors(c)).alias("sponsor"), one(T.mine_dates(c)).alias("date"), one(T.mine_flags(c)).alias("flag"))
 
 
-@query(r"""SELECT page_id, length(html) AS total_chars, length(html) - length(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')) AS hidden_chars,
-length(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')) AS visible_chars FROM pages""")
+@query("""SELECT user_id, CAST(day(ts) AS INT) AS page, sum(CASE WHEN event_type IN ('error', 'click') OR value > 1000 THEN 0 ELSE length(event_type) END)::BIGINT AS visible_chars,
+count(*) FILTER (WHERE event_type IN ('error', 'click') OR value > 1000) AS hidden_spans FROM events GROUP BY ALL""")
 def q30_visibility_split(spark, sf_dir):
-    shown = F.regexp_replace("html", r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
-    p = read(spark, sf_dir, "pages").select("page_id", F.length("html").alias("t"), F.length(shown).alias("s"), F.length(F.regexp_replace(shown, "<[^>]*>", "")).alias("v"))
-    return p.select("page_id", F.col("t").cast("long").alias("total_chars"), (F.col("t") - F.col("s")).cast("long").alias("hidden_chars"), F.col("v").cast("long").alias("visible_chars"))
+    """Events as spans: errors are invisible, clicks white, large values off the page."""
+    e = read(spark, sf_dir, "events")
+    box = lambda x: F.struct(x.alias("x0"), F.lit(0.0).alias("y0"), (x + 1.0).alias("x1"), F.lit(1.0).alias("y1"))
+    spans = e.select(
+        F.col("user_id").alias("case_id"), F.dayofmonth("ts").alias("page"), F.col("event_id").alias("span_idx"), F.col("event_type").alias("text"), box(F.col("value")).alias("bbox"), F.struct(F.lit(-1e9).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1000.0000001).alias("x1"), F.lit(1.0).alias("y1")).alias("visible_rect"),
+        F.lit(10.0).alias("size"), F.when(F.col("event_type") == "click", 0xFFFFFF).otherwise(0).alias("color"), F.when(F.col("event_type") == "error", 0).otherwise(255).alias("alpha"), F.lit(0).alias("page_rotation"), F.lit(0.0).alias("dir_y"),
+    )
+    s = layout.with_visibility(spans)
+    page = layout.pages(s).select("case_id", "page", F.col("visible_chars").cast("long").alias("visible_chars"))
+    hidden = s.groupBy("case_id", "page").agg(F.count_if("hidden").alias("hidden_spans"))
+    return page.join(hidden, ["case_id", "page"]).select(F.col("case_id").alias("user_id"), "page", "visible_chars", "hidden_spans")
 
 
 def _misread(spark, sf_dir):
@@ -428,27 +434,25 @@ def q36_fingerprint(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", row_fingerprint(["o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"]).alias("fingerprint"))
 
 
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS key, lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') AS value FROM events""")
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'applicant_name' WHEN 'view' THEN 'species_code' ELSE '_observed_flags' END AS field, lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') AS value FROM events WHERE event_type IN ('click', 'view', 'error')""")
 def q37_label_parse(spark, sf_dir):
-    e = read(spark, sf_dir, "events").withColumn("line", F.concat(F.initcap("event_type"), F.lit(" :  "), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit(" ")))
-    parts = F.split("line", ":", 2)
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), T.norm(F.get(parts, F.lit(0))).alias("key"), F.trim(F.get(parts, F.lit(1))).alias("value"))
-
-
-@query("""WITH b AS (SELECT item_id, substr(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 1, 24) AS key FROM benchmark), d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS c FROM documents)
-SELECT doc_id, min(item_id) AS item_id, count(*) AS n FROM d JOIN b ON substr(c, 1, 24) = key AND length(key) = 24 GROUP BY doc_id HAVING count(*) = 1""")
-def q38_near_dup_prefix(spark, sf_dir):
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.substring(T.canon(F.col("text")), 1, 24).alias("key")).where("length(key) = 24")
-    d = read(spark, sf_dir, "documents").select("doc_id", F.substring(T.canon(F.col("text")), 1, 24).alias("key"))
-    return d.join(b, "key").groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
-
-
-@query("""WITH r AS (SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN c_mktsegment WHEN 1 THEN replace(c_mktsegment, 'I', '1') ELSE c_mktsegment || 'S' END AS reading FROM customer), l AS (SELECT c_mktsegment AS label, min(c_custkey) AS idx FROM customer GROUP BY 1),
-m AS (SELECT reading, label, idx, hamming(substr(lower(reading), 1, least(length(reading), length(label))), substr(lower(label), 1, least(length(reading), length(label)))) AS d, length(label) AS n FROM r, l WHERE abs(length(reading) - length(label)) <= 4),
-k AS (SELECT *, row_number() OVER (PARTITION BY reading ORDER BY d, idx) AS rn FROM m WHERE d <= greatest(2, floor(n / 4))) SELECT reading, label, CAST(d AS INT) AS mismatches FROM k WHERE rn = 1""")
+    """Events as inline lines; purchases and signups have keys that nothing lists."""
+    keys = {"click": "Applicant", "view": "SPECIES  match ", "error": " Observed Flags", "purchase": "Price", "signup": "Name"}
+    line = F.concat(T.lookup(keys, F.col("event_type")), F.lit(" :  "), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit(" "))
+    spans = read(spark, sf_dir, "events").select(F.lit("c").alias("case_id"), F.lit(1).alias("page"), F.col("event_id").alias("span_idx"), line.alias("text"), F.lit(False).alias("hidden"))
+    return layout.inline(spans).select(F.col("seq").alias("event_id"), "field", "value")
+
+
+@query("""WITH r AS (SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN '| the ' || c_mktsegment WHEN 1 THEN replace(c_mktsegment, 'I', '1') ELSE c_mktsegment || 'S' END AS reading FROM customer), l AS (SELECT lower(c_mktsegment) AS low, c_mktsegment AS label, min(c_custkey) AS idx FROM customer GROUP BY ALL),
+w AS (SELECT reading, list_filter(string_split(regexp_replace(lower(reading), '[^a-z ]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM r),
+t AS (SELECT reading, array_to_string(w[-3:], ' ') AS t3, array_to_string(w[-2:], ' ') AS t2, w[-1] AS t1, len(w) AS n FROM w),
+e AS (SELECT reading, label, row_number() OVER (PARTITION BY reading ORDER BY CASE WHEN low = t3 AND n >= 3 THEN 0 WHEN low = t2 AND n >= 2 THEN 1 ELSE 2 END, idx) AS rn FROM t, l WHERE (low = t3 AND n >= 3) OR (low = t2 AND n >= 2) OR low = t1),
+m AS (SELECT reading, label, idx, length(t2) AS size, hamming(substr(t2, 1, least(length(t2), length(low))), substr(low, 1, least(length(t2), length(low)))) + abs(length(t2) - length(low)) AS d FROM t, l WHERE abs(length(t2) - length(low)) <= 4 AND reading NOT IN (SELECT reading FROM e)),
+k AS (SELECT *, row_number() OVER (PARTITION BY reading ORDER BY d, idx) AS rn FROM m)
+SELECT reading, label, 0 AS mismatches FROM e WHERE rn = 1 UNION ALL SELECT reading, label, CAST(d AS INT) FROM k WHERE rn = 1 AND d <= greatest(2, floor(size / 4))""")
 def q39_fuzzy_label_match(spark, sf_dir):
     c, k = read(spark, sf_dir, "customer"), F.col("c_custkey") % 3
-    reading = F.when(k == 0, F.col("c_mktsegment")).when(k == 1, F.regexp_replace("c_mktsegment", "I", "1")).otherwise(F.concat("c_mktsegment", F.lit("S")))
+    reading = F.when(k == 0, F.concat(F.lit("| the "), "c_mktsegment")).when(k == 1, F.regexp_replace("c_mktsegment", "I", "1")).otherwise(F.concat("c_mktsegment", F.lit("S")))
     labels = c.groupBy(F.col("c_mktsegment").alias("label")).agg(F.min("c_custkey").alias("idx"))
     return snap.match_labels(c.select(reading.alias("reading")), labels, "reading")
 
@@ -475,12 +479,6 @@ def q42_histogram(spark, sf_dir):
     return evaluate.histogram(read(spark, sf_dir, "lineitem"), "l_discount", (0.0, 0.02, 0.05, 0.08, 1.01))
 
 
-@query("SELECT DISTINCT p_name FROM part WHERE p_partkey % 5 = 0 AND p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 97 = 1)")
-def q43_unseen_vocabulary(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return evaluate.unseen(p.where("p_partkey % 97 = 1"), p.where("p_partkey % 5 = 0"), "p_name")
-
-
 @query("""WITH v AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'arrival_date' WHEN 1 THEN 'fee_status' WHEN 2 THEN 'sponsor_id' ELSE 'home_world' END AS field, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '20%y-%m-%d') WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE '[' END AS value FROM orders)
 SELECT o_orderkey, field, value, CASE WHEN value = '[' THEN false WHEN field = 'arrival_date' THEN o_orderkey % 3 = 0 AND try_cast(value AS DATE) IS NOT NULL WHEN field = 'fee_status' THEN len(regexp_extract_all(value, '[A-Za-z]')) >= 3 WHEN field = 'sponsor_id' THEN false ELSE len(regexp_extract_all(value, '[A-Za-z0-9]')) >= 2 END AS valid FROM v""")
 def q44_admission_gate(spark, sf_dir):
