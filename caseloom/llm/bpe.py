@@ -6,7 +6,6 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from caseloom.llm.common import slices
+from caseloom.llm.common import slices, trim
 
 #: Pieces of text in the younger of the two generations that a worker remembers.
 REMEMBER = 150_000
@@ -321,23 +320,10 @@ class WordBpe:
             got = [x for x in map(self.known.__getitem__, map(bytes.decode, (t or "").encode().split())) if x[2]]
             yield sum([x[2] for x in got]), " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
 
-    def forget(self) -> None:
-        """Drop all that was learnt from texts, so that an idle worker holds the automaton only."""
-        self.known.clear()
-        self.known.older = {}
-        self.automaton.table = dict(self.automaton.base)
-        self.automaton.allowed.clear()
-
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in next(self.encode_all([text]))[1].split()]
 
 
-@lru_cache(maxsize=2)
-def word_bpe(path: str) -> WordBpe:
-    """The encoder of a file, compiled once in each Python worker."""
-    return WordBpe(path)
-
-
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` for every row of ``docs (doc_id, text)``.
 
@@ -349,13 +335,14 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(path)
+        bpe = WordBpe(path)  # compiled in each task: an idle worker holds nothing
         try:
             for batch in slices(batches, "text"):
                 rows = [*bpe.encode_all(batch.column("text").to_pylist())]
                 n, ids, text = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
         finally:
-            bpe.forget()
+            del bpe
+            trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm import shingles as S
-from caseloom.llm.common import join_groups, materialize, slices
+from caseloom.llm.common import join_groups, materialize, slices, trim
 from caseloom.llm.components import connected_components
 
 #: A pair goes to verification unless its corrected estimate is this far below the
@@ -36,6 +36,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("row"), batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))],
             ["row", "doc_id", "t", "n_shingles", "cls", "sketch"],
         )
+    hashes.clear()
+    trim()
 
 
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:

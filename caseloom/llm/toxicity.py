@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import slices
+from caseloom.llm.common import bounded_batches, slices, trim
 
 #: Bounds of the labelled sample that the model is fitted on: rows by label, and bytes of text.
 SAMPLE = {1: 600, 0: 1800}
@@ -350,7 +350,10 @@ def _fitted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
                 held += len(text)
                 texts.append(text)
                 toxic.append(label)
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, toxic))], pa.binary())], ["model"])
+    model = pickle.dumps(fit(texts, toxic))
+    del texts, toxic
+    trim()
+    yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None, sample_bytes: int = SAMPLE_BYTES) -> Model:
@@ -369,7 +372,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("_text")).where("_text is not null").join(F.broadcast(drawn), "_id")
     rows = rows.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text"))
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id", "_toxic").select("_text", "_toxic")
-    found = one.mapInArrow(lambda it: _fitted(it, sample_bytes), "model binary").head(1)
+    with bounded_batches(docs.sparkSession):
+        found = one.mapInArrow(lambda it: _fitted(it, sample_bytes), "model binary").head(1)
     return pickle.loads(found[0]["model"]) if found else fit([], [])  # no task runs where there are no rows
 
 
@@ -388,6 +392,8 @@ def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches, "text", size=SLICE):
             texts = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(_score(texts, model, emissions)[0] < 0.5))
+        del emissions
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
