@@ -106,20 +106,22 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = SLICE_ROW
             yield batch.slice(start)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int, how: str = "inner", alike: bool = False) -> DataFrame:
     """``rows`` with the columns of their group, however large single groups are.
 
     ``groups`` has a row for each group, with ``n`` rows of it, and should be written;
     ``total`` is the number of all rows. Hot groups, those above a thousandth of all rows
     and hence fewer than ``HOT``, are broadcast and their rows stay where they are; only the
-    others are shuffled by ``keys``, which are never null.
+    others are shuffled by ``keys``, which are never null. With ``alike`` they are at every
+    size, where the planner would broadcast small tables of groups.
     """
+    cold = (lambda g: g.hint("merge")) if alike else (lambda g: g)
     h = F.xxhash64(*keys)
     hot = [r[0] for r in groups.where(F.col(n) * HOT > total).select(h).distinct().collect()]
     if not hot:
-        return rows.join(groups, keys, how)
+        return rows.join(cold(groups), keys, how)
     out = rows.where(h.isin(hot)).join(F.broadcast(groups.where(h.isin(hot))), keys, how)
-    return out.unionByName(rows.where(~h.isin(hot)).join(groups.where(~h.isin(hot)), keys, how))
+    return out.unionByName(rows.where(~h.isin(hot)).join(cold(groups.where(~h.isin(hot))), keys, how))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

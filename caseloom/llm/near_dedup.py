@@ -93,7 +93,7 @@ def _texts(classes: DataFrame, reps: DataFrame, docs: DataFrame, total: int) ->
     """
     found = reps.join(classes, "cls", "left_semi").select(_key(F.col("rep_id"), F.col("rep_t")).alias("key"), "cls", F.col("rep_rows").alias("n"))
     d = docs.select(_key(F.col("doc_id"), F.col("t")).alias("key"), "text")
-    return join_groups(d, materialize(found, "near-wanted"), ["key"], "n", total).groupBy("cls").agg(F.first("text").alias("text"))
+    return join_groups(d, materialize(found, "near-wanted"), ["key"], "n", total, alike=True).groupBy("cls").agg(F.first("text").alias("text"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
