@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from caseloom.llm.bpe import encode_documents
 from caseloom.llm.common import materialize, table
+from caseloom.llm.conversations import damage, repair_digests
+from caseloom.llm.divergence import audit_sources
 from caseloom.llm.exact_dedup import exact_duplicates
 from caseloom.llm.html_extract import extract_main_text
 from caseloom.llm.line_dedup import deduplicate_lines
 from caseloom.llm.mixing import mix_sizes, with_sizes
 from caseloom.llm.near_dedup import near_duplicates
+from caseloom.llm.packing import pack_documents
 from caseloom.llm.quality import quality
 from caseloom.llm.sharding import shard_documents
 from caseloom.llm.toxicity import score_toxicity, train
@@ -67,7 +70,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_exact_dedup, op4_mixing, op5_sharding, op6_toxicity, op7_html_extraction, op8_warc, op9_line_dedup, op10_bpe)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = public_tokenizers.path
+    return pack_documents(table(spark, sf_dir, "documents"), file("byte_bpe_50k.json"), file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_exact_dedup, op4_mixing, op5_sharding, op6_toxicity, op7_html_extraction, op8_warc, op9_line_dedup, op10_bpe, op11_source_divergence, op12_conversation_repair, op13_packing)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""
