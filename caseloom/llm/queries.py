@@ -151,4 +151,76 @@ ORACLES: dict[str, str] = {
           sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.ln) FILTER (WHERE gone.ln IS NULL), '')) AS text_sha256
         FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.ln = gone.ln GROUP BY l.doc_id
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+        ), c AS (
+          SELECT id, lang, source, term, count(*) AS n FROM (SELECT id, lang, source, unnest(words) AS term FROM d) GROUP BY ALL
+        ), kept AS (
+          SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY lang, term HAVING count(*) >= 30
+        ), langs AS (
+          SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS whole FROM kept GROUP BY lang
+        ), q AS (
+          SELECT lang, term, (1 + (1000000000::HUGEINT * (n + 5)) // (whole + 5 * v))::BIGINT AS q FROM kept JOIN langs USING (lang)
+        ), found AS (
+          SELECT c.lang, c.source, c.term, sum(c.n)::HUGEINT AS n FROM c JOIN kept USING (lang, term) GROUP BY ALL
+        ), groups AS (
+          SELECT DISTINCT lang, source FROM d
+        ), sums AS (
+          SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS whole FROM groups LEFT JOIN found USING (lang, source) GROUP BY ALL
+        ), p AS (
+          SELECT s.lang, s.source, q.term, q.q, coalesce(f.n, 0) AS n, (1 + (1000000000::HUGEINT * (coalesce(f.n, 0) + 5)) // (s.whole + 5 * l.v))::BIGINT AS p
+          FROM sums s JOIN langs l ON l.lang = s.lang JOIN q ON q.lang = s.lang LEFT JOIN found f ON f.lang = s.lang AND f.source = s.source AND f.term = q.term
+        ), pair AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT a.lang, a.source, b.source AS other, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+            ON x.lang = a.lang AND x.source = a.source AND x.other = b.source
+        ), term AS (
+          SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+        FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) QUALIFY part = 'pair' OR rank <= 50
+    """,
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE r AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS k FROM conversations
+        ), z AS (
+          SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * octet_length(k)), lambda j: CASE WHEN j % 8 = 0 THEN (('0x' || substr(hex(k), (j // 4 + 1)::INTEGER, 2))::BIGINT) ELSE 0 END)),
+            lambda c, b: CASE WHEN xor(c, b) % 2 = 1 THEN xor(xor(c, b) // 2, 3988292384::BIGINT) ELSE xor(c, b) // 2 END), 4294967295::BIGINT) % 20 AS kind FROM r
+        ), m AS (
+          SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM z
+        ), f AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+            right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS final FROM m
+        ), t AS (
+          SELECT *, left(role, 1) AS initial, final = '' OR again AS must, final <> '' AND NOT again AND final NOT IN ('.', '!', '?') AS cut, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS later FROM f
+        ), s AS (
+          SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (final = '') AS blank, count(*) FILTER (final <> '' AND again) AS duplicate,
+            count(*) FILTER (cut) AS truncated, count(*) FILTER (later IS NOT NULL AND initial || later NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id
+        ), w AS (
+          SELECT conv_id, n AS i, {'c': 0, 'a': '', 'x': []::VARCHAR[]} AS q0, {'c': 6, 'a': 'II', 'x': ['user:', 'assistant:']} AS q1, {'c': 3, 'a': 'I', 'x': ['assistant:']} AS q2, {'c': 0, 'a': '', 'x': []::VARCHAR[]} AS q3 FROM s
+          UNION ALL
+          SELECT conv_id, i, least(b0, {'c': b2.c + 3, 'a': 'I' || b2.a, 'x': list_prepend('user:', b2.x)}, {'c': b3.c + 6, 'a': 'II' || b3.a, 'x': list_concat(['user:', 'assistant:'], b3.x)}),
+            least(b1, {'c': b2.c + 3, 'a': 'I' || b2.a, 'x': list_prepend('user:', b2.x)}, {'c': b3.c + 6, 'a': 'II' || b3.a, 'x': list_concat(['user:', 'assistant:'], b3.x)}),
+            least(b2, {'c': b3.c + 3, 'a': 'I' || b3.a, 'x': list_prepend('assistant:', b3.x)}), least(b3, {'c': b2.c + 3, 'a': 'I' || b2.a, 'x': list_prepend('user:', b2.x)})
+          FROM (
+            SELECT t.conv_id, t.i - 1 AS i,
+              least({'c': q0.c + 4, 'a': 'D' || q0.a, 'x': q0.x}, {'c': CASE WHEN must OR initial <> 's' THEN 1000000 ELSE 0 END + e + q1.c, 'a': 'K' || q1.a, 'x': list_prepend(role || ':' || text, q1.x)},
+                {'c': CASE WHEN must OR initial <> 'u' THEN 1000000 ELSE 0 END + e + q2.c, 'a': 'K' || q2.a, 'x': list_prepend(role || ':' || text, q2.x)}, {'c': CASE WHEN must THEN 1000000 ELSE 3 END + e + q2.c, 'a': 'R' || q2.a, 'x': list_prepend('user:' || text, q2.x)}) AS b0,
+              least({'c': q1.c + 4, 'a': 'D' || q1.a, 'x': q1.x}, {'c': CASE WHEN must OR initial <> 'u' THEN 1000000 ELSE 0 END + e + q2.c, 'a': 'K' || q2.a, 'x': list_prepend(role || ':' || text, q2.x)},
+                {'c': CASE WHEN must THEN 1000000 ELSE 3 END + e + q2.c, 'a': 'R' || q2.a, 'x': list_prepend('user:' || text, q2.x)}) AS b1,
+              least({'c': q2.c + 4, 'a': 'D' || q2.a, 'x': q2.x}, {'c': CASE WHEN must OR initial <> 'a' THEN 1000000 ELSE 0 END + e + q3.c, 'a': 'K' || q3.a, 'x': list_prepend(role || ':' || text, q3.x)},
+                {'c': CASE WHEN must THEN 1000000 ELSE 3 END + e + q3.c, 'a': 'R' || q3.a, 'x': list_prepend('assistant:' || text, q3.x)}) AS b2,
+              least({'c': q3.c + 4, 'a': 'D' || q3.a, 'x': q3.x}, {'c': CASE WHEN must OR initial <> 'u' THEN 1000000 ELSE 0 END + e + q2.c, 'a': 'K' || q2.a, 'x': list_prepend(role || ':' || text, q2.x)},
+                {'c': CASE WHEN must THEN 1000000 ELSE 3 END + e + q2.c, 'a': 'R' || q2.a, 'x': list_prepend('user:' || text, q2.x)}) AS b3
+            FROM w JOIN (SELECT *, CASE WHEN cut THEN 3 ELSE 0 END AS e FROM t) t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND w.i = t.i
+          )
+        )
+        SELECT r.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+          coalesce(q0.c, 0)::BIGINT AS cost, coalesce(q0.a, '') AS audit, sha256(coalesce(array_to_string(q0.x, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM r) r LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM r.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND w.i = 0
+    """,
 }
