@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ DAMAGE = {
     "PURPOSE ILLEGIBLE": "declared_purpose",
     "FEE STATUS OBSCURED": "fee_status",
 }
+#: What a damage marker looks like, and words that stand where a destroyed value was. Fixed values.
+MARKER = r"\[[A-Z0-9 _-]{3,40}\]"
 SENTINELS = ("UNREADABLE", "ILLEGIBLE", "OBSCURED", "TORN", "WHITEOUT")
 #: Phrases in hidden text that give an injection away. Fixed values.
 INJECTION_CUES = ("ignore", "answer key", "system:", "approve", "must be", "output this")
@@ -36,6 +40,9 @@ MACHINE_WORDS = ("BARCODE", "QR", "MRZ")
 DIGIT_LOOKS = {"0": "OoQD", "1": "Ili|", "2": "Zz", "4": "A", "5": "Ss", "6": "G", "7": "Tt", "8": "B", "9": "gq"}
 #: What scans show for the letters of a sponsor id's prefix. Fixed values.
 PREFIX_LOOKS = {"S": "S5", "P": "PR", "N": "N"}
+#: What may part a sponsor id's prefix from its digits, and the parts of a date. Fixed values.
+SPONSOR_GAPS = " \t\n\r\f\v.:;,-_"
+DATE_GAPS = (" ", "\t", "\n", "\r", "\f", "\v", ".", "-", "/", "\u2013", "\u2014")
 #: Page furniture that a scan line can carry: as it stands, and what takes the rest of the line with it. Fixed values.
 FURNITURE = ("SCAN IMAGE", "REGISTRY IMAGE", "PASSPORT IMAGE", "CASEWORK", "[A-Z]{3} Eyes Only")
 FURNITURE_TO_END = ("Synthetic hiring", r"Packet [A-Z]{3}-\d+")
@@ -49,6 +56,11 @@ def lookup(values: dict, key: Column, default: Column | None = None) -> Column:
     return out if default is None else F.coalesce(out, default)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def canon(c: Column) -> Column:
     """Lower case without anything but a-z and 0-9."""
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
@@ -163,19 +175,62 @@ def digits(c: Column) -> Column:
 
 
 def mine_sponsors(text: Column) -> Column:
-    """Sponsor ids in a text, their prefix and digits misread or not, with up to three separators or none."""
+    """Sponsor ids in a text, their prefix and digits misread or not, with up to three separators or none.
+
+    The text is cut before each prefix, and a fold looks behind it: at most three separators, four
+    letters, digits or bars, and no digit then. What one id took is not looked at again.
+    """
+    size = len(PREFIX_LOOKS)
     prefix = "".join(f"[{looks}]" for looks in PREFIX_LOOKS.values())
-    raw = F.regexp_extract_all(text, F.lit(prefix + r"[\s.:;,_-]{0,3}([0-9A-Za-z|]{4})(?!\d)"), 1)
-    return F.transform(F.filter(F.transform(raw, digits), lambda x: x.isNotNull()), lambda x: F.concat(F.lit("SPN-"), x))
+
+    def step(acc: Column, x: Column) -> Column:
+        hit = (acc["taken"] <= 0) & x["id"].isNotNull()
+        taken = F.when(hit, size + x["gap"] + 4).otherwise(acc["taken"]) - x["n"]
+        return F.struct(F.when(hit, F.concat(acc["ids"], F.array(x["id"]))).otherwise(acc["ids"]).alias("ids"), taken.alias("taken"))
+
+    def behind(x: Column) -> Column:
+        after = lambda t: F.struct(t.alias("t"), F.ltrim(t, F.lit(SPONSOR_GAPS)).alias("bare"))
+        ok = lambda y: (F.length(y["t"]) - F.length(y["bare"]) <= 3) & x["t"].rlike(f"^{prefix}") & y["bare"].rlike("^[0-9A-Za-z|]{4}([^0-9]|$)")
+        found = lambda y: F.struct(x["n"].alias("n"), (F.length(y["t"]) - F.length(y["bare"])).alias("gap"), F.when(ok(y), F.substring(y["bare"], 1, 4)).alias("id"))
+        return bind(after(F.substring(x["t"], size + 1, 8)), found)
+
+    def found(pieces: Column) -> Column:
+        # a piece and the few signs behind it, which may be the next piece's
+        ahead = F.transform(pieces, lambda x, i: F.struct(F.length(x).alias("n"), F.substring(F.array_join(F.slice(pieces, i + 1, 6), ""), 1, size + 8).alias("t")))
+        start = F.struct(F.array().cast("array<string>").alias("ids"), F.lit(0).alias("taken"))
+        return F.aggregate(F.transform(ahead, behind), start, step, lambda acc: acc["ids"])
+
+    ids = F.transform(bind(F.split(text, f"(?={prefix})"), found), digits)
+    return F.transform(F.filter(ids, lambda x: x.isNotNull()), lambda x: F.concat(F.lit("SPN-"), x))
 
 
 def mine_dates(text: Column) -> Column:
-    """Dates in a text, repaired and range-checked; no calendar check."""
-    part, gap = "([0-9A-Za-z|]{%d})", "[\\s./\u2013\u2014-]"
-    pattern = r"(?<!\d)" + gap.join(part % n for n in (4, 2, 2)) + r"(?!\d)"
-    parts = F.arrays_zip(*[F.transform(F.regexp_extract_all(text, F.lit(pattern), k), digits).alias(n) for k, n in ((1, "y"), (2, "m"), (3, "d"))])
-    good = F.filter(parts, lambda p: p["y"].between("2000", "2099") & p["m"].between("01", "12") & p["d"].between("01", "31"))
-    return F.transform(good, lambda p: F.concat_ws("-", p["y"], p["m"], p["d"]))
+    """Dates in a text, repaired and range-checked; no calendar check.
+
+    The text is cut into runs of letters, digits and bars, with what parts them. Three runs in a row
+    are a date if one separator parts them and the last four, all two and the first two signs of
+    them are digits or look like them; no digit stands before or behind.
+    """
+    among = "0-9A-Za-z|"
+    full = lambda x: F.filter(x, lambda part: part != "")
+    parts = F.struct(full(F.split(text, f"[^{among}]+")).alias("runs"), full(F.split(text, f"[{among}]+")).alias("gaps"), F.when(F.substring(text, 1, 1).rlike(f"[{among}]"), 0).otherwise(1).alias("lead"))
+    one = F.array(*map(F.lit, DATE_GAPS))
+
+    def whole(x: Column) -> Column:
+        free = (~F.substring(x["a"], -5, 1).between("0", "9") | (F.length(x["a"]) == 4)) & ~F.substring(x["c"], 3, 1).between("0", "9")
+        return (F.length(x["a"]) >= 4) & (F.length(x["b"]) == 2) & (F.length(x["c"]) >= 2) & free & F.array_contains(one, x["p"]) & F.array_contains(one, x["q"])
+
+    def three(p: Column, k: Column) -> Column:
+        run, gap = (lambda n: F.get(p["runs"], k + n)), (lambda n: F.get(p["gaps"], k + n + p["lead"]))
+        return F.struct(run(0).alias("a"), run(1).alias("b"), run(2).alias("c"), gap(0).alias("p"), gap(1).alias("q"))
+
+    def found(p: Column) -> Column:
+        triples = F.transform(F.sequence(F.lit(0), F.greatest(F.size(p["runs"]) - 3, F.lit(0))), lambda k: three(p, k))
+        dates = F.transform(F.filter(triples, whole), lambda x: F.struct(digits(F.right(x["a"], F.lit(4))).alias("y"), digits(x["b"]).alias("m"), digits(F.substring(x["c"], 1, 2)).alias("d")))
+        good = F.filter(dates, lambda x: x["y"].between("2000", "2099") & x["m"].between("01", "12") & x["d"].between("01", "31"))
+        return F.transform(good, lambda x: F.concat_ws("-", x["y"], x["m"], x["d"]))
+
+    return bind(parts, found)
 
 
 def mine_flags(text: Column) -> Column:
@@ -184,12 +239,15 @@ def mine_flags(text: Column) -> Column:
 
 
 def respace(c: Column, labels: list[str]) -> Column:
-    """A label read without its blanks gets them back; the longest label wins."""
-    flat = canon(c)
+    """The label that ends a text, its blanks put back where a reader dropped them; the longest label wins.
+
+    Texts without a label at their end are as they were, but for a blank between a small and a
+    capital letter.
+    """
+    flat = F.regexp_replace(F.lower(c), "[^a-z]", "")
     out = F.regexp_replace(c, r"(?<=[a-z])(?=[A-Z])", " ")
-    for label in sorted(labels, key=len):
-        key = "".join(ch for ch in label.lower() if ch.isalnum())
-        out = F.when(F.startswith(flat, F.lit(key)), F.concat(F.lit(label), F.substring(F.regexp_replace(c, r"\s+", ""), len(key) + 1, 1 << 20))).otherwise(out)
+    for label in sorted(labels, key=len):  # the last condition is asked first
+        out = F.when(F.endswith(flat, F.lit(label.replace(" ", ""))), F.lit(label)).otherwise(out)
     return out
 
 
@@ -205,11 +263,14 @@ def near_mark(text: Column, pattern: str, mark: str = "SAMPLE", window: int = 60
     Matches are told by their places: the text is cut at each of them, and what stands
     around a cut is looked at, so near matches see each other's surroundings.
     """
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    gaps = F.split(text, pattern)
-    ends = F.transform(found, lambda m, i: F.length(F.array_join(F.slice(gaps, 1, i + 1), "")) + F.length(F.array_join(F.slice(found, 1, i + 1), "")))
-    around = F.zip_with(found, ends, lambda m, e: F.substring(text, F.greatest(F.lit(1), e - F.length(m) - window + 1), F.length(m) + window + F.least(F.lit(window), e - F.length(m))))
-    return (F.size(found) > 0) & F.forall(around, lambda h: F.contains(F.upper(h), F.lit(mark)))
+
+    def inside(p: Column) -> Column:
+        ends = lambda i: F.length(F.array_join(F.slice(p["gaps"], 1, i + 1), "")) + F.length(F.array_join(F.slice(p["found"], 1, i + 1), ""))
+        at = F.transform(p["found"], lambda m, i: F.struct(F.length(m).alias("n"), ends(i).alias("end")))
+        around = F.transform(at, lambda m: F.substring(text, F.greatest(F.lit(1), m["end"] - m["n"] - window + 1), m["n"] + window + F.least(F.lit(window), m["end"] - m["n"])))
+        return (F.size(p["found"]) > 0) & F.forall(around, lambda h: F.contains(F.upper(h), F.lit(mark)))
+
+    return bind(F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1).alias("found"), F.split(text, pattern).alias("gaps")), inside)
 
 
 def attestation(text: Column) -> Column:
@@ -236,3 +297,9 @@ def correction(text: Column, subjects: dict[str, str]) -> Column:
     field = lookup(subjects, norm(F.get(halves, F.lit(0))))
     value = F.rtrim(F.regexp_replace(F.trim(F.get(halves, F.lit(1))), r"\.$", ""))
     return F.when(opened & field.isNotNull() & (value != ""), F.struct(field.alias("field"), value.alias("value")))
+
+
+def note_parts(text: Column) -> Column:
+    """``struct(finding, reason)`` of a text that says "Finding: <word>. Reason: <rest>"; null if it does not."""
+    said = r"(?is)Finding:\s*([a-z_]+)\.\s*Reason:\s*(.*)"
+    return F.when(text.rlike(said), F.struct(F.regexp_extract(text, said, 1).alias("finding"), F.regexp_extract(text, said, 2).alias("reason")))

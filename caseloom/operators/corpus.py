@@ -19,22 +19,23 @@ def index_pick(counts: DataFrame, keys: list[str], value: str, q: Column, name:
     return run.where(F.col("upto") > q).groupBy(*keys).agg(F.min(value).alias(name))
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """``*keys, value, n``: rows of each value, or the sum of ``weight`` where rows are counts already."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
 
 
-def median_date(df: DataFrame, keys: list[str], date: str) -> DataFrame:
+def median_date(df: DataFrame, keys: list[str], date: str, weight: str | None = None) -> DataFrame:
     """Upper median: the date at index n div 2."""
-    return index_pick(value_counts(df, keys, date), keys, date, F.floor(F.col("total") / 2), "median_date")
+    return index_pick(value_counts(df, keys, date, weight), keys, date, F.floor(F.col("total") / 2), "median_date")
 
 
-def reference_date(df: DataFrame, keys: list[str], date: str, least_window: int = 730, spread: int = 6) -> DataFrame:
+def reference_date(df: DataFrame, keys: list[str], date: str, least_window: int = 730, spread: int = 6, weight: str | None = None) -> DataFrame:
     """Robust latest date: the index 98% of dates near the median.
 
     Dates further from the median than ``max(least_window, spread * MAD)`` days are
     trimmed; if that leaves none, none are.
     """
-    counts = value_counts(df, keys, date).withColumn("day", F.unix_date(date).cast("long"))
+    counts = value_counts(df, keys, date, weight).withColumn("day", F.unix_date(date).cast("long"))
     middle = index_pick(counts, keys, "day", F.floor(F.col("total") / 2), "median")
     off = counts.join(middle, keys).withColumn("off", F.abs(F.col("day") - F.col("median"))) if keys else counts.crossJoin(F.broadcast(middle)).withColumn("off", F.abs(F.col("day") - F.col("median")))
     mad = index_pick(off.groupBy(*keys, "off").agg(F.sum("n").alias("n")), keys, "off", F.floor(F.col("total") / 2), "mad")
@@ -44,9 +45,9 @@ def reference_date(df: DataFrame, keys: list[str], date: str, least_window: int
     return p98.select(*keys, F.date_from_unix_date(F.col("ref").cast("int")).alias("reference_date"))
 
 
-def frequency_outliers(df: DataFrame, value: str, multiple: float = 4.0, least_distinct: int = 400) -> DataFrame:
+def frequency_outliers(df: DataFrame, value: str, multiple: float = 4.0, least_distinct: int = 400, weight: str | None = None) -> DataFrame:
     """Values far commoner than the 99th percentile of counts (index rule), if enough are distinct."""
-    counts = value_counts(df, [], value)
+    counts = value_counts(df, [], value, weight)
     levels = counts.groupBy(F.col("n").alias("level")).agg(F.count(F.lit(1)).alias("n"))
     p99 = index_pick(levels, [], "level", F.floor(F.col("total") * 0.99), "p99")
     size = counts.agg(F.count(F.lit(1)).alias("n_distinct"))
@@ -54,9 +55,9 @@ def frequency_outliers(df: DataFrame, value: str, multiple: float = 4.0, least_d
     return counts.crossJoin(F.broadcast(bar)).where((F.col("n_distinct") >= least_distinct) & (F.col("n") > multiple * F.col("p99"))).select(value, "n", "p99")
 
 
-def contiguous_years(df: DataFrame, year: str, support: int = 50) -> DataFrame:
+def contiguous_years(df: DataFrame, year: str, support: int = 50, weight: str | None = None) -> DataFrame:
     """The unbroken run of supported years around the commonest one (ties: the later year)."""
-    counts = value_counts(df, [], year)
+    counts = value_counts(df, [], year, weight)
     islands = counts.where(F.col("n") >= support).withColumn("island", F.col(year) - F.row_number().over(W.orderBy(year)))
     mode = islands.agg(F.max(F.struct("n", year, "island")).alias("m")).select(F.col("m.island").alias("island"))
     return islands.join(F.broadcast(mode), "island").select(year, "n")
@@ -141,3 +142,22 @@ def settle_box_sponsor(printed: Column, box: Column, seen: Column, rescue: Colum
 def presence(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: how many rows have a value in each of the columns, and how many there are."""
     return df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"has_{c}") for c in columns])
+
+
+def corpus_state(cases: DataFrame) -> DataFrame:
+    """``kind, value, n``: all that a corpus has to be remembered by to give context to other cases.
+
+    Arrival dates and sponsors as policy knows them, and the sponsors that are printed
+    (where ``cases`` has them). States of parts of a corpus add up to that of the whole.
+    """
+    pairs = [("arrival", "arrival_date"), ("sponsor", "sponsor_id"), ("shown", "printed_sponsor_id")]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in pairs if c in cases.columns]))
+    return cases.select(each.alias("x")).select("x.*").where("value is not null").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merged_states(states: list[DataFrame]) -> DataFrame:
+    """The state of the corpora of ``states`` taken together."""
+    out = states[0]
+    for s in states[1:]:
+        out = out.unionByName(s)
+    return out.groupBy("kind", "value").agg(F.sum("n").alias("n"))

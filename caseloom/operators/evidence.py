@@ -23,7 +23,7 @@ CLOSED = ("species_code", "home_world", "visa_class", "declared_purpose", "fee_s
 
 def snapped(obs: DataFrame, vocabulary: DataFrame, first_tokens: DataFrame, last_tokens: DataFrame) -> DataFrame:
     """Observations with the canonical ``value``, its ``score`` and what was read, ``raw``; closed fields that match
-    nothing get null and 0, names keep what they read, other fields are as they are."""
+    nothing get null and 0, names keep what they read with 0, other fields are as they are."""
     closed = obs.where(F.col("field").isin(*CLOSED))
     near = snap(closed, vocabulary, "value", ["field"], costs=SCAN).select("field", F.col("value").alias("raw"), "snapped", "confidence")
     a = closed.withColumnRenamed("value", "raw").join(near, ["field", "raw"]).withColumn("value", F.col("snapped")).withColumn("score", F.col("confidence")).drop("snapped", "confidence")
@@ -37,17 +37,27 @@ def snapped(obs: DataFrame, vocabulary: DataFrame, first_tokens: DataFrame, last
 def records(obs: DataFrame, fields: tuple[str, ...], promote: frozenset[str] = frozenset({"printed", "fee"})) -> DataFrame:
     """Trusted values of each case (policy ceiling) and printed ones, one wide row a case.
 
-    The two are resolved under different ceilings; permissions are per kind of signal:
-    ``printed`` lets the fallback reader fill what is printed, ``fee`` the fee status.
+    Each kind of use has a ceiling of its own; permissions are per kind of signal: ``printed``
+    lets the fallback reader fill what is printed, ``fields`` what policy knows, ``fee``
+    the fee status. Policy takes the best reading of the most trusted source, be it a valid
+    one or not; so do printed names, sponsors and dates. Printed values of closed vocabularies
+    pass over sources without any valid reading, and then the most votes count.
     """
-    valid = obs.where("value is not null and score > 0")
     keys = ["case_id", "field"]
-    policy = trust_resolve(valid, keys, POLICY_TRUST, F.col("score")).withColumn("use", F.lit("policy"))
-    shown = tier_majority(valid.where(F.col("trust") <= (8 if "printed" in promote else POLICY_TRUST)), keys).withColumn("use", F.lit("printed"))
-    both = policy.select("case_id", "field", "use", "value").unionByName(shown.select("case_id", "field", "use", "value"))
-    if "fee" in promote:
-        fee = trust_resolve(valid.where("field = 'fee_status'"), keys, 8, F.col("score"))
-        both = both.where("not (field = 'fee_status' and use = 'policy')").unionByName(fee.select("case_id", "field", F.lit("policy").alias("use"), "value"))
+    ceiling = lambda kind: 8 if kind in promote else POLICY_TRUST
+    closed = F.col("field").isin(*CLOSED) & (F.col("field") != "fee_status")
+    best = lambda o, top: trust_resolve(o, keys, top, F.col("score")).where("value is not null")
+    stated = obs.where("field = 'fee_status'")
+    parts = [
+        best(obs.where("field <> 'fee_status'"), ceiling("fields")).select("case_id", "field", F.lit("policy").alias("use"), "value"),
+        tier_majority(obs.where(closed & (F.col("score") > 0) & F.col("value").isNotNull() & (F.col("trust") <= ceiling("printed"))), keys).select("case_id", "field", F.lit("printed").alias("use"), "value"),
+        best(obs.where(~closed & (F.col("field") != "fee_status")), ceiling("printed")).select("case_id", "field", F.lit("printed").alias("use"), "value"),
+        best(stated, ceiling("fee")).select("case_id", "field", F.lit("policy").alias("use"), F.lower("value").alias("value")),
+        best(stated, ceiling("printed")).select("case_id", "field", F.lit("printed").alias("use"), F.lower("value").alias("value")),
+    ]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
     pick = lambda f, u: F.max(F.when((F.col("field") == f) & (F.col("use") == u), F.col("value")))
     return both.groupBy("case_id").agg(*[pick(f, "policy").alias(f) for f in fields], *[pick(f, "printed").alias(f"printed_{f}") for f in fields])
 
@@ -62,38 +72,63 @@ def compounds(candidates: DataFrame, flags: DataFrame) -> DataFrame:
     return ends.where(F.col("d") / F.greatest(F.length("x"), F.length("y")) <= TERMINAL).select("raw", "flag")
 
 
-def risk_flags(observed: DataFrame, candidates: DataFrame, registry: DataFrame, obs: DataFrame, flags: DataFrame) -> DataFrame:
-    """``case_id, flag`` from seven derivations.
+def flag_evidence(readings: DataFrame, registry: DataFrame, obs: DataFrame, flags: DataFrame, corrected: DataFrame | None = None) -> DataFrame:
+    """``case_id, flag, fallback, inferred`` from seven derivations.
 
-    ``observed`` and ``candidates`` are ``(case_id, raw)``: what a label calls a flag may
-    be clipped; free text is taken strictly, or as a damaged compound whose last part
-    survives. ``registry (case_id, status)``; ``obs`` gives conflicting sponsors between
-    letter and form and several confident identities.
+    ``readings (case_id, raw, observed, fallback)``: what a label calls a flag (``observed``) may
+    be clipped; free text is taken strictly, or, from the primary reader, as a damaged
+    compound whose last part survives. ``registry (case_id, status, fallback)``: an embargo
+    there is ``inferred``. ``obs`` gives conflicting sponsors between letter and form and
+    several confident identities, unless a correction ``(case_id, field)`` settled them;
+    by default those that observations hold.
     """
-    a = observed.join(snap_flags(observed, flags, "raw", clipped=True), "raw").where("confidence > 0").select("case_id", F.col("snapped").alias("flag"))
-    b = candidates.join(snap_flags(candidates, flags, "raw"), "raw").where("confidence > 0").select("case_id", F.col("snapped").alias("flag"))
-    b = b.union(candidates.join(compounds(candidates, flags), "raw").select("case_id", "flag"))
-    c = registry.where("contains(upper(status), 'EMBARGO')").select("case_id", F.lit("planetary_embargo").alias("flag"))
-    signed = obs.where("source = 'manual_correction'").select("case_id", "field").distinct()
+    row = lambda df, flag, fallback=F.lit(False), inferred=F.lit(False): df.select("case_id", flag.alias("flag"), fallback.alias("fallback"), inferred.alias("inferred"))
+    hit = F.col("snapped")
+    seen, free_text = readings.where("observed"), readings.where("not observed")
+    a = row(seen.join(snap_flags(seen, flags, "raw", clipped=True), "raw").where("confidence > 0"), hit, F.col("fallback"))
+    b = row(free_text.join(snap_flags(free_text, flags, "raw"), "raw").where("confidence > 0"), hit, F.col("fallback"))
+    primary = free_text.where("not fallback")
+    b = b.union(row(primary.join(compounds(primary, flags).withColumnRenamed("flag", "snapped"), "raw"), hit))
+    c = row(registry.where("contains(upper(status), 'EMBARGO')"), F.lit("planetary_embargo"), F.col("fallback"), F.lit(True))
+    signed = obs.where("source = 'manual_correction'").select("case_id", "field").distinct() if corrected is None else corrected
     free = obs.join(signed, ["case_id", "field"], "left_anti").where("value is not null")
     letter = free.where("source = 'sponsor_letter'")
     # the first form's sponsor against the letter's
     form = trust_resolve(free.where("field = 'sponsor_id' and source <> 'adjudicator'"), ["case_id"]).select("case_id", F.upper(F.trim("value")).alias("x"))
     other = letter.where("field = 'sponsor_id'").select("case_id", F.upper(F.trim("value")).alias("y"))
-    d = form.join(other, "case_id").where("x <> y").select("case_id", F.lit("sponsor_mismatch").alias("flag"))
+    d = row(form.join(other, "case_id").where("x <> y"), F.lit("sponsor_mismatch"))
     # identities are known names of typed documents; a letter may name none of them
     named = free.where("field = 'applicant_name' and score > 0").withColumn("value", norm(F.col("value")))
     people = named.where(~F.col("source").isin(*NO_IDENTITY))
     known = people.groupBy("case_id").agg(F.collect_set("value").alias("known"))
-    writers = named.where("source = 'sponsor_letter'").join(known, "case_id").where(~F.array_contains("known", F.col("value"))).select("case_id", F.lit("sponsor_mismatch").alias("flag"))
-    several = conflicts(people, ["case_id"]).select("case_id", F.lit("identity_conflict").alias("flag"))
+    writers = row(named.where("source = 'sponsor_letter'").join(known, "case_id").where(~F.array_contains("known", F.col("value"))), F.lit("sponsor_mismatch"))
+    several = row(conflicts(people, ["case_id"]), F.lit("identity_conflict"))
     return a.union(b).union(c).union(d).union(writers).union(several).distinct()
 
 
-def embargo_shown(flags: Column, world: Column) -> Column:
-    """Printed flags: the embargo stays where the world is embargoed or unread."""
-    ok = world.isNull() | world.isin(*EMBARGOED)
-    return F.when(ok, flags).otherwise(F.array_remove(flags, "planetary_embargo"))
+def risk_flags(observed: DataFrame, candidates: DataFrame, registry: DataFrame, obs: DataFrame, flags: DataFrame) -> DataFrame:
+    """``case_id, flag``: the ``flag_evidence`` of one reader's ``observed`` and ``candidates (case_id, raw)``, and ``registry (case_id, status)``."""
+    read = lambda df, seen: df.select("case_id", "raw", F.lit(seen).alias("observed"), F.lit(False).alias("fallback"))
+    return flag_evidence(read(observed, True).unionByName(read(candidates, False)), registry.withColumn("fallback", F.lit(False)), obs, flags).select("case_id", "flag").distinct()
+
+
+def without_embargo(obs: DataFrame) -> DataFrame:
+    """``case_id`` of cases whose worlds were read, and none of them is under embargo: there a status in the
+    registry prints no embargo. A flag that a panel states outright is never held back."""
+    worlds = obs.where("field = 'home_world' and value is not null and score > 0")
+    return worlds.groupBy("case_id").agg(F.bool_or(F.col("value").isin(*EMBARGOED)).alias("ok")).where("not ok").select("case_id")
+
+
+def flag_sets(evidence: DataFrame, barred: DataFrame, promote: frozenset[str]) -> DataFrame:
+    """``case_id, risk_flags, printed_flags`` of ``flag_evidence``: what policy sees, and what is printed.
+
+    ``barred (case_id)``: where an inferred embargo is not printed.
+    """
+    e = evidence.join(barred.withColumn("barred", F.lit(True)), "case_id", "left")
+    kept = lambda on: F.array_sort(F.collect_set(F.when(on, F.col("flag"))))
+    policy = F.lit(True) if "flags" in promote else ~F.col("fallback")
+    shown = (F.lit(True) if "printed" in promote else ~F.col("fallback")) & ~(F.col("inferred") & F.coalesce("barred", F.lit(False)))
+    return e.groupBy("case_id").agg(kept(policy).alias("risk_flags"), kept(shown).alias("printed_flags"))
 
 
 def printed_names(ordinary: DataFrame, obs: DataFrame, corrections: DataFrame, ceiling: int = 7) -> DataFrame:
@@ -195,7 +230,7 @@ def fill_unresolved(printed: DataFrame, extra: DataFrame, damaged: DataFrame, in
     shaped = (F.col("field") != "sponsor_id") | valid_sponsor(F.upper("value"))
     good = extra.where((F.col("score") >= bar) & shaped).join(damaged, ["case_id", "field"], "left_anti").join(injected.select("case_id"), "case_id", "left_anti")
     one = unanimous(good, ["case_id", "field"])
-    fields = [c.removeprefix("printed_") for c in printed.columns if c.startswith("printed_")]
+    fields = [c.removeprefix("printed_") for c in printed.columns if c.startswith("printed_") and c != "printed_flags"]
     wide = one.groupBy("case_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"x_{f}") for f in fields])
     out = printed.join(wide, "case_id", "left")
-    return out.select(*[c for c in printed.columns if not c.startswith("printed_")], *[F.coalesce(f"printed_{f}", f"x_{f}").alias(f"printed_{f}") for f in fields])
+    return out.select(*[c for c in printed.columns if c.removeprefix("printed_") not in fields or not c.startswith("printed_")], *[F.coalesce(f"printed_{f}", f"x_{f}").alias(f"printed_{f}") for f in fields])

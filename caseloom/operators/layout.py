@@ -42,6 +42,7 @@ def pages(spans: DataFrame) -> DataFrame:
     page = spans.groupBy("case_id", "page").agg(
         title.alias("title"), F.sum(F.when(v, F.length("text")).otherwise(0)).alias("visible_chars"), F.array_join(ordered(v), "\n").alias("text"), F.array_join(ordered(F.col("hidden")), "\n").alias("hidden_text"),
         F.bool_or(T.non_evidentiary(F.col("text"))).alias("non_evidentiary"), F.array_sort(F.collect_set(F.when(v, mark["word"]))).alias("stamps"), F.bool_or(v & mark["sample"]).alias("sample"),
+        F.count_if(F.col("hidden")).alias("hidden_spans"), F.count_if(~F.col("hidden") & T.non_evidentiary(F.col("text"))).alias("machine_spans"),
     )
     return page.withColumn("kind", T.page_kind(F.col("title"))).withColumn("damaged", T.damaged_fields(F.col("text")))
 
@@ -58,7 +59,7 @@ def labelled(spans: DataFrame) -> DataFrame:
 def inline(spans: DataFrame) -> DataFrame:
     """``Key: value`` lines of typed pages."""
     parts = F.split("text", ":", 2)
-    s = spans.where(~F.col("hidden") & F.contains(F.col("text"), F.lit(":")))
+    s = spans.where(~F.col("hidden") & F.contains(F.col("text"), F.lit(":")) & (F.col("size") < TITLE))
     return s.select("case_id", "page", F.col("span_idx").alias("seq"), T.lookup(INLINE, T.norm(F.get(parts, F.lit(0)))).alias("field"), F.trim(F.get(parts, F.lit(1))).alias("value")).where("field is not null")
 
 
@@ -75,20 +76,27 @@ def letters(page: DataFrame) -> DataFrame:
     return page.where("kind = 'sponsor_letter'").select("case_id", "page", each.alias("x")).select("case_id", "page", "x.seq", "x.field", "x.value").where("value is not null")
 
 
-def scanned_lines(reads: DataFrame) -> DataFrame:
-    """``label : value`` lines of readings; of each reading a field's first line counts.
+def scan_lines(reads: DataFrame) -> DataFrame:
+    """``case_id, page, engine, read_idx, line_no, field, value``: all ``label : value`` lines of readings.
 
-    ``reads`` has case_id, page, engine, read_idx, text. Separators are ``: ; . =``.
-    Of what stands before the first one the last three, two or one words are a label,
-    whatever signs are among them, or else the last two a garbled one.
+    ``reads`` has case_id, page, engine, read_idx, text. Separators are ``: ; . =``. Of what
+    stands before the first one the last three, two or one words are a label, whatever signs
+    are among them, or else the last two a garbled one. The fallback engine drops blanks;
+    its labels get them back.
     """
     lines = reads.select("case_id", "page", "engine", "read_idx", F.posexplode(F.split("text", r"\R|\f|\x1c|\x1d|\x1e")).alias("line_no", "line"))
     pattern = r"^(.*?)\s*[:;.=]\s*(.*)$"
-    out = lines.select("*", F.regexp_extract("line", pattern, 1).alias("head"), T.strip_debris(F.regexp_extract("line", pattern, 2)).alias("value")).where("head <> '' and value <> ''")
+    head = F.regexp_extract("line", pattern, 1)
+    head = F.when(F.col("engine") == "primary", head).otherwise(T.respace(head, list(SCAN_LABELS)))
+    out = lines.select("*", head.alias("head"), T.strip_debris(F.regexp_extract("line", pattern, 2)).alias("value")).where("head <> '' and value <> ''")
     labels = reads.sparkSession.createDataFrame([(k, x) for k, x in enumerate(SCAN_LABELS)], "idx int, label string")
     known = match_labels(out.select("head"), labels, "head").select("head", T.lookup(SCAN_LABELS, F.col("label")).alias("field"))
-    out = out.join(known, "head")
-    best = out.where("field is not null and value <> ''").groupBy("case_id", "page", "engine", "read_idx", "field").agg(F.min(F.struct("line_no", "value")).alias("m"))
+    return out.join(known, "head").where("field is not null").select("case_id", "page", "engine", "read_idx", "line_no", "field", "value")
+
+
+def scanned_lines(reads: DataFrame) -> DataFrame:
+    """Of the ``scan_lines`` of each reading a field's first."""
+    best = scan_lines(reads).groupBy("case_id", "page", "engine", "read_idx", "field").agg(F.min(F.struct("line_no", "value")).alias("m"))
     return best.select("case_id", "page", "engine", "read_idx", F.col("m.line_no").alias("line_no"), "field", F.col("m.value").alias("value"))
 
 
@@ -115,9 +123,13 @@ def absorb(lines: DataFrame) -> DataFrame:
 
 
 def admit(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Observations, and fields that bad values of sources other than the fallback mark damaged."""
+    """Observations, and fields that bad values of sources other than the fallback mark damaged.
+
+    Values that hold a damage marker, or are a bare word of damage, are no evidence at all.
+    """
     c = candidates.withColumn("value", T.clean(F.col("value"))).withColumn("trust", T.lookup(T.TRUST, F.col("source"), F.lit(9)))
     open_field = ~F.startswith(F.col("field"), F.lit("_"))
+    c = c.where(~open_field | ~(F.col("value").rlike(T.MARKER) | F.upper("value").isin(*T.SENTINELS)))
     ok = ~open_field | valid_for_field(F.col("field"), F.col("value"))
     obs = c.where(ok & ~(open_field & looks_damaged(F.col("value"))))
     bad = c.where(open_field & ~ok & (F.col("source") != "scanned_page_fallback")).select("case_id", "field").distinct()
@@ -150,5 +162,6 @@ def facts(page: DataFrame) -> DataFrame:
     per = page.groupBy("case_id").agg(
         F.sum("visible_chars").alias("chars"), F.array_join(F.array_sort(F.collect_list("hidden_text")), "\n").alias("hidden"), F.bool_or("non_evidentiary").alias("ne"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("stamps")))).alias("stamps"), F.bool_or("sample").alias("sample_denial_watermark"), F.array_sort(F.collect_list("kind")).alias("page_types"),
+        F.sum("hidden_spans").alias("hidden_spans"), F.sum("machine_spans").alias("machine_spans"),
     )
-    return per.select("case_id", (F.col("chars") >= 50).alias("has_text_layer"), T.injected(F.col("hidden"), F.col("ne")).alias("injection_detected"), "stamps", "sample_denial_watermark", "page_types")
+    return per.select("case_id", (F.col("chars") >= 50).alias("has_text_layer"), T.injected(F.col("hidden"), F.col("ne")).alias("injection_detected"), "stamps", "sample_denial_watermark", "page_types", "hidden_spans", "machine_spans")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import signal
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,8 @@ SPAN_SCHEMA = (
 READ_SCHEMA = "case_id string, page int, engine string, read_idx int, text string"
 OUTPUT = ("adjudication", "applicant_name", "arrival_date", "case_id", "confidence", "declared_purpose", "fee_status", "home_world", "risk_flags", "species_code", "sponsor_id", "visa_class")
 
+#: Seconds that the decoding of one packet may take.
+PACKET_SECONDS = 55.0
 #: Decoders of documents by name. None is built in: they need libraries of their own.
 ADAPTERS: dict[str, Callable[[str, bytes], list[dict]]] = {}
 
@@ -25,14 +30,47 @@ def register_adapter(name: str, decode: Callable[[str, bytes], list[dict]]) -> N
 
 
 def packets(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
-    """``case_id, path, content`` of the PDF files of a folder, without its subfolders, by path."""
+    """``case_id, path, content`` of the PDF files of a folder, without its subfolders; with a limit the first by path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "false").load(folder)
     files = files.select(F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("case_id"), "path", "content")
     return files.orderBy("path").limit(limit) if limit is not None else files
 
 
-def decode(files: DataFrame, adapter: str, schema: str = SPAN_SCHEMA) -> DataFrame:
-    """Rows of an adapter for each packet. A packet that fails gives no rows: backfill answers for it."""
+class Overrun(Exception):
+    """A packet took longer than it may."""
+
+
+@contextmanager
+def deadline(seconds: float | None) -> Iterator[None]:
+    """Whatever runs within raises ``Overrun`` after so many seconds.
+
+    By the alarm signal, which reaches the main thread of a worker, where Spark runs its
+    functions; elsewhere, or without a limit, nothing is limited. Native code is left when it
+    next returns to Python.
+    """
+    if seconds is None or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def ring(number, frame):
+        raise Overrun(f"exceeded {seconds:g}s")
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def decode(files: DataFrame, adapter: str, schema: str = SPAN_SCHEMA, limit_s: float | None = PACKET_SECONDS) -> DataFrame:
+    """Rows of an adapter for each packet, with ``failure``.
+
+    A packet that fails, or takes longer than ``limit_s``, gives one row with its case and
+    the reason, and nothing else: nothing that it gave before counts. One that holds
+    nothing gives one row without reason. Others never notice.
+    """
     if adapter not in ADAPTERS:
         raise LookupError(f"no adapter {adapter!r} is registered")
     run = ADAPTERS[adapter]
@@ -42,12 +80,16 @@ def decode(files: DataFrame, adapter: str, schema: str = SPAN_SCHEMA) -> DataFra
         for batch in batches:
             for case_id, content in zip(batch["case_id"], batch["content"], strict=True):
                 try:
-                    rows = run(case_id, content)
-                except Exception:  # a damaged document is data, not an error of the job
-                    rows = []
-                yield pd.DataFrame(rows, columns=names)
+                    with deadline(limit_s):
+                        rows = list(run(case_id, content))
+                    failure = None
+                except Exception as e:  # a damaged document is data, not an error of the job
+                    rows, failure = [], f"{type(e).__name__}: {e}"
+                out = pd.DataFrame(rows or [{"case_id": case_id}], columns=names)
+                out["failure"] = failure
+                yield out
 
-    return files.select("case_id", "content").mapInPandas(each, schema)
+    return files.select("case_id", "content").mapInPandas(each, f"{schema}, failure string")
 
 
 def json_object(spark: SparkSession, path: str, value: str) -> DataFrame:
@@ -56,15 +98,57 @@ def json_object(spark: SparkSession, path: str, value: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("key", "value"))
 
 
+def _lexicon_entries(spark: SparkSession, path: str) -> DataFrame:
+    """``field, entry``: the named parts of a lexicon file as JSON text; its remarks begin with an underscore."""
+    text = spark.read.text(path, wholetext=True).select("value", F.explode(F.json_object_keys("value")).alias("field"))
+    return text.where(~F.startswith("field", F.lit("_"))).select("field", F.expr("get_json_object(value, concat('$.', field))").alias("entry"))
+
+
 def lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """``field, idx, value`` of a JSON object of lists."""
-    return json_object(spark, path, "array<string>").select(F.col("key").alias("field"), F.posexplode("value").alias("idx", "value"))
+    """``field, idx, value`` of a lexicon file: of each field the list itself, or the ``values`` of an object.
+
+    First and last tokens of names are the fields ``first_name`` and ``last_name``; flags of all
+    classes are the field ``risk_flag``.
+    """
+    listed = lambda c: F.from_json(c, "array<string>")
+    part = lambda key: listed(F.get_json_object("entry", f"$.{key}"))
+    classes = F.filter(F.array(part("disqualifying"), part("review_only")), lambda x: x.isNotNull())
+    whole = F.when(F.startswith(F.ltrim("entry"), F.lit("[")), listed(F.col("entry"))).otherwise(F.coalesce(part("values"), F.when(F.size(classes) > 0, F.flatten(classes))))
+    e = _lexicon_entries(spark, path)
+    lists = e.select(F.explode(F.array(F.struct(F.when(F.col("field") == "risk_flags", F.lit("risk_flag")).otherwise(F.col("field")).alias("field"), whole.alias("v")), F.struct(F.lit("first_name").alias("field"), part("first_tokens").alias("v")), F.struct(F.lit("last_name").alias("field"), part("last_tokens").alias("v")))).alias("x"))
+    return lists.select("x.field", F.posexplode("x.v").alias("idx", "value"))
+
+
+def prior_modes(spark: SparkSession, path: str) -> DataFrame:
+    """``field, mode`` of a lexicon file: the commonest value of each field."""
+    return _lexicon_entries(spark, path).select("field", F.get_json_object("entry", "$.prior_mode").alias("mode")).where("mode is not null")
 
 
 def calibration(spark: SparkSession, path: str) -> DataFrame:
-    """``path, p_approved, p_denied, p_review`` of a JSON object of objects."""
-    p = json_object(spark, path, "map<string, double>")
-    return p.select(F.col("key").alias("path"), *[F.col("value")[k].alias(n) for k, n in (("APPROVED", "p_approved"), ("DENIED", "p_denied"), ("NEEDS_REVIEW", "p_review"))])
+    """``path, p_approved, p_denied, p_review, support, accuracy`` of a calibration artefact.
+
+    Paths stand in its object ``paths``, how many records each was fitted on in ``_support``, how
+    often evidence that decides by itself is right in ``accuracies``; the global prior
+    ``fallback`` becomes the path ``*``. What the file lacks is null, or no row.
+    """
+    text = spark.read.text(path, wholetext=True)
+    doc = F.from_json("value", "paths map<string, map<string, double>>, fallback map<string, double>, _support map<string, bigint>, accuracies map<string, double>")
+    one = text.select(doc.alias("d")).select("d.*")
+    rows = one.select("_support", "accuracies", F.explode(F.map_concat(F.coalesce("paths", F.create_map().cast("map<string, map<string, double>>")), F.when(F.col("fallback").isNotNull(), F.create_map(F.lit("*"), F.col("fallback"))).otherwise(F.create_map().cast("map<string, map<string, double>>")))).alias("path", "p"))
+    names = (("APPROVED", "p_approved"), ("DENIED", "p_denied"), ("NEEDS_REVIEW", "p_review"))
+    return rows.select("path", *[F.col("p")[k].alias(n) for k, n in names], F.col("_support")[F.col("path")].alias("support"), F.col("accuracies")[F.col("path")].alias("accuracy"))
+
+
+def write_calibration(table: DataFrame, path: str) -> None:
+    """The artefact that ``calibration`` reads, as one JSON object with sorted keys: paths are as few as rules."""
+    named = F.struct(F.round("p_approved", 6).alias("APPROVED"), F.round("p_denied", 6).alias("DENIED"), F.round("p_review", 6).alias("NEEDS_REVIEW"))
+    rows = table.select("path", named.alias("p"), *[F.col(c) if c in table.columns else F.lit(None).cast(k).alias(c) for c, k in (("support", "long"), ("accuracy", "double"))])
+    mapped = lambda value, on: F.map_from_entries(F.array_sort(F.collect_list(F.when(on, F.struct("path", value)))))
+    one = rows.agg(
+        mapped(F.col("support"), (F.col("path") != "*") & F.col("support").isNotNull()).alias("_support"), mapped(F.col("accuracy"), F.col("accuracy").isNotNull()).alias("accuracies"),
+        F.max(F.when(F.col("path") == "*", F.col("p"))).alias("fallback"), mapped(F.col("p"), F.col("path") != "*").alias("paths"),
+    )
+    one.select(F.to_json(F.struct("_support", "accuracies", "fallback", "paths")).alias("value")).write.mode("overwrite").text(path)
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
@@ -89,10 +173,11 @@ def to_output(df: DataFrame) -> DataFrame:
     return df.select(*[round_half(F.col(c)).alias(c) if c == "confidence" else F.col(c).cast("string").alias(c) for c in OUTPUT])
 
 
-def write_json_lines(df: DataFrame, path: str, order: str = "case_id") -> None:
-    """One object a line, keys sorted, rows in order. A global sort in parts, whose file names keep
-    the order, so no single task writes everything."""
-    df.orderBy(order).select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+def write_json_lines(df: DataFrame, path: str, order: str = "case_id", drop: tuple[str, ...] = ()) -> None:
+    """One object a line, keys sorted, rows in order, without the columns ``drop``. A global sort in
+    parts, whose file names keep the order, so no single task writes everything."""
+    kept = sorted(c for c in df.columns if c not in drop)
+    df.orderBy(order).select(F.to_json(F.struct(*kept), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
 def stage(df: DataFrame, path: str, fingerprint: str) -> DataFrame:

@@ -181,8 +181,19 @@ def test_risk_flags(spark):
     reg = spark.createDataFrame([("c", "EMBARGO")], "case_id string, status string")
     got = evidence.risk_flags(seen, seen.limit(0), reg, o, vocab(spark, "biohazard_red", "active_warrant"))
     assert [r["flag"] for r in got.orderBy("flag").collect()] == ["biohazard_red", "identity_conflict", "planetary_embargo", "sponsor_mismatch"]
-    shown = lambda w: spark.range(1).select(evidence.embargo_shown(F.array(F.lit("planetary_embargo")), F.lit(w).cast("string")).alias("x")).first()["x"]
-    assert shown("Eris Relay") == shown(None) == ["planetary_embargo"] and shown("Mars") == []
+    # a status prints no embargo of a world that has none; what a panel states is always printed
+    worlds = [("home_world", "Mars", "intake", 1, 2, 1.0)]
+    read = lambda *x: spark.createDataFrame(list(x), "case_id string, raw string, observed boolean, fallback boolean")
+    status = reg.withColumn("fallback", F.lit(False))
+    names = vocab(spark, "planetary_embargo")
+
+    def shown(*world, panel=()):
+        obs = obs_rows(spark, *world) if world else o.limit(0)
+        e = evidence.flag_evidence(read(*[("c", x, True, False) for x in panel]), status, obs, names)
+        return evidence.flag_sets(e, evidence.without_embargo(obs), frozenset({"printed"})).first()
+
+    assert (shown(*worlds)["risk_flags"], shown(*worlds)["printed_flags"]) == (["planetary_embargo"], [])
+    assert shown(("home_world", "Eris Relay", "intake", 1, 2, 1.0))["printed_flags"] == shown()["printed_flags"] == shown(*worlds, panel=["planetary_embargo"])["printed_flags"] == ["planetary_embargo"]
 
 
 def test_clipped_and_compound_flags(spark):
