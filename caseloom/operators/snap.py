@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseloom.functions.distance import SCAN, Costs, distance
@@ -36,11 +37,10 @@ def snap(readings: DataFrame, vocabulary: DataFrame, reading: str, keys: list[st
     lengths = F.sequence(F.greatest(F.length("_c") - reach, F.lit(0)), F.length("_c") + reach)
     pairs = want.withColumn("_n", F.explode(lengths)).join(words.withColumn("_n", F.length("_w")), [*keys, "_n"])
     scored = pairs.where(near).withColumn("_d", distance(F.col("_c"), F.col("_w"), costs))
-    one = scored.groupBy(*keys, "_c").agg(F.min(F.struct(F.col("_d").alias("d"), "idx", "value")).alias("_r"))
-    ahead = (scored["_d"] > F.col("_r.d")) | (scored["idx"] > F.col("_r.idx")) | (scored["value"] > F.col("_r.value"))
-    two = scored.join(one, [*keys, "_c"]).where(ahead).groupBy(*keys, "_c").agg(F.min("_d").alias("_s"))
-    best = one.join(two, [*keys, "_c"], "left")
-    out = best.select(*keys, "_c", F.col("_r.value").alias("_v"), F.col("_r.d").alias("_d"), confidence(F.col("_r.d"), F.coalesce("_s", F.lit(1e9)), F.length("_c"), ratio).alias("_k"))
+    # the two nearest of each reading; all others are cut before the shuffle too
+    place = F.row_number().over(W.partitionBy(*keys, "_c").orderBy("_d", "idx", "value"))
+    two = scored.withColumn("_n", place).where("_n <= 2").groupBy(*keys, "_c").agg(F.max(F.when(F.col("_n") == 1, F.struct(F.col("_d").alias("d"), "value"))).alias("_r"), F.max(F.when(F.col("_n") == 2, F.col("_d"))).alias("_s"))
+    out = two.select(*keys, "_c", F.col("_r.value").alias("_v"), F.col("_r.d").alias("_d"), confidence(F.col("_r.d"), F.coalesce("_s", F.lit(1e9)), F.length("_c"), ratio).alias("_k"))
     joined = seen.join(out, [*keys, "_c"], "left")
     hit = F.col("_k") > 0
     return joined.select(*keys, reading, F.when(hit, F.col("_v")).alias("snapped"), F.coalesce("_k", F.lit(0.0)).alias("confidence"), "_d").withColumnRenamed("_d", "distance")
@@ -63,15 +63,17 @@ def snap_names(readings: DataFrame, first_tokens: DataFrame, last_tokens: DataFr
 def unique_prefix(readings: DataFrame, vocabulary: DataFrame, reading: str, least: int = 6) -> DataFrame:
     """The value of which the reading is a beginning, if it is one value only.
 
-    Values meet readings by a hash of their beginning, one for each length that readings
-    have; the texts themselves decide.
+    Readings meet values by a hash of their first ``least``, twice, four times ... as many
+    letters: the most that the reading has. A value is hashed at each of these lengths, which
+    takes no longer than hashing it twice, and what meets shares at least half of the
+    reading; the texts themselves decide.
     """
     seen = readings.select(reading).distinct().withColumn("_c", canon(F.col(reading))).where(F.length("_c") >= least)
-    words = vocabulary.select("value", canon(F.col("value")).alias("_w"))
-    lengths = seen.agg(F.collect_set(F.length("_c")).alias("_n"))
-    starts = words.crossJoin(F.broadcast(lengths)).select("value", "_w", F.explode(F.filter("_n", lambda n: n <= F.length("_w"))).alias("_k"))
-    starts = starts.withColumn("_h", F.xxhash64(F.substring(F.col("_w"), F.lit(1), F.col("_k"))))
-    hashed = seen.withColumn("_k", F.length("_c")).withColumn("_h", F.xxhash64("_c"))
+    words = vocabulary.select("value", canon(F.col("value")).alias("_w")).where(F.length("_w") >= least)
+    levels = lambda c: F.floor(F.log2(F.length(c) / F.lit(float(least))) + 1e-9).cast("int")
+    head = lambda c, k: F.xxhash64(F.substring(c, F.lit(1), (F.pow(F.lit(2.0), k) * least).cast("int")))
+    starts = words.withColumn("_k", F.explode(F.sequence(F.lit(0), levels("_w")))).withColumn("_h", head(F.col("_w"), F.col("_k")))
+    hashed = seen.withColumn("_k", levels("_c")).withColumn("_h", head(F.col("_c"), F.col("_k")))
     hits = hashed.join(starts, ["_k", "_h"]).where(F.startswith(F.col("_w"), F.col("_c")))
     return hits.groupBy(reading).agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n")).where("n = 1").select(reading, "value")
 

@@ -16,7 +16,7 @@ from caseloom.functions import text as T
 from caseloom.functions.distance import PLAIN, SCAN
 from caseloom.functions.validate import looks_damaged, valid_date, valid_for_field, valid_name, valid_sponsor
 from caseloom.operators import boxes, corpus, evaluate, features, layout, resolve, snap
-from caseloom.sources.io import row_fingerprint
+from caseloom.sources.io import row_fingerprint, tree_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -515,3 +515,27 @@ def q48_unseen_customers(spark, sf_dir):
 i AS (SELECT *, year - row_number() OVER (ORDER BY year) AS island FROM c) SELECT year, n FROM i WHERE island = (SELECT island FROM i ORDER BY n DESC, year DESC LIMIT 1)""")
 def q49_contiguous_years_all(spark, sf_dir):
     return corpus.contiguous_years(read(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year")), "year")
+
+
+@query("""
+WITH w AS (SELECT DISTINCT text, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS w FROM documents WHERE text IS NOT NULL),
+r AS (SELECT DISTINCT split_part(text, '.', 1) AS reading, regexp_replace(lower(split_part(text, '.', 1)), '[^a-z0-9]+', '', 'g') AS c FROM documents WHERE text IS NOT NULL)
+SELECT reading, md5(min(text)) AS value FROM r JOIN w ON starts_with(w.w, r.c) WHERE length(c) >= 6 GROUP BY reading HAVING count(*) = 1""")
+def q50_first_sentences(spark, sf_dir):
+    """First sentences of documents that are the beginning of exactly one text."""
+    texts = read(spark, sf_dir, "documents").where("text is not null").select(F.col("text").alias("value")).distinct()
+    firsts = texts.select(F.substring_index("value", ".", 1).alias("reading"))
+    return snap.unique_prefix(firsts, texts, "reading").select("reading", F.md5("value").alias("value"))
+
+
+@query("""
+WITH f AS (SELECT coalesce(lang, '') || '/' || coalesce(source, '') AS folder, coalesce(lang, '') AS top, doc_id::VARCHAR AS name, sha256(coalesce(text, '')) AS digest FROM documents),
+s AS (SELECT top, folder, substr(folder, length(top) + 2) AS name, sha256(string_agg(digest || ' ' || name, chr(10) ORDER BY name, digest)) AS digest FROM f GROUP BY ALL),
+l AS (SELECT top AS name, sha256(string_agg(digest || ' ' || name, chr(10) ORDER BY name, digest)) AS digest FROM s GROUP BY top)
+SELECT folder || '/' || name AS path, 3 AS depth, digest FROM f UNION ALL SELECT folder, 2, digest FROM s UNION ALL SELECT name, 1, digest FROM l
+UNION ALL SELECT '', 0, sha256(string_agg(digest || ' ' || name, chr(10) ORDER BY name, digest)) FROM l""")
+def q51_tree_digest(spark, sf_dir):
+    """Digests of documents as files in folders of languages and sources, up to the root."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    files = read(spark, sf_dir, "documents").select(F.concat_ws("/", blank("lang"), blank("source"), F.col("doc_id").cast("string")).alias("path"), blank("text").cast("binary").alias("content"))
+    return tree_digest(files)

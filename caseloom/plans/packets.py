@@ -205,7 +205,7 @@ u AS (SELECT *, mode <= 4 OR mode = 9 AS typed, mode <= 5 OR mode = 9 AS slip, i
     CASE WHEN amount <> '$0.00' AND waiver = 'N/A' THEN 'paid' WHEN amount = '$0.00' AND waiver <> 'N/A' THEN 'waived' END AS receipt FROM t),
 c AS (SELECT *, {_listed(*_PANEL, *_CROSS, _EMBARGO)} AS flags, {_listed(*_PANEL, *_CROSS, _EMBARGO_SHOWN)} AS shown_flags,
     CASE WHEN mode <= 5 THEN visa END AS known_visa, CASE WHEN mode <= 6 OR mode = 9 THEN sponsor END AS known_sponsor, CASE WHEN mode <= 6 THEN arrival END AS known_arrival,
-    CASE WHEN stranger THEN other_first || ' ' || last_name ELSE name END AS shown_name, CASE WHEN mode <> 9 THEN visa END AS shown_visa, coalesce(receipt, fee) AS shown_fee
+    CASE WHEN stranger THEN other_first || ' ' || last_name ELSE name END AS shown_name, CASE WHEN mode <> 9 AND NOT (mode = 8 AND doc_id % 2 = 0 AND quarantine) THEN visa END AS shown_visa, coalesce(receipt, fee) AS shown_fee
   FROM u WHERE NOT unread)"""
 #: The corpus context of the packets, and the path of each.
 PATHS_SQL = f"""{CASES_SQL},

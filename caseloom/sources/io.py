@@ -85,9 +85,8 @@ def decode(files: DataFrame, adapter: str, schema: str = SPAN_SCHEMA, limit_s: f
                     failure = None
                 except Exception as e:  # a damaged document is data, not an error of the job
                     rows, failure = [], f"{type(e).__name__}: {e}"
-                out = pd.DataFrame(rows or [{"case_id": case_id}], columns=names)
-                out["failure"] = failure
-                yield out
+                rows = rows or [{"case_id": case_id}]
+                yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype="object") for n in names} | {"failure": pd.Series([failure] * len(rows), dtype="object")})
 
     return files.select("case_id", "content").mapInPandas(each, f"{schema}, failure string")
 
@@ -198,6 +197,34 @@ def row_fingerprint(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
 
 
+def tree_digest(files: DataFrame) -> DataFrame:
+    """``path, depth, digest``: SHA-256 of every file ``(path, content)`` and of every folder above it, up to the root, ``""``.
+
+    A folder's digest is that of its children's names and digests, in order. So a changed file
+    changes the digests on its way to the root, and no others. Levels are worked off from
+    the deepest; a level holds a row for each file or folder in it.
+    """
+    clean = F.regexp_replace(F.regexp_replace("path", "/+", "/"), "^/|/$", "")
+    parts = F.split(clean, "/")
+    leaves = files.select(clean.alias("path"), F.size(parts).alias("depth"), F.sha2("content", 256).alias("digest"))
+    deepest = leaves.agg(F.max("depth")).first()[0] or 0  # one number
+    level = leaves.where(F.col("depth") == deepest)
+    out = level
+    for depth in range(deepest - 1, -1, -1):
+        parent = F.when(F.lit(depth) == 0, F.lit("")).otherwise(F.substring_index("path", "/", depth))
+        child = F.struct(F.substring_index("path", "/", -1).alias("name"), "digest")
+        lines = F.transform(F.array_sort(F.collect_list(child)), lambda x: F.concat_ws(" ", x["digest"], x["name"]))
+        folders = level.groupBy(parent.alias("path")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+        level = folders.select("path", F.lit(depth).alias("depth"), "digest").unionByName(leaves.where(F.col("depth") == depth)) if depth else folders.select("path", F.lit(0).alias("depth"), "digest")
+        out = out.unionByName(level)
+    return out
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A report of few rows as JSON lines with sorted keys."""
+    df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows that a seed picks, the same in every run."""
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)

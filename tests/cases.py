@@ -1,8 +1,5 @@
-"""Queries on small tables of cases, for the operators that the driver's tables hold no input for.
-
-Each builds its input in code and has as SQL the rows that must come out, written down
-from the documented behaviour and not from a run. The tables passed in are not read.
-"""
+"""Small tables of cases for single operators, each with the rows that must come out, written down
+from the documented behaviour and not from a run."""
 
 from __future__ import annotations
 
@@ -279,11 +276,13 @@ def q70_risk_flags(spark):
     return got.groupBy("case_id").agg(_join(F.array_sort(F.collect_set("flag"))).alias("flags"))
 
 
-@case("world string, shown string", ("Eris Relay", "planetary_embargo"), ("Mars", "none"), (None, "planetary_embargo"))
+@case("world string, shown string", ("Eris Relay", "planetary_embargo"), ("Mars", "none"), ("", "planetary_embargo"))
 def q71_embargo_world(spark):
-    """An embargo is printed where the world is embargoed or unread."""
-    shown = evidence.embargo_shown(F.array(F.lit("planetary_embargo")), F.col("world"))
-    return _frame(spark, "world string", ("Eris Relay",), ("Mars",), (None,)).select("world", T.flag_string(shown).alias("shown"))
+    """A status in the registry prints an embargo where the world is embargoed or unread."""
+    o = _obs(spark, ("Eris Relay", "home_world", "Eris Relay", "intake", 1, 1), ("Mars", "home_world", "Mars", "intake", 1, 1))
+    flags = _frame(spark, "case_id string, flag string, fallback boolean, inferred boolean", *[(w, "planetary_embargo", False, True) for w in ("Eris Relay", "Mars", "")])
+    shown = evidence.flag_sets(flags, evidence.without_embargo(o), frozenset({"printed"}))
+    return shown.select(F.col("case_id").alias("world"), T.flag_string(F.col("printed_flags")).alias("shown"))
 
 
 @case(

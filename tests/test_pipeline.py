@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.distance import weighted_distance
 from caseloom.operators import layout
-from caseloom.plans import adjudicate, cases, catalogue
+from caseloom.plans import adjudicate, catalogue
 from caseloom.sources import io
 from caseloom.streaming.incremental import ingest
 
+import cases
+
 
 def span(case, page, idx, text, size, color=0, alpha=255):
     box = (0.0, 0.0, 10.0, 10.0)
@@ -52,14 +54,24 @@ def test_noisy_and_garbled_labels(spark):
     assert got == [(0, "_observed_flags", "illegible_biometrics"), (1, "_observed_flags", "biohazard_red"), (2, "_observed_flags", "active_warrant"), (3, "home_world", "Mars"), (4, "visa_class", "XW-1")]
 
 
-def test_streaming_phase_one(spark, tmp_path):
+def test_streaming_phase_one_in_any_order(spark, tmp_path):
     spans, reads = packet(spark)
-    spans.write.parquet(str(tmp_path / "spans"))
-    reads.write.parquet(str(tmp_path / "reads"))
-    for _ in range(2):  # the second run finds nothing new
-        ingest(spark, str(tmp_path / "spans"), str(tmp_path / "reads"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
-    want = layout.observe(spans, reads)[0].count()
-    assert spark.read.parquet(str(tmp_path / "out/observations")).count() == want
+    spans = spans.unionByName(spans.withColumn("case_id", F.lit("c2")))
+    reads = reads.unionByName(reads.withColumn("case_id", F.lit("c2")))
+    rows = lambda df, *more: sorted(str(r) for r in df.select("case_id", "page", "seq", "field", "value", "source", "trust", *more).collect())
+    want = rows(layout.observe(spans, reads)[0])
+    # readings before their spans, a case in two files of readings, and a reading long after all else
+    arrivals = [("reads", reads.where("case_id = 'c1' and engine = 'fallback'")), ("spans", spans.where("case_id = 'c1'")), ("spans", spans.where("case_id = 'c2'")), ("reads", reads.where("case_id = 'c2'")), ("reads", reads.where("case_id = 'c1' and engine = 'primary'"))]
+    for name in ("spans", "reads"):
+        (tmp_path / name).mkdir()
+    seen: dict = {}
+    for k, (name, df) in enumerate(arrivals):
+        df.coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+        next((tmp_path / f"part{k}").glob("part-*.parquet")).rename(tmp_path / name / f"{k}.parquet")
+        seen = ingest(spark, str(tmp_path / "spans"), str(tmp_path / "reads"), str(tmp_path / "out"), str(tmp_path / "ck"), seen, 4)
+    assert rows(spark.read.parquet(str(tmp_path / "out/observations"))) == want
+    again = ingest(spark, str(tmp_path / "spans"), str(tmp_path / "reads"), str(tmp_path / "out"), str(tmp_path / "ck"), seen, 4)
+    assert again == seen and rows(spark.read.parquet(str(tmp_path / "out/observations"))) == want
 
 
 FIELDS = ("applicant_name", "species_code", "home_world", "visa_class", "declared_purpose", "sponsor_id", "arrival_date", "fee_status")
@@ -102,7 +114,7 @@ def test_finish_has_one_valid_row_an_input(spark, tmp_path):
 def test_sources(spark, tmp_path):
     (tmp_path / "v.json").write_text('{"visa_class": ["XW-1", "XW-2"]}')
     assert [(r["field"], r["idx"], r["value"]) for r in io.lexicon(spark, str(tmp_path / "v.json")).orderBy("idx").collect()] == [("visa_class", 0, "XW-1"), ("visa_class", 1, "XW-2")]
-    (tmp_path / "c.json").write_text('{"clean": {"APPROVED": 0.8, "DENIED": 0.1, "NEEDS_REVIEW": 0.1}}')
+    (tmp_path / "c.json").write_text('{"paths": {"clean": {"APPROVED": 0.8, "DENIED": 0.1, "NEEDS_REVIEW": 0.1}}}')
     assert io.calibration(spark, str(tmp_path / "c.json")).first()["p_approved"] == 0.8
     (tmp_path / "l.csv").write_text("case_id,risk_flags\n a , x|y \n")
     assert io.labels(spark, str(tmp_path / "l.csv")).first().asDict() == {"case_id": "a", "risk_flags": "x|y"}
@@ -119,7 +131,7 @@ def test_sources(spark, tmp_path):
         return [dict(zip(("case_id", "page", "engine", "read_idx", "text"), (case_id, 1, "primary", 0, content.decode()), strict=True))]
 
     io.register_adapter("test", decode)
-    assert [r["case_id"] for r in io.decode(io.packets(spark, str(tmp_path)), "test", io.READ_SCHEMA).collect()] == ["a"]
+    assert sorted((r["case_id"], r["text"], r["failure"]) for r in io.decode(io.packets(spark, str(tmp_path)), "test", io.READ_SCHEMA).collect()) == [("a", "1", None), ("b", None, "ValueError: damaged")]
     with pytest.raises(LookupError):
         io.decode(io.packets(spark, str(tmp_path)), "absent")
     io.stage(spark.range(2), str(tmp_path / "s"), "v1")
