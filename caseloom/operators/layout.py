@@ -59,7 +59,7 @@ def labelled(spans: DataFrame) -> DataFrame:
 def inline(spans: DataFrame) -> DataFrame:
     """``Key: value`` lines of typed pages."""
     parts = F.split("text", ":", 2)
-    s = spans.where(~F.col("hidden") & F.contains(F.col("text"), F.lit(":")) & (F.col("size") < TITLE))
+    s = spans.where(~F.col("hidden") & F.contains(F.col("text"), F.lit(":")))
     return s.select("case_id", "page", F.col("span_idx").alias("seq"), T.lookup(INLINE, T.norm(F.get(parts, F.lit(0)))).alias("field"), F.trim(F.get(parts, F.lit(1))).alias("value")).where("field is not null")
 
 
@@ -148,7 +148,7 @@ def observe(spans: DataFrame, reads: DataFrame) -> tuple[DataFrame, DataFrame, D
     s = s.where(~T.non_evidentiary(F.col("text")) | F.col("hidden"))
     page = pages(with_visibility(spans))
     kind = page.select("case_id", "page", "kind")
-    typed = labelled(s).unionByName(inline(s)).join(kind, ["case_id", "page"]).select("case_id", "page", "seq", "field", "value", F.col("kind").alias("source"))
+    typed = labelled(s).unionByName(inline(s.where(F.col("size") < TITLE))).join(kind, ["case_id", "page"]).select("case_id", "page", "seq", "field", "value", F.col("kind").alias("source"))
     signed = corrections(s).withColumn("source", F.lit("manual_correction"))
     letter = letters(page).withColumn("source", F.lit("sponsor_letter"))
     scans = absorb(scanned_lines(reads).unionByName(mined(reads)))

@@ -85,7 +85,7 @@ def typed_signals(spans: DataFrame, page: DataFrame) -> DataFrame:
     """Signals of the text layer: ``spans`` with their visibility, ``page`` as ``layout.pages`` gives it."""
     seen = spans.where(~F.col("hidden") & ~T.non_evidentiary(F.col("text")))
     engine, adjudicator = F.lit("typed"), F.lit("adjudicator")
-    lines = layout.labelled(seen).unionByName(layout.inline(seen)).join(page.select("case_id", "page", F.col("kind").alias("source")), ["case_id", "page"])
+    lines = layout.labelled(seen).unionByName(layout.inline(seen.where(F.col("size") < layout.TITLE))).join(page.select("case_id", "page", F.col("kind").alias("source")), ["case_id", "page"])
     plain = _emit(lines, engine, *_line(F.col("field"), F.col("value"), F.col("source"), False))
     hand = F.lit("manual_correction")
     signed = _emit(layout.corrections(seen), engine, F.array(_signal(None, F.col("field"), T.clean(F.col("value")), hand), _signal(None, "_correction", F.col("field"), hand)))
