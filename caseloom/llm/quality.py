@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from caseloom.llm.common import SPACE, WORD, materialize
 
 BUCKETS = 1 << 15
-#: Trusted rows that the target multinomial is counted on, those with the least hash.
-TRUSTED = 20_000
 #: Pseudo-count of each bucket.
 SMOOTHING = 0.5
 #: A document is kept if its mean log ratio is not below this, where no labelled rows give a better one.
@@ -70,22 +68,22 @@ def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
 
 
-def sampled(ids: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """``_id``: the ``most`` distinct doc_ids of ``ids`` with the least hash, a bounded set."""
-    return ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
+def _ids(rows: DataFrame) -> DataFrame:
+    """``_id``: the distinct doc_ids of ``rows``."""
+    return rows.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
 
 
-def ratio_weights(docs: DataFrame, trusted: DataFrame, most: int = TRUSTED) -> DataFrame:
+def ratio_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row ``weights``: of each bucket log p(target) - log p(raw), by bucket number.
 
-    The raw multinomial counts all of ``docs``; the target one those documents whose
-    doc_id is among the ``most`` rows of ``trusted (doc_id)`` with the least hash,
-    a bounded set, which is why it may be broadcast. Without trusted documents all
-    weights are 0.
+    The raw multinomial counts all of ``docs``; the target one all documents whose
+    doc_id is in ``trusted (doc_id)``, joined in the same way at every size. Without trusted
+    documents all weights are 0.
     """
-    ids = sampled(trusted, most)
-    flagged = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(F.broadcast(ids), F.col("_doc") == F.col("_id"), "left")
-    hashed = flagged.select(F.col("_id").isNotNull().cast("long").alias("t"), hashes_of(words_of(F.col("text"))).alias("h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
+    named = rows.where("_doc is not null").join(_ids(trusted).hint("merge"), F.col("_doc") == F.col("_id"), "left").select(F.col("_id").isNotNull().cast("long").alias("t"), "text")
+    flagged = named.unionByName(rows.where("_doc is null").select(F.lit(0).cast("long").alias("t"), "text"))
+    hashed = flagged.select("t", hashes_of(words_of(F.col("text"))).alias("h"))
     grams = hashed.select("t", F.explode(F.concat("h", pairs_of(F.col("h")))).alias("h"))
     counts = grams.select("t", _bucket(F.col("h")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     counts = materialize(counts, "quality-counts")
@@ -119,27 +117,41 @@ def scored(docs: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), score.alias("score"))
 
 
-def labelled_threshold(docs: DataFrame, weights: DataFrame, trusted: DataFrame, low: DataFrame, otherwise: float = THRESHOLD, most: int = TRUSTED) -> DataFrame:
-    """One row ``threshold``: the cut of scores that parts trusted from low documents best.
+def best_cut(labelled: DataFrame) -> DataFrame:
+    """One row ``cut``: where scores part good from bad rows best; null where a side has no rows.
 
-    The labelled rows are the ``most`` of either side with the least hash, less those
-    that fail the base rules anyway. Of all cuts between neighbouring scores that one is
-    taken for which the share of trusted rows below it and the share of low rows not
-    below it have the least sum, the lowest one of a tie; it lies halfway between the two
-    scores. ``otherwise`` where a side has no rows.
+    ``labelled (score, g, b)``: how often a row counts as good and as bad. Of all cuts between
+    neighbouring scores that one is taken for which the share of good rows below it and the
+    share of bad rows not below it have the least sum, the lowest one of a tie; it lies
+    halfway between the two scores. Scores are dealt into ranges: running counts are taken
+    within each, upon the sums of the ranges before it.
     """
-    sides = sampled(trusted, most).withColumn("good", F.lit(1)).unionByName(sampled(low, most).withColumn("good", F.lit(0)))
-    ids = sides.groupBy("_id").agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b"))
-    labelled = docs.join(F.broadcast(ids.select("_id")), F.col("doc_id").cast("long") == F.col("_id")).select("doc_id", "text")
-    done = materialize(scored(labelled, weights).select("doc_id", "base_failed", "score"), "quality-labelled")  # a filter before would compute all again
-    rows = done.where("not base_failed").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-    at = rows.groupBy("score").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
-    w = W.orderBy("score")
-    runs = at.select("score", F.lag("score").over(w).alias("last"), (F.sum("g").over(w) - F.col("g")).alias("lost"), (F.sum("b").over(w) - F.col("b")).alias("gone"), F.sum("g").over(W.partitionBy()).alias("all_g"), F.sum("b").over(W.partitionBy()).alias("all_b"))
+    at = labelled.groupBy("score").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+    ranges = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = materialize(at.repartitionByRange(ranges, "score").withColumn("cell", F.spark_partition_id()), "quality-scores")
+    sums = at.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("b").alias("b"), F.max("score").alias("top"))
+    every, past = W.partitionBy(), W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    before = sums.select("cell", *[F.coalesce(F.sum(c).over(past), none).alias(f"past_{c}") for c in "gb"], F.max("top").over(past).alias("past_top"), *[F.sum(c).over(every).alias(f"all_{c}") for c in "gb"])
+    w = W.partitionBy("cell").orderBy("score")
+    below = lambda c: F.col(f"past_{c}") + F.sum(c).over(w) - F.col(c)
+    last = F.coalesce(F.lag("score").over(w), "past_top", "score")
+    runs = at.join(F.broadcast(before), "cell").select("score", last.alias("last"), below("g").alias("lost"), below("b").alias("gone"), "all_g", "all_b")
     wrong = F.col("lost") * F.col("all_b") + (F.col("all_b") - F.col("gone")) * F.col("all_g")
-    cut = (F.col("score") + F.coalesce("last", "score")) / 2
-    best = runs.where("all_g > 0 and all_b > 0").agg(F.min(F.struct(wrong.alias("wrong"), cut.alias("cut")))["cut"].alias("cut"))
-    return best.select(F.coalesce("cut", F.lit(otherwise)).alias("threshold"))
+    cut = (F.col("score") + F.col("last")) / 2
+    return runs.where("all_g > 0 and all_b > 0").agg(F.min(F.struct(wrong.alias("wrong"), cut.alias("cut")))["cut"].alias("cut"))
+
+
+def labelled_threshold(rows: DataFrame, trusted: DataFrame, low: DataFrame, otherwise: float = THRESHOLD) -> DataFrame:
+    """One row ``threshold``: the ``best_cut`` of the scores of all rows that ``trusted`` and ``low
+    (doc_id)`` name, less those that fail the base rules anyway; ``otherwise`` where a side has no rows.
+
+    ``rows`` are scored documents, see ``scored``.
+    """
+    sides = _ids(trusted).withColumn("good", F.lit(1)).unionByName(_ids(low).withColumn("good", F.lit(0)))
+    ids = sides.groupBy("_id").agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b"))
+    labelled = rows.where("not base_failed and doc_id is not null").select("doc_id", "score").join(ids, F.col("doc_id") == F.col("_id"))
+    return best_cut(labelled).select(F.coalesce("cut", F.lit(otherwise)).alias("threshold"))
 
 
 def quality(docs: DataFrame, trusted: DataFrame, low: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -156,6 +168,7 @@ def quality(docs: DataFrame, trusted: DataFrame, low: DataFrame | None = None, t
     weights = materialize(ratio_weights(docs, trusted), "quality-weights")
     if low is None:
         return scored(docs, weights).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-    cut = materialize(labelled_threshold(docs, weights, trusted, low, threshold), "quality-threshold")
-    rows = scored(docs, weights).crossJoin(F.broadcast(cut))
+    rows = materialize(scored(docs, weights), "quality-scored")
+    cut = materialize(labelled_threshold(rows, trusted, low, threshold), "quality-threshold")
+    rows = rows.crossJoin(F.broadcast(cut))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.col("threshold"))).drop("threshold")

@@ -210,6 +210,28 @@ def test_quality_threshold_from_labels(spark):
     assert all(r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD) for r in none)
 
 
+def test_quality_counts_all_trusted_rows(spark):
+    df = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.pmod(F.col("id") * (k + 3), F.lit(997))) for k in range(12)]).alias("text"))
+    rows = quality.quality(df, df.select("doc_id"))
+    assert rows.where("score <> 0").count() == 0  # the target's shares are those of all documents
+
+
+def test_quality_cut_takes_all_scores(spark):
+    rows = [(((k * 7919) % 25_013) / 1000.0, int(k % 25_013 > 9_000 or k % 3 == 0), int(k % 25_013 <= 9_000 and k % 5 != 0)) for k in range(26_000)]
+    rows = [(s, g, b) for s, g, b in rows if g or b]
+    at = collections.defaultdict(lambda: [0, 0])
+    for s, g, b in rows:
+        at[s][0] += g
+        at[s][1] += b
+    all_g, all_b, lost, gone, last, best = sum(r[1] for r in rows), sum(r[2] for r in rows), 0, 0, None, None
+    for s, (g, b) in sorted(at.items()):
+        new = (lost * all_b + (all_b - gone) * all_g, (s + (s if last is None else last)) / 2)
+        best, lost, gone, last = new if best is None else min(best, new), lost + g, gone + b, s
+    df = spark.createDataFrame(rows, "score double, g long, b long")
+    assert quality.best_cut(df).collect()[0]["cut"] == best[1]
+    assert quality.best_cut(df.where("b = 0")).collect()[0]["cut"] is None
+
+
 def brute_lines(docs, least):
     """Line numbers that go, from all runs of all documents."""
     seqs = {}
