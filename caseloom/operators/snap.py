@@ -63,12 +63,30 @@ def snap_names(readings: DataFrame, first_tokens: DataFrame, last_tokens: DataFr
 def unique_prefix(readings: DataFrame, vocabulary: DataFrame, reading: str, least: int = 6) -> DataFrame:
     """The value of which the reading is a beginning, if it is one value only.
 
-    Readings meet values by a hash of their first ``least``, twice, four times ... as many
-    letters: the most that the reading has. A value is hashed at each of these lengths, which
-    takes no longer than hashing it twice, and what meets shares at least half of the
-    reading; the texts themselves decide.
+    Hashes of the first ``least``, twice, four times ... as many letters tell which lengths
+    of readings a value may be asked for; it is hashed at those lengths, and beginnings are
+    counted before readings meet them. A reading meets one count and at most one value, however
+    many values share its beginning, and a text travels twice: to its lengths, and as the result.
+    Rows of equal values count one by one.
     """
     seen = readings.select(reading).distinct().withColumn("_c", canon(F.col(reading))).where(F.length("_c") >= least)
+    name = lambda c: [F.xxhash64(c).alias("_a"), F.xxhash64(F.lit(1), c).alias("_b")]
+    words = vocabulary.where("value is not null").select(*name(F.col("value")), canon(F.col("value")).alias("_w")).where(F.length("_w") >= least)
+    levels = lambda c: F.floor(F.log2(F.length(c) / F.lit(float(least))) + 1e-9).cast("int")
+    head = lambda c, k: F.xxhash64(F.substring(c, F.lit(1), (F.pow(F.lit(2.0), k) * least).cast("int")))
+    starts = words.select("_a", "_b", F.length("_w").alias("_most"), F.explode(F.transform(F.sequence(F.lit(0), levels("_w")), lambda k: F.struct(k.alias("k"), head(F.col("_w"), k).alias("h")))).alias("s"))
+    asked = seen.select(levels("_c").alias("_k"), "_c").select("_k", head(F.col("_c"), F.col("_k")).alias("_h"), F.length("_c").alias("_n")).distinct()
+    lengths = starts.select("_a", "_b", "_most", F.col("s.k").alias("_k"), F.col("s.h").alias("_h")).join(asked, ["_k", "_h"]).where("_n <= _most").groupBy("_a", "_b").agg(F.collect_set("_n").alias("_lengths"))
+    cut = words.join(lengths, ["_a", "_b"]).select("_a", "_b", F.explode(F.transform("_lengths", lambda n: F.struct(n.alias("n"), *[h.alias(x) for h, x in zip(name(F.substring(F.col("_w"), F.lit(1), n)), "xy", strict=True)]))).alias("s"))
+    once = cut.groupBy("s.n", "s.x", "s.y").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("_a", "_b")).alias("m")).where("rows = 1")
+    begun = seen.select(reading, F.length("_c").alias("n"), *[h.alias(x) for h, x in zip(name(F.col("_c")), "xy", strict=True)])
+    hits = begun.join(once, ["n", "x", "y"]).select(reading, "m._a", "m._b")
+    return hits.join(vocabulary.where("value is not null").select("value", *name(F.col("value"))), ["_a", "_b"]).select(reading, "value")
+
+
+def _begins(readings: DataFrame, vocabulary: DataFrame, reading: str, least: int = 6) -> DataFrame:
+    """``unique_prefix`` for a fixed vocabulary of a few values: readings meet the values themselves."""
+    seen = readings.select(reading).distinct().withColumn("_c", canon(F.col(reading))).where(F.length("_c") >= least)
     words = vocabulary.select("value", canon(F.col("value")).alias("_w")).where(F.length("_w") >= least)
     levels = lambda c: F.floor(F.log2(F.length(c) / F.lit(float(least))) + 1e-9).cast("int")
     head = lambda c, k: F.xxhash64(F.substring(c, F.lit(1), (F.pow(F.lit(2.0), k) * least).cast("int")))
@@ -98,7 +116,7 @@ def snap_flags(readings: DataFrame, flags: DataFrame, reading: str, ratio: float
     """Flags by distance, else by a unique beginning of six characters (confidence up to 0.75),
     else, with ``clipped``, by ``truncated``."""
     near = snap(readings, flags, reading, ratio=ratio)
-    start = unique_prefix(readings, flags, reading).withColumnRenamed("value", "by_start")
+    start = _begins(readings, flags, reading).withColumnRenamed("value", "by_start")
     share = F.least(F.lit(0.75), F.length(canon(F.col(reading))) / F.length(canon(F.col("by_start"))))
     out = near.join(start, reading, "left")
     out = out.select(reading, F.coalesce("snapped", "by_start").alias("snapped"), F.when(F.col("snapped").isNotNull(), F.col("confidence")).when(F.col("by_start").isNotNull(), share).otherwise(F.lit(0.0)).alias("confidence"))
@@ -146,7 +164,7 @@ def snap_findings(readings: DataFrame, reading: str) -> DataFrame:
     names = spark.range(3).select(F.col("id").alias("idx"), F.element_at(F.array(*map(F.lit, ("APPROVED", "DENIED", "NEEDS_REVIEW"))), (F.col("id") + 1).cast("int")).alias("value"))
     blocked = ("approval", "approvals", "denial", "denials", "review", "reviewed", "reviewer")
     seen = readings.select(reading).distinct().withColumn("_c", canon(F.col(reading))).where(~F.col("_c").isin("", *blocked))
-    start = unique_prefix(seen, names, reading, 3).withColumnRenamed("value", "by_start")
+    start = _begins(seen, names, reading, 3).withColumnRenamed("value", "by_start")
     pairs = seen.crossJoin(F.broadcast(names)).withColumn("_d", distance(F.col("_c"), canon(F.col("value")), SCAN))
     best = pairs.groupBy(reading).agg(F.array_sort(F.collect_list(F.struct(F.col("_d").alias("d"), "value"))).alias("_r"))
     a, b = F.get("_r", F.lit(0)), F.get("_r", F.lit(1))

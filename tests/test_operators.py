@@ -237,3 +237,27 @@ def test_models_fit_out_of_fold(spark):
     assert got.count() == 60 and all(max(range(3), key=lambda k: r["p"][k]) == r["label"] for r in got.collect())
     assert features.load_model("/nonexistent/model") is None
     assert SCAN.joined
+
+
+def test_conditions_on_distances_stay_behind_the_distinct(spark):
+    from caseloom.functions.distance import SCAN, distance
+
+    rows = spark.range(200).select(F.concat(F.lit("w"), F.pmod("id", F.lit(3))).alias("a"), F.lit("w1").alias("b"))
+    near = rows.distinct().withColumn("d", distance(F.col("a"), F.col("b"), SCAN)).where("d <= 0.5")
+    plan = near._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("HashAggregate")
+    assert [tuple(r) for r in near.collect()] == [("w1", "w1", 0.0)]
+
+
+def test_beginnings_are_counted_without_copying_texts(spark):
+    from caseloom.operators import snap
+
+    texts = [f"The same long beginning of all texts {'x' * (k % 7)} then number {k % 40}. And so on" for k in range(60)] + ["A text of its own. More", "a text - of its own! more", "short", "Twice the same text", "Twice the same text"]
+    values = spark.createDataFrame([(t,) for t in texts] + [(None,)], "value string")
+    readings = values.select(F.substring_index("value", ".", 1).alias("reading")).union(spark.createDataFrame([("A text of its own. M",), ("the same LONG",), ("Twice",), ("nothing of it",)], "reading string"))
+    got = snap.unique_prefix(readings, values, "reading")
+    letters = lambda t: "".join(c for c in t.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")
+    asked = {r[0] for r in readings.collect() if r[0] is not None and len(letters(r[0])) >= 6}
+    hits = {r: [t for t in texts if letters(t).startswith(letters(r))] for r in asked}
+    assert sorted(tuple(r) for r in got.collect()) == sorted((r, h[0]) for r, h in hits.items() if len(h) == 1)
+    assert "min(value" not in got._jdf.queryExecution().optimizedPlan().toString()  # beginnings are counted by hashes, not with every pair's texts
