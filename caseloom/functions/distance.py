@@ -104,7 +104,11 @@ def distances(left: list[str], right: list[str], costs: Costs = SCAN) -> np.ndar
 
 def distance(a: Column, b: Column, costs: Costs = SCAN) -> Column:
     """``weighted_distance`` of two columns, by Arrow batches. Put it on distinct pairs.
-    Without costs of its own it is Spark's ``levenshtein``, which stays in the JVM."""
+    Without costs of its own it is Spark's ``levenshtein``, which stays in the JVM.
+
+    It is marked so that the optimizer leaves it where it is put, once: conditions on a distance
+    were moved in front of the ``distinct()`` before it, and met every row there.
+    """
     if costs == PLAIN:
         return F.levenshtein(a, b).cast("double")
 
@@ -116,4 +120,4 @@ def distance(a: Column, b: Column, costs: Costs = SCAN) -> Column:
             d[known] = distances(x[known].tolist(), y[known].tolist(), costs)
             yield pd.Series(d).astype("object").where(known.to_numpy(), None).astype("Float64")
 
-    return run(a, b)
+    return run.asNondeterministic()(a, b)

@@ -9,6 +9,7 @@ from caseloom.functions.distance import SCAN, distance
 from caseloom.functions.text import canon
 from caseloom.functions.validate import date_of
 from caseloom.operators.snap import snap
+from caseloom.sources import stages
 
 FLOOR = 0.30
 #: Least confidence and greatest label distance of each gate. Fixed values.
@@ -115,9 +116,10 @@ def direct(boxes: DataFrame, obs: DataFrame, vocabulary: DataFrame) -> DataFrame
     closed values are compared once for all boxes, as distinct texts.
     """
     typed = obs.where(~F.col("source").isin(*SCANS)).select("case_id", "field").distinct()
-    found = _candidates(boxes).join(typed, ["case_id", "field"], "left_anti")
-    near = found.select("head", "alias").distinct().withColumn("d", distance(F.col("head"), F.col("alias"), SCAN)).where(F.col("d") <= max(most for _, most in GATES.values()))
-    found = found.join(near, ["head", "alias"])
+    cut = _candidates(boxes)
+    near = cut.select("head", "alias").distinct().withColumn("d", distance(F.col("head"), F.col("alias"), SCAN)).where(F.col("d") <= max(most for _, most in GATES.values()))
+    # few cuts begin with a label: those are found first, and only they meet the packet's other readings
+    found = stages.staged(cut.join(stages.staged(near, "box-labels"), ["head", "alias"]).join(typed, ["case_id", "field"], "left_anti"), "box-values")
     passes = lambda gate: (F.col("confidence") >= GATES[gate][0]) & (F.col("d") <= GATES[gate][1])
     closed = found.where(F.col("field").isin(*CLOSED_LABELS) & passes("closed") & (F.col("value") != ""))
     known = snap(closed, vocabulary.where(F.col("field").isin(*CLOSED_LABELS)), "value", ["field"], costs=SCAN).where(F.col("confidence") >= LEAST_SNAP).select("field", "value", "snapped", F.col("confidence").alias("k"))

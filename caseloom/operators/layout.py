@@ -24,6 +24,8 @@ SUBJECTS = {
 #: Short labels that only scans use.
 SCAN_ONLY = {"purpose": "declared_purpose", "world": "home_world", "species": "species_code"}
 SCAN_LABELS = {k.lower(): v for k, v in LABELS.items() if v != "_amount"} | INLINE | SCAN_ONLY
+#: How a correction begins, before white space is collapsed: most spans are no more than looked at.
+CORRECTED = r"(?iU)^\s*manual\s+correction:"
 TYPED_LABEL, TITLE, LEAST_RASTER = (7.5, 8.5), 13.0, 400_000
 
 
@@ -65,7 +67,7 @@ def inline(spans: DataFrame) -> DataFrame:
 
 def corrections(spans: DataFrame) -> DataFrame:
     c = T.correction(F.col("text"), SUBJECTS)
-    return spans.where("not hidden").select("case_id", "page", F.col("span_idx").alias("seq"), c.alias("c")).where("c is not null").select("case_id", "page", "seq", F.col("c.field").alias("field"), F.col("c.value").alias("value"))
+    return spans.where(~F.col("hidden") & F.col("text").rlike(CORRECTED)).select("case_id", "page", F.col("span_idx").alias("seq"), c.alias("c")).where("c is not null").select("case_id", "page", "seq", F.col("c.field").alias("field"), F.col("c.value").alias("value"))
 
 
 def letters(page: DataFrame) -> DataFrame:

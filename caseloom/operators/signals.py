@@ -90,7 +90,7 @@ def typed_signals(spans: DataFrame, page: DataFrame) -> DataFrame:
     hand = F.lit("manual_correction")
     signed = _emit(layout.corrections(seen), engine, F.array(_signal(None, F.col("field"), T.clean(F.col("value")), hand), _signal(None, "_correction", F.col("field"), hand)))
     letter = _emit(layout.letters(page), engine, F.array(_signal(None, F.col("field"), F.col("value"), F.lit("sponsor_letter"))))
-    said = seen.select("case_id", "page", F.col("span_idx").alias("seq"), T.note_parts(T.clean(F.col("text"))).alias("n")).where("n is not null")
+    said = seen.where(F.contains(F.lower("text"), F.lit("finding:"))).select("case_id", "page", F.col("span_idx").alias("seq"), T.note_parts(T.clean(F.col("text"))).alias("n")).where("n is not null")
     said = said.select("case_id", "page", "seq", F.upper("n.finding").alias("finding"), F.trim("n.reason").alias("reason")).withColumn("f", notes.reason_facts(F.col("reason")))
     note = _emit(
         said, engine, F.array(_signal(None, "_note_finding", F.col("finding"), adjudicator), _signal(None, "_note_reason", F.col("reason"), adjudicator), _signal(None, "fee_status", F.col("f.fee_status"), adjudicator), _signal(None, "home_world", F.col("f.home_world"), adjudicator)),

@@ -15,15 +15,20 @@ from caseloom.sources.stages import staged
 FIELDS = ("applicant_name", "species_code", "home_world", "visa_class", "sponsor_id", "arrival_date", "declared_purpose", "fee_status")
 #: What the fallback reader may do: fill what is printed, and settle the fee.
 PROMOTE = frozenset({"printed", "fee"})
+#: What steps read of spans.
+SEEN = ("case_id", "page", "span_idx", "text", "size", "hidden")
 #: Vocabularies of a lexicon ``(field, idx, value)`` that are no fields. Fixed values.
 FIRST, LAST, FLAG = "first_name", "last_name", "risk_flag"
 
 
 def gather(spans: DataFrame, reads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(signals, pages)`` of spans and of readings of scanned pages: all that later steps need. Both are staged."""
-    seen = layout.with_visibility(spans)
+    """``(signals, pages)`` of spans and of readings of scanned pages: all that later steps need. Both are staged.
+
+    So are spans with their visibility, and readings, as each of them is read by many steps.
+    """
+    seen = staged(layout.with_visibility(spans).select(*SEEN), "spans")
     page = staged(layout.pages(seen), "pages")
-    return staged(signals.typed_signals(seen, page).unionByName(signals.scan_signals(reads)), "signals"), page
+    return staged(signals.typed_signals(seen, page).unionByName(signals.scan_signals(staged(reads, "reads"))), "signals"), page
 
 
 def assemble(cases: DataFrame, found: DataFrame, page: DataFrame, boxes: DataFrame, extra: DataFrame, lexicon: DataFrame, promote: frozenset[str] = PROMOTE, primary: frozenset[str] = EVERYTHING, fallback: frozenset[str] = EVERYTHING) -> DataFrame:
@@ -75,6 +80,7 @@ def observed(allowed: DataFrame, page: DataFrame, lexicon: DataFrame) -> tuple[D
     """``(observations, damaged)`` of contributed signals: observations snapped on the lexicon, fields that
     bad values or markers of ``page`` declare damaged. Both are staged, as many steps read them."""
     obs, bad = signals.observations(allowed)
+    obs = staged(obs, "values")
     words = lambda f: lexicon.where(F.col("field") == f).select("idx", "value")
     snapped = evidence.snapped(obs, lexicon.where(F.col("field").isin(*evidence.CLOSED)), words(FIRST), words(LAST))
     marks = page.select("case_id", F.explode("damaged").alias("field"))
