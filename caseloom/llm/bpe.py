@@ -5,9 +5,11 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +17,16 @@ from tokenizers import Tokenizer
 
 from caseloom.llm.common import slices, trim
 
-#: Pieces of text in the younger of the two generations that a worker remembers.
+#: Pieces of text beyond Latin letters in the younger of the two generations that a worker remembers.
 REMEMBER = 150_000
-#: Signs that are words of their own behind an ASCII letter or digit, and that no special token ends with.
-TAIL = ".,;:!?%&$#*"
 #: Transitions out of the trie, and pairs of arcs, that a worker keeps at a time.
 TRANSITIONS = 1_000_000
+#: Bytes of the longest words that are read together; longer ones are read one by one.
+TOGETHER = 64
+#: Distinct pieces of a slice, or of one long text, that are encoded together.
+BLOCK = 1 << 18
+#: Pieces (RE2) that may hold a special token, or letters beyond U+024F.
+ODD = r"<\||[^\x{0}-\x{24F}]"
 
 
 def byte_alphabet() -> list[str]:
@@ -50,6 +56,21 @@ class Allowed(dict):
         return got
 
 
+class Chains(dict):
+    """Of a token: itself, its first (side 0) or last part, that one's, and so on, each with the rank that ends it."""
+
+    def __init__(self, parts: dict[int, tuple[int, int, int]], side: int):
+        super().__init__()
+        self.parts, self.side = parts, side
+
+    def __missing__(self, token: int) -> list[tuple[int, int]]:
+        chain = [(token, 1 << 62)]
+        while (part := self.parts.get(chain[-1][0])) is not None:
+            chain.append((part[self.side], part[2]))
+        self[token] = chain
+        return chain
+
+
 class MergeAutomaton:
     """Deterministic token automaton of a vocabulary with ranked merges.
 
@@ -63,7 +84,8 @@ class MergeAutomaton:
     ``table`` holds the transitions: state and symbol (the byte, plus 256 if it ends the
     word) to state. ``parent`` and ``label`` hold the one arc that enters a state. A word is
     encoded by the transitions of its bytes, and its tokens are the labels of the arcs on the
-    way. Within the trie the compiled arcs say them. A transition that leaves it goes to the
+    way; ``encode_words`` takes the transitions of many words together, a byte of each at a
+    time. Within the trie the compiled arcs say them. A transition that leaves it goes to the
     longest string of the trie that ends there, as in string matching automata; the arc is
     then the one token that ends there (``ending``) and that no gadget takes away behind the
     arc before it (``follows``). There is exactly one, as every part of an encoding encodes
@@ -84,7 +106,19 @@ class MergeAutomaton:
         self.start = [self.depth[p] for p in self.parent]
         # a token that its own bytes do not encode to is never an arc
         self.ending = self._ending(before, {s: x for s, x in ends.items() if self.label[s] == x[0] and not self.parent[s]})
+        self.chains = Chains(self.parts, 0), Chains(self.parts, 1)
         self.allowed = Allowed(self.follows)
+        self._arrays()
+
+    def _arrays(self) -> None:
+        """The transitions, arcs and ending tokens as arrays; ``first`` is where a state's ending tokens begin."""
+        keys = np.fromiter(self.base.keys(), np.int32, len(self.base))
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], np.fromiter(self.base.values(), np.int32, len(keys))[order]
+        self.arcs = [np.array(x, np.int32) for x in (self.depth, self.label, self.start, self.fail)]
+        sizes = np.fromiter(map(len, self.ending), np.int64, len(self.ending))
+        self.first = np.cumsum(sizes) - sizes
+        self.ends = np.array([x for e in self.ending for x in e], np.int64).reshape(-1, 2).T.copy()
 
     def _add(self, word: bytes, final: bool) -> int:
         """The state that a string leads to in the trie."""
@@ -175,13 +209,10 @@ class MergeAutomaton:
         beginning of y. A gadget takes y away if its pair stands at the border at its turn:
         before the left one becomes part of a larger token, and not after the right one does.
         """
-        left, right = [(x, 1 << 62)], [(y, 1 << 62)]
-        for chain, side in ((left, 1), (right, 0)):
-            while (part := self.parts.get(chain[-1][0])) is not None:
-                chain.append((part[side], part[2]))
-        for a, until_a in left:
+        get, right = self.merges.get, self.chains[0][y]
+        for a, until_a in self.chains[1][x]:
             for b, until_b in right:
-                m = self.merges.get(a << 16 | b)
+                m = get(a << 16 | b)
                 if m is not None and (m >> 16) < until_a and (m >> 16) <= until_b:
                     return False
         return True
@@ -220,42 +251,103 @@ class MergeAutomaton:
             end = starts[end]
         return out[::-1]
 
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The transitions of the trie; -1 where there is none."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.targets[at], np.int32(-1))
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states behind a symbol each, by suffix links where it leaves the trie."""
+        to = self._find(state << 9 | symbol)
+        out = np.flatnonzero(to < 0)
+        at = state[out]
+        while len(out):
+            at = self.arcs[3][at]
+            to[out] = got = self._find(at << 9 | symbol[out])
+            out, at = out[got < 0], at[got < 0]
+        return to
 
-class Pieces(dict):
-    """Pieces of text with their ids, decoded text and count, in two generations; the older is forgotten.
+    def _allow(self, pairs: np.ndarray) -> np.ndarray:
+        pairs, where = np.unique(pairs, return_inverse=True)
+        return np.fromiter(map(self.allowed.__getitem__, pairs.tolist()), bool, len(pairs))[where]
 
-    An ASCII piece is that of its lower-case letters, and one with signs behind a letter or
-    digit is made of both parts, as the pattern of words cuts there.
-    """
+    def encode_words(self, data: np.ndarray, byte: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of many words in a row, and their number of each word: ``encode``, a byte of all words at a time.
+
+        ``byte`` is where the words begin in the bytes of ``data``, ``size`` their length.
+        """
+        order = np.argsort(-size, kind="stable")
+        byte, size = byte[order], size[order]
+        # long words come first, so those with a k-th byte are a prefix; its arcs begin at row[k]
+        reach = np.searchsorted(-size, -np.arange(size[0] + 1 if len(size) else 1), side="right")
+        row = np.cumsum(reach) - reach
+        label, start = np.full(reach.sum(), -1), np.zeros(reach.sum(), np.int64)
+        depth, labels, starts, _ = self.arcs
+        state = np.zeros(len(size), np.int32)
+        for k in range(1, len(reach)):
+            n = reach[k]
+            state = self._step(state[:n], data[byte[:n] + k - 1].astype(np.int32) + 256 * (size[:n] == k).astype(np.int32))
+            x, at = labels[state].astype(np.int64), starts[state].astype(np.int64)
+            out = np.flatnonzero(depth[state] != k)
+            end = self.first[state[out]]
+            while len(out):
+                t, length = self.ends[:, end]
+                yes = self._allow(label[row[k - length] + out] << 16 | t)
+                x[out[yes]], at[out[yes]] = t[yes], k - length[yes]
+                out, end = out[~yes], end[~yes] + 1
+            label[row[k] : row[k] + n], start[row[k] : row[k] + n] = x, at
+        # back from the ends of the words
+        word, end, found = np.flatnonzero(size), size[size > 0], []
+        number = np.zeros(len(size), np.int64)
+        while len(word):
+            at = row[end] + word
+            found.append((word, label[at]))
+            number[word] += 1
+            end = start[at]
+            word, end = word[end > 0], end[end > 0]
+        count = np.empty_like(number)
+        count[order] = number
+        behind = np.cumsum(count)[order]
+        tokens = np.empty(count.sum(), np.int64)
+        for k, (word, t) in enumerate(found, 1):
+            tokens[behind[word] - k] = t
+        return tokens, count
+
+
+class Pieces(dict):
+    """Pieces of text with their words, in two generations; the older is forgotten."""
 
-    def __init__(self, code: Callable[[str], tuple[str, str, int]]):
+    def __init__(self, cut: Callable[[str], list[str]]):
         super().__init__()
-        self.code, self.older = code, {}
+        self.cut, self.older = cut, {}
 
-    def __missing__(self, piece: str) -> tuple[str, str, int]:
+    def __missing__(self, piece: str) -> list[str]:
         if len(self) > REMEMBER:
             self.older = dict(self)
             self.clear()
         got = self.older.get(piece)
         if got is None:
-            base = piece.rstrip(TAIL)
-            if piece.isascii() and "<|" not in piece and piece != (low := piece.lower()):
-                got = self[low]
-            elif base != piece and base and base[-1].isascii() and base[-1].isalnum():
-                a, b = self[base], self[piece[len(base) :]]
-                got = f"{a[0]} {b[0]}", f"{a[1]} {b[1]}", a[2] + b[2]
-            else:
-                got = self.code(piece)
+            got = self.cut(piece)
         self[piece] = got
         return got
 
 
+def joined(parts: pa.Array, index: np.ndarray, ends: np.ndarray | list[int], between: str = " ") -> pa.Array:
+    """Strings of ``parts``: the k-th joins those at ``index[ends[k]:ends[k + 1]]``."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts.take(pa.array(index))), between)
+
+
+def offsets(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
 class WordBpe:
     """Encoder and decoder of a lower-casing word BPE file, equal to the tokenizers library.
 
     Special tokens in a text are found first. The rest is put into NFC, lower-cased
     letter by letter and cut into words by the file's pattern; white space never
-    reaches a token, so texts can be taken piece by piece between white space.
+    reaches a token, so texts can be taken piece by piece between white space. Of many
+    texts the distinct pieces, and of these the distinct words, are encoded together.
     """
 
     def __init__(self, path: str):
@@ -279,46 +371,91 @@ class WordBpe:
                 (last if final else inner)[bytes([self.bytes[c] for c in word])] = k
         self.automaton = MergeAutomaton(inner, last, self.merges)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        #: Cuts lines of pieces; their ends come out as words of their own, as no word holds white space.
+        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + r"|\n")
         self.library = Tokenizer.from_file(path)
-        self.known = Pieces(self.code)
+        self.known = Pieces(self.cut_odd)
+        every = range(max(self.tokens) + 1)
+        #: Ids and labels of the arcs as strings, by id.
+        self.strings = [pa.array([f(i) for i in every], pa.string()) for f in (str, lambda i: self.tokens.get(i, ""))]
+
+    def split(self, text: str) -> list[str]:
+        """The words of lines of pieces up to U+024F without special tokens, and the ends of the lines."""
+        return self.words.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
 
-    def split(self, piece: str) -> list[bytes]:
-        """The words of a piece without special tokens, as bytes.
+    def cut_odd(self, piece: str) -> list[str]:
+        """The words of any piece; special tokens as they are, which the pattern never gives.
 
         Beyond Latin letters the library's own normalizer and splitter serve, whose
         tables of letters are of another Unicode version than Python's.
         """
-        if not piece.isascii():
-            if max(piece) > "ɏ":
-                piece = self.library.normalizer.normalize_str(piece)
-                return [bytes([self.bytes[c] for c in w]) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(piece)]
-            piece = unicodedata.normalize("NFC", piece)
-        return [w.encode() for w in self.words.findall(piece.lower())]
-
-    def code(self, piece: str) -> tuple[str, str, int]:
-        """Ids joined by blanks, decoded text, and count of a piece."""
-        ids: list[int] = []
-        for k, x in enumerate(self.cut.split(piece) if "<|" in piece else (piece,)):
+        out = []
+        for k, x in enumerate(self.cut.split(piece)):
             if k % 2:
-                ids.append(self.special[x])
+                out.append(x)
+            elif max(x, default="") > "ɏ":
+                cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(x))
+                out += [bytes([self.bytes[c] for c in w]).decode() for w, _ in cut]
             else:
-                for w in self.split(x):
-                    ids += self.automaton.encode(w)
-        return " ".join(map(str, ids)), self.decode(ids), len(ids)
-
-    def decode(self, ids: Iterable[int]) -> str:
-        """The labels of the arcs, joined by blanks: the file names no decoder."""
-        return " ".join([self.tokens[i] for i in ids])
+                out += self.split(x)
+        return out
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of distinct words in a row, and their number of each word; special tokens are themselves."""
+        size = pc.binary_length(words).to_numpy().astype(np.int64)
+        data = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "")[0].as_buffer(), np.uint8)
+        byte = np.cumsum(size) - size
+        alone = {k: [self.special[words[k].as_py()]] for k in np.flatnonzero(pc.is_in(words, pa.array([*self.special])))}
+        for k in np.flatnonzero(size > TOGETHER):
+            if k not in alone:
+                alone[k] = self.automaton.encode(data[byte[k] : byte[k] + size[k]].tobytes())
+        alone = dict(sorted(alone.items()))
+        size[list(alone)] = 0
+        tokens, count = self.automaton.encode_words(data, byte, size)
+        if alone:
+            n = [len(x) for x in alone.values()]
+            tokens = np.insert(tokens, np.repeat(offsets(count)[list(alone)], n), [t for x in alone.values() for t in x])
+            count[list(alone)] = n
+        return tokens, count
+
+    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        """Number of tokens, and ids and decoded text joined by blanks, of distinct pieces."""
+        odd = pc.match_substring_regex(pieces, ODD).to_numpy(zero_copy_only=False)
+        # words of all pieces in a row, each piece's closed by a line's end; the odd ones come last
+        order = np.argsort(odd, kind="stable")
+        some = len(pieces) - int(odd.sum())
+        found = self.split(joined(pieces, order[:some], [0, some], "\n")[0].as_py() + "\n") if some else []
+        for p in pieces.take(pa.array(order[some:])).to_pylist():
+            found += self.known[p]
+            found.append("\n")
+        words = pa.array(found, pa.string()).dictionary_encode()
+        index = words.indices.to_numpy()
+        close = np.flatnonzero(index == words.dictionary.index("\n").as_py())
+        n = np.diff(close, prepend=-1) - 1  # words of each piece
+        index = np.delete(index, close)
+        tokens, count = self.encode_words(words.dictionary)
+        size = np.diff(offsets(count[index])[offsets(n)])
+        back = np.argsort(order)
+        strings = [joined(joined(x, tokens, offsets(count)), index, offsets(n)).take(pa.array(back)) for x in self.strings]
+        return size[back], strings
+
+    def encode_batch(self, texts: pa.Array) -> list[pa.Array]:
         """Count, ids joined by blanks, and decoded text of each text; null counts as empty.
 
-        Texts are cut at ASCII white space by ``bytes.split``, which knows no other.
+        Texts are cut at ASCII white space only.
         """
-        for t in texts:
-            got = [x for x in map(self.known.__getitem__, map(bytes.decode, (t or "").encode().split())) if x[2]]
-            yield sum([x[2] for x in got]), " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        pieces = cut.flatten().dictionary_encode()
+        index, ends = pieces.indices.to_numpy(), cut.offsets.to_numpy()
+        parts = [self.encode_pieces(pieces.dictionary.slice(k, BLOCK)) for k in range(0, len(pieces.dictionary) or 1, BLOCK)]
+        size, strings = np.concatenate([x for x, _ in parts]), [pa.concat_arrays(x) for x in zip(*[x for _, x in parts], strict=True)]
+        n = size[index]
+        some = n > 0
+        return [pa.array(np.diff(offsets(n)[ends])), *[joined(x, index[some], offsets(some)[ends]) for x in strings]]
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """``encode_batch`` of a list, row by row."""
+        yield from zip(*[x.to_pylist() for x in self.encode_batch(pa.array(texts, pa.string()))], strict=True)
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in next(self.encode_all([text]))[1].split()]
@@ -338,9 +475,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         bpe = WordBpe(path)  # compiled in each task: an idle worker holds nothing
         try:
             for batch in slices(batches, "text"):
-                rows = [*bpe.encode_all(batch.column("text").to_pylist())]
-                n, ids, text = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *bpe.encode_batch(batch.column("text"))], ["doc_id", "n_tokens", "ids", "decoded"])
         finally:
             del bpe
             trim()

@@ -78,6 +78,55 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert len(w.automaton.table) <= len(w.automaton.base) + 6
 
 
+def test_words_that_are_read_together_equal_the_rule():
+    r = np.random.RandomState(3)
+    tokens, final, merges = {b"a": 0, b"b": 1, b"c": 2}, {b"a": 3, b"b": 4, b"c": 5}, {}
+    while len(merges) < 30:
+        left = list(tokens.items())[r.randint(len(tokens))]
+        ends = final if r.rand() < 0.3 else tokens
+        right = list(ends.items())[r.randint(len(ends))]
+        if left[1] << 16 | right[1] not in merges and left[0] + right[0] not in ends:
+            ends[left[0] + right[0]] = 6 + len(merges)
+            merges[left[1] << 16 | right[1]] = len(merges) << 16 | 6 + len(merges)
+    a = bpe.MergeAutomaton(tokens, final, merges)
+    words = [b"", *[bytes(r.choice(list(b"abc"), r.randint(0, 30)).tolist()) for _ in range(500)], b""]
+    size = np.array([len(w) for w in words])
+    found, count = a.encode_words(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+    for w, got in zip(words, np.split(found, np.cumsum(count)[:-1]), strict=True):
+        assert got.tolist() == merged([tokens[bytes([x])] for x in w[:-1]] + [final[w[k : k + 1]] for k in [len(w) - 1] if w], merges) == a.encode(w)
+
+
+def test_blocks_of_mixed_pieces_equal_the_library(monkeypatch):
+    library = Tokenizer.from_file(BPE)
+    monkeypatch.setattr(bpe, "REMEMBER", 3)
+    monkeypatch.setattr(bpe, "BLOCK", 4)
+    monkeypatch.setattr(bpe, "TOGETHER", 9)
+    w = bpe.WordBpe(BPE)
+    texts = [*ODD, "Übermäßigkeiten über ALLES, naïve; l'été <|endoftext|>Grüße日本<|startoftext|> <|", "\u2003 x\u2003y \x85", *ODD[::-1]]
+    for t, (n, ids, decoded) in zip(texts, w.encode_all(texts), strict=True):
+        want = library.encode(t or "", add_special_tokens=False).ids
+        assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), library.decode(want, skip_special_tokens=False))
+    assert [*w.encode_all([])] == [] and [*w.encode_all([None])] == [(0, "", "")]
+
+
+def test_new_words_cost_less_together_than_one_by_one():
+    import time
+
+    r = np.random.RandomState(4)
+    parts = ["er", "th", "on", "sch", "ing", "ti", "ä", "ble", "pf", "un", "st", "ly"]
+    words = ["".join(r.choice(parts, 5)) for _ in range(60_000)]
+    w = bpe.WordBpe(BPE)
+    texts = [" ".join(words)]
+    want = [i for x in words for i in w.automaton.encode(x.encode())]
+    began = time.process_time()
+    for x in words:
+        w.automaton.encode(x.encode())
+    single, began = time.process_time() - began, time.process_time()
+    (_, ids, _), = w.encode_all(texts)
+    assert time.process_time() - began < 0.7 * single
+    assert ids == " ".join(map(str, want))
+
+
 def chain(em, m):
     z, p = 0.0, np.zeros(len(em))
     for s in itertools.product((0, 1), repeat=len(em)):
